@@ -36,8 +36,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replica_of(records: DataFrame) -> DataFrame:
-    """A second copy of the records in which rot has changed one byte in about one record of 97."""
-    rotten = F.crc32(F.col("page_id").cast("string")) % 97 == 0
+    """A second copy of the records in which rot has changed the first byte of about one record in 85."""
+    rotten = F.substring(F.sha2(F.col("page_id").cast("string").cast("binary"), 256), 1, 2) < "03"
     return records.withColumn("record", F.when(rotten, F.overlay("record", F.lit("?"), F.lit(1))).otherwise(F.col("record")))
 
 
@@ -53,20 +53,14 @@ WITH r AS (
          || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
          || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10)
          || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
-  FROM pages),
-c AS (  -- the bytes of the id as text, and its crc32 by table-free long division
-  SELECT page_id, list_reduce(
-    list_prepend(4294967295::BIGINT, list_transform(string_split(page_id::VARCHAR, ''), x -> ascii(x)::BIGINT)),
-    (crc, byte) -> list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
-      (v, z) -> CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS crc
   FROM pages)
-SELECT r.page_id, r.volume,
+SELECT page_id, volume,
        row_number() OVER w - 1 AS place,
        CAST(coalesce(sum(strlen(record)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
        CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256,
-       xor(crc, 4294967295) % 97 <> 0 AS intact
-FROM r JOIN c USING (page_id)
-WINDOW w AS (PARTITION BY r.volume ORDER BY r.page_id)
+       substr(sha256(page_id::VARCHAR), 1, 2) >= '03' AS intact
+FROM r
+WINDOW w AS (PARTITION BY volume ORDER BY page_id)
 """
 
 
