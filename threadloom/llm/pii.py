@@ -27,11 +27,12 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Looser generators.
 DIGITS = r"(?:(?<![0-9])|\G)[0-9]{13,19}+(?![0-9])"
+GROUPED = r"(?<![0-9])[0-9]{4}(?:[ .-][0-9]{4}){3}(?![0-9])"
 NATIONAL = r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Z0-9])"
 SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{2,63}+ ?[\[(]dot[\])] ?[A-Za-z]{2,12}"
-GENERATORS = [("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("digits", DIGITS), ("national", NATIONAL),
+GENERATORS = [("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("digits", DIGITS), ("grouped", GROUPED), ("national", NATIONAL),
               ("social", SOCIAL), ("iban", IBAN), ("spelled", SPELLED)]
 KINDS = [name for name, _ in GENERATORS]
 BASE = 4
@@ -71,6 +72,7 @@ def strict(kind: int, m: Column) -> Column:
         "card": lambda: n.between(16, 19) & luhn(d),
         "phone": lambda: n.between(8, 15),
         "digits": lambda: luhn(d),
+        "grouped": lambda: luhn(d),
         "national": lambda: d.rlike("^[2-9][0-9]{2}[2-9]"),
         "social": lambda: ~d.rlike("^(000|666|9)|^...00|0000$"),
         "iban": lambda: mod97(m),
