@@ -43,7 +43,7 @@ def test_cycle_ends(spark):
 
 def test_bad_ids(spark):
     t = typed(raw(spark, [("x", "c", "True", None, "y"), (None, None, None, None, None), (5, "c", "maybe", "a", "7.0")]))
-    assert sorted((r.id, r.parent, r.inbound) for r in t.collect()) == [(0, 0, False), (0, 0, False), (5, 7, False)]
+    assert sorted((r.id, r.parent, r.inbound) for r in t.collect()) == [(0, 0, False), (0, 0, True), (5, 7, False)]
 
 
 def test_pairs(spark):

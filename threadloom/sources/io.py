@@ -58,8 +58,10 @@ def read_messages(spark: SparkSession, path: str, columns: list[str] | None = No
         .options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=False)
         .csv(path)
     )
-    good = missing_to_null(raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT))
-    return good.select(*(columns or RAW_COLUMNS)), raw.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    # Spark refuses scans of nothing but the corrupt-record column, as in count(): an id is always read too
+    read = F.coalesce(F.length(RAW_COLUMNS[0]), F.lit(0)) >= 0
+    good = missing_to_null(raw.where(F.col(CORRUPT).isNull() & read).drop(CORRUPT))
+    return good.select(*(columns or RAW_COLUMNS)), raw.where(F.col(CORRUPT).isNotNull() & read).select(CORRUPT)
 
 
 def sampled_types(spark: SparkSession, path: str, rows: int = 5000) -> list[tuple[str, str]]:
