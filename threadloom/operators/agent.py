@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from ..functions import intents as I
 from ..functions import text as X
 from ..functions import values as V
+from ..plans.shipping import ship
 from . import labels
 from .retrieval import TfidfIndex
 
@@ -110,6 +111,7 @@ def generate(prompted: DataFrame, client: Client | None = None) -> DataFrame:
             yield f
 
     extra = "generated_response string, generation_success boolean, used_fallback boolean, error_type string, model_name string"
+    ship(prompted.sparkSession)
     target = prompted.sparkSession.createDataFrame([], extra).schema
     return prompted.mapInPandas(run, StructType([*prompted.schema.fields, *target.fields]))
 
@@ -147,6 +149,7 @@ def ask_model(assessed: DataFrame, client: Client, text: str = "message") -> Dat
                     f.at[at, "points"] = round(got[1] * 100)
             yield f
 
+    ship(assessed.sparkSession)
     frame = assessed.withColumn("method", F.lit("deterministic"))
     return frame.mapInPandas(run, frame.schema)
 
