@@ -1,55 +1,25 @@
-"""What the operators of this subpackage share: scratch tables, Arrow batch sizes, text input.
-
-Scratch tables cut lineage. They are Parquet, written below the folder that the cluster
-names in ``spark.checkpoint.dir`` (all executors share it), so a lost executor costs only
-the tasks that it was running. Where the setting is missing, as in tests on one machine,
-``/tmp/checkpoints`` stands in.
-"""
+"""What the operators of this subpackage share: Arrow batches of bounded size, text input, scratch tables."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Deleted by ``bytes.split()`` and by the contracts' class ``[\x20\x09-\x0D]`` alike.
-ASCII_SPACE = " \t\n\x0b\x0c\r"
-
+from ..plans.shipping import ship
+from ..plans.staging import Scratch
 
-class Scratch:
-    """A folder of one operator call in the shared checkpoint folder."""
+__all__ = ["ASCII_SPACE", "Scratch", "arrow_schema", "as_batches", "column", "map_batches", "text_of", "tune"]
 
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark = spark
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-            "spark.checkpoint.dir", "/tmp/checkpoints"
-        )
-        self.root = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` once and read it back; what built it never runs again."""
-        self.count += 1
-        path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame | None) -> None:
-        """Delete scratch tables that no later step reads."""
-        for t in tables:
-            if t is not None and hasattr(t, "_scratch_path"):
-                jvm = self.spark.sparkContext._jvm
-                path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Deleted by ``bytes.split()`` and by the contracts' class ``[\x20\x09-\x0D]`` alike.
+ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that long texts don't fill a worker's memory."""
+    """Bound Arrow batches by bytes, so that long texts don't fill a worker's memory, and send the sources to the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
