@@ -43,6 +43,12 @@ def terms(df: DataFrame, key: str, text: str, ngrams: int = V.NGRAMS) -> DataFra
     return tokens.select(key, F.explode(F.concat(*parts)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _best(scored: DataFrame, key: str, doc: str, k: int) -> DataFrame:
+    """The k best documents of each key, with ``rank``; ties by document."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), doc))
+    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
 class TfidfIndex:
     """vocabulary (term, df, idf), postings (doc, term, weight) and metadata; documents without a term keep their metadata."""
 
@@ -73,14 +79,17 @@ class TfidfIndex:
         Scores are ranked after rounding to nine digits, since sums of doubles depend on their order.
         """
         doc = self.manifest["key"]
-        q = self._weights(terms(queries, key, text, self.manifest["ngrams"]), self.vocabulary, key).withColumnRenamed("weight", "qw")
-        s = q.join(self.postings, "term").groupBy(key, doc).agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score"))
-        s = s.where(F.col("score") > min_score)
+        same = F.md5(F.array_join(X.index_tokens(text), " ")).alias("_same")  # equal token lists share one search
+        asked = queries.select(key, same, *([F.col(exclude).alias("own")] if exclude else []))
+        q = self._weights(terms(queries.select(same, text).dropDuplicates(["_same"]), "_same", text, self.manifest["ngrams"]), self.vocabulary, "_same")
+        s = q.withColumnRenamed("weight", "qw").join(self.postings, "term").groupBy("_same", doc)
+        s = s.agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score")).where(F.col("score") > min_score)
+        # a query leaves out one document at most, so one more than top_k is enough
+        most = top_k + 1 if exclude else top_k
+        s = _best(s, "_same", doc, most).join(asked, "_same")
         if exclude:
-            own = queries.select(key, F.col(exclude).alias("own")).where("own is not null")
-            s = s.join(own, key, "left").where(~F.coalesce(F.col("own") == F.col(doc), F.lit(False))).drop("own")
-        rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), doc))
-        return s.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top_k).select(key, doc, "rank", F.round("score", 6).alias("score"))
+            s = s.where(~F.coalesce(F.col("own") == F.col(doc), F.lit(False)))
+        return _best(s, key, doc, top_k).select(key, doc, "rank", F.round("score", 6).alias("score"))
 
     def save(self, path: str) -> None:
         for name in ("vocabulary", "postings", "metadata"):
