@@ -218,7 +218,7 @@ def test_decontamination(spark):
     assert set(got) <= wanted and len(set(got)) >= 0.95 * len(wanted) and len(wanted) >= 60
     kept = {r.doc_id for r in decontamination.drop_leaks(frame(spark, texts), bench).collect()}
     assert kept == set(range(len(texts))) - {d for d, _ in got}
-    blocks = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, texts), bench, block_words=150).collect()}
+    blocks = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, texts), bench, block_bytes=100_000).collect()}
     assert blocks <= wanted and len(blocks) >= 0.95 * len(wanted)
     assert decontamination.find_leaks(frame(spark, []), bench).count() == 0
     assert decontamination.find_leaks(frame(spark, texts), bench.limit(0)).count() == 0

@@ -10,7 +10,7 @@ word edit distance between the item and the best-fitting stretch of the document
 A document window of n words can match an item of n words within d edits only if at least n - d of
 its words occur in the benchmark at all. That test is lossless; windows that fail it are not hashed.
 
-Items travel to the tasks in blocks of bounded size (``block_words``); a larger benchmark takes more
+Items travel to the tasks in blocks of bounded size (``block_bytes``); a larger benchmark takes more
 passes over the documents. Documents never shuffle.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, as_batches, column, text_of, tune
 
 _PUNCTUATION = bytes(32 if b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) else b for b in range(256))
+MOST_STEPS = 512
 RESULT = "doc_id {kind}, item_id {item}, distance int, similarity double, start_word long, end_word long"
 
 
@@ -38,6 +39,11 @@ def allowed(n: int, similarity: float) -> int:
     return math.floor((1 - similarity) * n + 1e-9)
 
 
+def walk_steps(n: int) -> int:
+    """Steps that are sampled for an item of n words: the walk stays within it; of a very long one its beginning counts."""
+    return max(2, min(MOST_STEPS, int(1.6 * n)))
+
+
 class Matcher:
     """The hash tables of one block of items. Word 0 stands for every word that no item has."""
 
@@ -59,12 +65,11 @@ class Matcher:
                 self.classes.append([])
             self.classes[-1].append(n)
         rng = np.random.default_rng(seed)
-        self.steps = max([2, *(int(1.6 * n) for n in self.sizes)])
-        planes = -(-self.steps // 63)
-        self.bits = rng.integers(0, 1 << 63, (bands, planes, len(self.vocabulary) + 1), dtype=np.int64)
+        self.steps = max([2, *map(walk_steps, self.sizes)])
+        self.moves = rng.integers(0, 2, (bands, self.steps, len(self.vocabulary) + 1), dtype=np.int8)
         self.mix = rng.integers(1, 1 << 62, len(self.vocabulary) + 1, dtype=np.int64) | 1
         self.sampled = [
-            [np.sort(rng.choice(max(2, int(1.6 * c[0])), min(samples, max(2, int(1.6 * c[0]))), replace=False)) for _ in range(bands)]
+            [np.sort(rng.choice(walk_steps(c[0]), min(samples, walk_steps(c[0])), replace=False)) for _ in range(bands)]
             for c in self.classes
         ]
         self.tables = []  # for each class and band: sorted keys, and the item of each
@@ -73,28 +78,27 @@ class Matcher:
             longest = max(c)
             padded = np.concatenate([np.pad(self.items[j][1], (0, longest + 2)) for j in mine])
             starts = np.cumsum([0] + [len(self.items[j][1]) + longest + 2 for j in mine])[:-1]
-            stops = starts + np.array([len(self.items[j][1]) for j in mine])
             for band in range(bands):
-                keys = self._keys(padded, starts, stops, k, band)
+                keys = self._keys(padded, starts, k, band)
                 order = np.argsort(keys, kind="stable")
                 self.tables.append((k, band, keys[order], np.array(mine)[order]))
 
-    def _keys(self, words: np.ndarray, start: np.ndarray, stop: np.ndarray, k: int, band: int) -> np.ndarray:
-        """A key for the walk from each start: a hash of the words at the sampled steps."""
-        at, key = start.copy(), np.full(len(start), band * 1_000_003 + k, np.int64)
+    def _keys(self, words: np.ndarray, start: np.ndarray, k: int, band: int) -> np.ndarray:
+        """A key for the walk from each start: a hash of the words at the sampled steps. words must go on for ``steps`` after the last start."""
+        at, key = start.astype(np.int32), np.full(len(start), band * 1_000_003 + k, np.int64)
         sampled = self.sampled[k][band]
         last, wanted = int(sampled[-1]), set(sampled.tolist())
         for step in range(last + 1):
-            here = words[np.minimum(at, len(words) - 1)]
-            here = np.where(at < stop, here, 0)
+            here = words[at]
             if step in wanted:
                 key = (key ^ self.mix[here]) * np.int64(0x27D4EB2F165667C5) + (key >> 31)
-            at = at + ((self.bits[band, step // 63, here] >> (step % 63)) & 1)
+            at += self.moves[band][step][here]
         return key
 
     def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
         """(item, window start) that share a bucket. words: ids of texts end to end."""
         total = np.concatenate([[0], np.cumsum(words > 0, dtype=np.int32)])
+        padded = np.pad(words, (0, self.steps))
         out: set[tuple[int, int]] = set()
         for k, c in enumerate(self.classes):
             may = np.zeros(len(words), bool)
@@ -107,10 +111,9 @@ class Matcher:
                 may |= got >= n - allowed(n, self.similarity)
             start = np.flatnonzero(may)
             if len(start):
-                stop = np.minimum(start + int(2 * max(c)), len(words))
                 for kk, band, keys, item in self.tables:
                     if kk == k:
-                        found = self._keys(words, start, stop, k, band)
+                        found = self._keys(padded, start, k, band)
                         a, b = np.searchsorted(keys, found), np.searchsorted(keys, found, side="right")
                         for w in np.flatnonzero(b > a):
                             out.update((int(j), int(start[w])) for j in item[a[w] : b[w]])
@@ -123,7 +126,7 @@ class Matcher:
         d = allowed(n, self.similarity)
         low = max(0, start - d - 2)
         text = words[low : start + n + 2 * d + 2]
-        if len(text) < n - d:
+        if np.isin(text, want).sum() < n - d:  # so many words would have to match
             return None
         # rows: item words; columns: text words; a match may begin and end anywhere in the text
         cost, origin = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
@@ -143,7 +146,7 @@ class Matcher:
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end), the best place of each item in each text."""
         get = self.vocabulary.get
-        ids = [np.fromiter((get(w, 0) for w in words_of(t)), np.int32) for t in texts]
+        ids = [np.array([get(w, 0) for w in words_of(t)], np.int32) for t in texts]
         if not self.items or not ids:
             return []
         sizes = np.array([len(x) for x in ids])
@@ -163,11 +166,12 @@ class Matcher:
         return [(row, item, *got) for (row, item), got in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
-    """The items in lists of about ``block_words`` words each: fixed memory, more passes for more items."""
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, bands: int, block_bytes: int):
+    """The items in lists whose walk tables take about ``block_bytes`` each: fixed memory, more passes for more items."""
     narrow = benchmark.select(column(item_col).alias("item"), text_of(text_col).alias("text"))
-    size = narrow.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n = max(1, math.ceil(size / block_words))
+    words = F.size(F.split("text", r"\s+"))
+    total, longest = narrow.agg(F.sum(words), F.max(words)).first()
+    n = max(1, math.ceil((total or 0) * walk_steps(longest or 0) * bands / block_bytes))
     for k in range(n):
         rows = narrow.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).distinct().orderBy("item", "text").collect()
         yield [(r.item, r.text) for r in rows]
@@ -183,7 +187,7 @@ def find_leaks(
     similarity: float = 0.8,
     bands: int = 10,
     samples: int = 4,
-    block_words: int = 500_000,
+    block_bytes: int = 64 << 20,
 ) -> DataFrame:
     """One row per (document, item) found: doc_id, item_id, distance, similarity, start_word, end_word.
 
@@ -199,7 +203,7 @@ def find_leaks(
     kind, item_kind = (x.dataType.simpleString() for x in (narrow.schema["doc_id"], benchmark.schema[item_col]))
     target, arrow = arrow_schema(spark, RESULT.format(kind=kind, item=item_kind))
     out = None
-    for items in blocks(benchmark, item_col, item_text_col, block_words):
+    for items in blocks(benchmark, item_col, item_text_col, bands, block_bytes):
         sent = spark.sparkContext.broadcast(Matcher(items, similarity, bands, samples))
 
         def run(batches, sent=sent):
@@ -221,12 +225,12 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", similarity: float = 0.8, bands: int = 10,
-               samples: int = 4, block_words: int = 500_000, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+               samples: int = 4, block_bytes: int = 64 << 20, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, without the documents in which an item is found."""
     spark = docs.sparkSession
     tune(spark)
     at = docs.columns.index(text_col)
-    for items in blocks(benchmark, item_col, item_text_col, block_words):
+    for items in blocks(benchmark, item_col, item_text_col, bands, block_bytes):
         sent = spark.sparkContext.broadcast(Matcher(items, similarity, bands, samples))
 
         def run(batches, sent=sent):
