@@ -23,14 +23,15 @@ from .common import Scratch, arrow_schema, as_batches, column, text_of, tune
 
 VOCABULARY = "word_bpe_49k.json"
 SEPARATOR = b"\0\0\0\0"  # id 0, after each document
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 400_000
 
 
 class _Words(dict):
-    """Ids (little-endian uint32 bytes) of words between ASCII white space, encoded on first sight.
+    """Ids (little-endian uint32 bytes) of words between ASCII white space.
 
-    The vocabulary's pre-tokenizer never lets a token cross white space, so a text's ids are
-    those of its words in order. Beyond ``_CACHE_WORDS`` words are encoded without being kept.
+    The vocabulary's pre-tokenizer never lets a token cross white space, so a text's ids are those
+    of its words in order. Unknown words of a group of texts are encoded together, many to a call, and
+    told apart by their offsets. Beyond ``_CACHE_WORDS`` a group's new words are forgotten after it.
     """
 
     def __init__(self, path: str):
@@ -39,11 +40,36 @@ class _Words(dict):
 
         self.encode = Tokenizer.from_file(path).encode
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < _CACHE_WORDS:
-            self[word] = ids
-        return ids
+    def _alone(self, word: str) -> bytes:
+        return np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        texts, together = [w.decode("utf-8", "replace") for w in words], []
+        for word, text in zip(words, texts):
+            # words of plain letters keep their offsets; others, and marks of special tokens, go alone
+            if "<|" in text or max(text) > "\u024f":
+                self[word] = self._alone(text)
+            else:
+                together.append((word, text))
+        for k in range(0, len(together), 500):
+            part = together[k : k + 500]
+            got = self.encode(" ".join(t for _, t in part), add_special_tokens=False)
+            ids, first = np.array(got.ids, "<u4").tobytes(), np.array([a for a, _ in got.offsets], np.int64)
+            ends = np.cumsum([0] + [len(t) + 1 for _, t in part])
+            cut = (np.searchsorted(first, ends) * 4).tolist()
+            for (word, _), a, b in zip(part, cut, cut[1:]):
+                self[word] = ids[a:b]
+
+    def token_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, then the separator."""
+        split = [t.encode("utf-8", "replace").split() for t in texts]
+        new = {w for w in set().union(*split) if w not in self}
+        self.learn(new)
+        out = [b"".join(map(self.__getitem__, words)) + SEPARATOR for words in split]
+        if len(self) > _CACHE_WORDS:
+            for w in new:
+                del self[w]
+        return out
 
 
 _words: dict[str, _Words] = {}  # of this worker process; kept from task to task
@@ -62,8 +88,17 @@ def words_of(path: str | None) -> _Words:
     return _words[path]
 
 
-def token_bytes(text: str, words: _Words) -> bytes:
-    return b"".join(map(words.__getitem__, text.encode("utf-8", "replace").split())) + SEPARATOR
+def groups(texts: list[str], chars: int = 2_000_000):
+    """Lists of texts of about so many characters, at least one text each: bounds the words in memory at once."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer_path: str | None) -> DataFrame:
@@ -80,8 +115,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer
         part, words, seen = TaskContext.get().partitionId(), words_of(tokenizer_path), np.zeros(capacity + 1, np.int64)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(b.column(1).to_pylist()):
-                ids = token_bytes(text, words)
+            encoded = (ids for part in groups(b.column(1).to_pylist()) for ids in words.token_bytes(part))
+            for k, ids in enumerate(encoded):
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     row.append(k)
