@@ -77,18 +77,27 @@ def fit(texts: list[str], labels: list[str], landmarks: int, ridge: float) -> Mo
         at = [k for k, x in enumerate(labels) if x == n]
         turn[at] = np.arange(len(at))
     chosen = np.argsort(turn, kind="stable")[:landmarks]
-    presence = np.zeros((len(chosen), 1 << HASH_BITS), np.float32)
-    for k, c in enumerate(chosen):
-        presence[k, rows[c]] = 1 / size[c]
-    kernel = np.stack([presence[:, r].sum(axis=1) / s for r, s in zip(rows, size)])
-    value, vector = np.linalg.eigh(kernel[chosen].astype(float))
+    # one text's presence at a time, looked up under the landmarks' n-grams: no dense matrix of landmarks
+    found = np.concatenate([rows[c] for c in chosen])
+    counts = np.array([len(rows[c]) for c in chosen])
+    owner = np.repeat(np.arange(len(chosen)), counts)
+    here = np.zeros(1 << HASH_BITS, bool)
+    kernel = np.zeros((len(rows), len(chosen)))
+    for k, r in enumerate(rows):
+        here[r] = True
+        kernel[k] = np.bincount(owner, weights=here[found], minlength=len(chosen)) / (size[chosen] * size[k])
+        here[r] = False
+    value, vector = np.linalg.eigh(kernel[chosen])
     keep = value > 1e-6 * value.max()
     whiten = vector[:, keep] / np.sqrt(value[keep])
     z = kernel @ whiten
     mean, middle = z.mean(axis=0), y.mean(axis=0)
     zc = z - mean
     w = np.linalg.solve(zc.T @ zc + ridge * np.eye(zc.shape[1]), zc.T @ (y - middle))
-    return Model(names, (presence.T @ (whiten @ w)).astype(np.float32), (middle - mean @ w).astype(np.float32))
+    weights = np.zeros((1 << HASH_BITS, len(names)), np.float32)
+    for c, share in zip(chosen, whiten @ w):
+        weights[rows[c]] += share / size[c]
+    return Model(names, weights, (middle - mean @ w).astype(np.float32))
 
 
 def training_rows(
@@ -101,13 +110,18 @@ def training_rows(
     key = column(id_col)
     known = docs.where(column(lang_col).isNotNull() & key.isNotNull() & (F.crc32(key.cast("string")) % 4 != 2))
     narrow = known.select(key.alias("i"), column(lang_col).cast("string").alias("lang")).where(F.col("lang") != UNDETERMINED)
-    # the group limit below a rank filter keeps per_label rows of a label in each task before anything shuffles
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i")
-    few = narrow.withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_label)
-    labels = [r.lang for r in few.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(longest_labels).collect()]
+    counts = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(longest_labels).collect()
+    labels = [r.lang for r in counts]
     if not labels:
         return [], []
-    few = few.where(F.col("lang").isin(labels)).select("i").distinct()
+    # a hash below 8 x per_label / n leaves about 8 x per_label rows of a label, whatever the corpus
+    share = F.lit(1.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r.lang, min(1.0, 8 * per_label / r.n)).otherwise(share)
+    chance = F.shiftrightunsigned(F.xxhash64("i"), 1) / F.lit(float(1 << 63))
+    by = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i")
+    few = narrow.where(F.col("lang").isin(labels) & (chance < share)).withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_label)
+    few = few.select("i").distinct()
     taken = (
         known.select(key.alias("i"), column(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
         .where(F.col("lang").isin(labels) & F.col("text").rlike(r"\p{L}"))
