@@ -20,8 +20,8 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 def tune(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that long texts don't fill a worker's memory, and send the sources to the workers."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def text_of(column: str) -> Column:

@@ -20,7 +20,7 @@ from .common import Scratch, arrow_schema, as_batches, column, text_of, tune
 
 BUCKETS = 10_000
 BROADCAST_LABELS = 500_000
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 250_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
