@@ -224,6 +224,40 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def plant(rng, item, edits, within):
+    """The item with so many substitutions, insertions and deletions among its first words."""
+    out = list(item)
+    for _ in range(edits):
+        at, kind = rng.randrange(max(1, min(within, len(out)))), rng.randrange(3)
+        out[at : at + (kind != 1)] = [] if kind == 2 else [f"v{rng.randrange(5000)}"]
+    return out
+
+
+@pytest.mark.parametrize("n", [5, 8, 20, 40, 80, 160, 320, 1000])
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2])
+def test_decontamination_recall(n, rate):
+    rng = random.Random(n)
+    say = lambda k: [f"v{rng.randrange(5000)}" for _ in range(k)]
+    items = [say(n) for _ in range(20)]
+    matcher = decontamination.Matcher([(k, " ".join(w)) for k, w in enumerate(items)], 0.8)
+    got = {(r, j): d for r, j, d, *_ in matcher.matches([" ".join(say(60) + plant(rng, w, int(rate * n), n) + say(60)) for w in items])}
+    assert set(got) == {(k, k) for k in range(20)} and max(got.values()) <= int(rate * n)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9, 1.0])
+def test_decontamination_is_exact(similarity):
+    rng = random.Random(similarity)
+    say = lambda k, v: [f"v{rng.randrange(v)}" for _ in range(k)]
+    items = [say(rng.randrange(1, 30), rng.choice([1, 2, 4, 30])) for _ in range(30)]
+    texts = [say(rng.randrange(0, 40), rng.choice([1, 2, 4, 30])) + plant(rng, rng.choice(items), rng.randrange(6), 30) + say(9, 9) for _ in range(60)]
+    matcher = decontamination.Matcher([(k, " ".join(w)) for k, w in enumerate(items)], similarity)
+    want = {(r, j): brute_distance(w, t) for r, t in enumerate(texts) for j, w in enumerate(items)}
+    got = {(r, j): (d, a, b) for r, j, d, a, b in matcher.matches([" ".join(t) for t in texts])}
+    assert {k: d for k, (d, *_) in got.items()} == {k: d for k, d in want.items() if d <= decontamination.allowed(len(items[k[1]]), similarity)}
+    for (r, j), (d, a, b) in got.items():
+        assert d == brute_distance(items[j], texts[r][a:b]) and brute_distance(items[j], texts[r][: b - 1]) > d
+
+
 # ---- secrets and personal data ----
 def brute_secrets(t):
     out = [

@@ -1,14 +1,14 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: exact search for pieces of the items, exact edit verification.
 
-Texts and items are sequences of lower-case words. A CGK walk reads a window: at each step it
-outputs the word under it and moves on or stays, as a random bit for (step, word) says. Windows
-at a small edit distance give outputs at a small Hamming distance with good probability, so
-``bands`` independent walks, each sampled at ``samples`` random steps, put a contaminated window
-and its item into one bucket with the target recall. Every candidate is then verified by an exact
-word edit distance between the item and the best-fitting stretch of the document.
+Texts and items are sequences of lower-case words. An item that may differ by d edits is cut into
+d + 1 pieces of nearly equal length. An edit touches one piece at most, so a stretch of a document
+within d edits holds at least one piece word for word, and at most d words off the piece's place in
+the item. Looking up every piece therefore proposes every such stretch, whatever the item's length
+and wherever the edits are: the recall is 1 by construction, not a matter of chance. Each proposed
+region is then verified by an exact word edit distance between the item and its best-fitting stretch.
 
-A document window of n words can match an item of n words within d edits only if at least n - d of
-its words occur in the benchmark at all. That test is lossless; windows that fail it are not hashed.
+A stretch within d edits of an item of n words has at least n - d words of the item. That test is
+lossless too and spares most of the distances.
 
 Items travel to the tasks in blocks of bounded size (``block_bytes``); a larger benchmark takes more
 passes over the documents. Documents never shuffle.
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, as_batches, column, text_of, tune
 
 _PUNCTUATION = bytes(32 if b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) else b for b in range(256))
-MOST_STEPS = 512
+BYTES_A_WORD = 200  # of an item's word in a Matcher, about
+LONGEST_REGION = 1 << 16
+_MIX = np.int64(0x27D4EB2F165667C5)
 RESULT = "doc_id {kind}, item_id {item}, distance int, similarity double, start_word long, end_word long"
 
 
@@ -39,95 +41,93 @@ def allowed(n: int, similarity: float) -> int:
     return math.floor((1 - similarity) * n + 1e-9)
 
 
-def walk_steps(n: int) -> int:
-    """Steps that are sampled for an item of n words: the walk stays within it; of a very long one its beginning counts."""
-    return max(2, min(MOST_STEPS, int(1.6 * n)))
+def cuts(n: int, d: int) -> list[int]:
+    """The bounds of d + 1 pieces of n words."""
+    return [n * k // (d + 1) for k in range(d + 2)]
 
 
 class Matcher:
-    """The hash tables of one block of items. Word 0 stands for every word that no item has."""
+    """The pieces of one block of items. Word 0 stands for every word that no item has."""
 
-    def __init__(self, items: list[tuple], similarity: float, bands: int, samples: int, seed: int = 42):
+    def __init__(self, items: list[tuple], similarity: float):
         self.similarity = similarity
         self.vocabulary: dict[bytes, int] = {}
         self.items = []
         for item_id, text in items:
             words = words_of(text or "")
             if words:
+                if allowed(len(words), similarity) >= len(words):
+                    raise ValueError("similarity must be above 0")
                 ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int32)
                 self.items.append((item_id, ids))
-        self.sizes = sorted({len(w) for _, w in self.items})
-        # lengths within a sixth of each other share their sampled steps
-        self.classes, first = [], None
-        for n in self.sizes:
-            if first is None or n > first * 7 / 6:
-                first = n
-                self.classes.append([])
-            self.classes[-1].append(n)
-        rng = np.random.default_rng(seed)
-        self.steps = max([2, *map(walk_steps, self.sizes)])
-        self.moves = rng.integers(0, 2, (bands, self.steps, len(self.vocabulary) + 1), dtype=np.int8)
-        self.mix = rng.integers(1, 1 << 62, len(self.vocabulary) + 1, dtype=np.int64) | 1
-        self.sampled = [
-            [np.sort(rng.choice(walk_steps(c[0]), min(samples, walk_steps(c[0])), replace=False)) for _ in range(bands)]
-            for c in self.classes
-        ]
-        self.tables = []  # for each class and band: sorted keys, and the item of each
-        for k, c in enumerate(self.classes):
-            mine = [j for j, (_, w) in enumerate(self.items) if len(w) in c]
-            longest = max(c)
-            padded = np.concatenate([np.pad(self.items[j][1], (0, longest + 2)) for j in mine])
-            starts = np.cumsum([0] + [len(self.items[j][1]) + longest + 2 for j in mine])[:-1]
-            for band in range(bands):
-                keys = self._keys(padded, starts, k, band)
-                order = np.argsort(keys, kind="stable")
-                self.tables.append((k, band, keys[order], np.array(mine)[order]))
-
-    def _keys(self, words: np.ndarray, start: np.ndarray, k: int, band: int) -> np.ndarray:
-        """A key for the walk from each start: a hash of the words at the sampled steps. words must go on for ``steps`` after the last start."""
-        at, key = start.astype(np.int32), np.full(len(start), band * 1_000_003 + k, np.int64)
-        sampled = self.sampled[k][band]
-        last, wanted = int(sampled[-1]), set(sampled.tolist())
-        for step in range(last + 1):
-            here = words[at]
-            if step in wanted:
-                key = (key ^ self.mix[here]) * np.int64(0x27D4EB2F165667C5) + (key >> 31)
-            at += self.moves[band][step][here]
-        return key
-
-    def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, window start) that share a bucket. words: ids of texts end to end."""
-        total = np.concatenate([[0], np.cumsum(words > 0, dtype=np.int32)])
-        padded = np.pad(words, (0, self.steps))
-        out: set[tuple[int, int]] = set()
-        for k, c in enumerate(self.classes):
-            may = np.zeros(len(words), bool)
-            for n in c:
-                span = min(n, len(words))
-                got = np.full(len(words), 0, np.int32)
-                got[: len(words) - span + 1] = total[span:] - total[: len(total) - span]
-                # a text may end within the allowed edits of the window's end
-                got[len(words) - span + 1 :] = total[-1] - total[len(words) - span + 1 : -1]
-                may |= got >= n - allowed(n, self.similarity)
-            start = np.flatnonzero(may)
-            if len(start):
-                for kk, band, keys, item in self.tables:
-                    if kk == k:
-                        found = self._keys(padded, start, k, band)
-                        a, b = np.searchsorted(keys, found), np.searchsorted(keys, found, side="right")
-                        for w in np.flatnonzero(b > a):
-                            out.update((int(j), int(start[w])) for j in item[a[w] : b[w]])
+        self.sizes = np.array([len(w) for _, w in self.items], np.int64)
+        self.least = np.array([len(w) - allowed(len(w), similarity) for _, w in self.items], np.int64)
+        self.counts = [np.unique(w, return_counts=True) for _, w in self.items]
+        # of a piece that an item repeats, the first and the last place count
+        places: dict[int, dict[tuple[int, int], tuple[int, int]]] = {}
+        for j, (_, ids) in enumerate(self.items):
+            bounds = cuts(len(ids), allowed(len(ids), similarity))
+            keys = self._keys(ids, {b - a for a, b in zip(bounds, bounds[1:])})
+            for a, b in zip(bounds, bounds[1:]):
+                mine = places.setdefault(b - a, {})
+                at = (int(keys[b - a][a]), j)
+                mine[at] = (mine.get(at, (a, a))[0], a)
+        self.tables = {}  # for each length of pieces: sorted keys, and the item, first and last place of each
+        for length, mine in places.items():
+            rows = np.array([(*at, *place) for at, place in sorted(mine.items())], np.int64)
+            self.tables[length] = tuple(np.ascontiguousarray(c) for c in rows.T)
+
+    @staticmethod
+    def _keys(words: np.ndarray, lengths: set[int]) -> dict[int, np.ndarray]:
+        """For each length a hash of the words from each place on."""
+        out, key = {}, np.zeros(len(words), np.int64)
+        for k in range(min(max(lengths), len(words))):
+            key = (key[: len(words) - k] ^ (key[: len(words) - k] >> 29)) * _MIX + words[k:]
+            if k + 1 in lengths:
+                out[k + 1] = key
         return out
 
-    def verify(self, item: int, words: np.ndarray, start: int) -> tuple[int, int, int] | None:
-        """(distance, start, end) of the stretch near ``start`` that fits the item best, if it fits."""
+    def regions(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, from, to) that hold a piece, joined where they meet. words: ids of texts end to end, a 0 after each; first: where each begins."""
+        total = np.concatenate([[0], np.cumsum(words > 0, dtype=np.int64)])
+        found = []
+        for length, key in self._keys(words, set(self.tables)).items():
+            keys, item, near, far = self.tables[length]
+            start = np.flatnonzero(total[length:] - total[:-length] == length)
+            a, b = (np.searchsorted(keys, key[start], side) for side in ("left", "right"))
+            n = b - a
+            at = np.repeat(start, n)
+            which = np.repeat(a, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            j = item[which]
+            size, d = self.sizes[j], self.sizes[j] - self.least[j]
+            row = np.searchsorted(first, at, side="right") - 1
+            low = np.maximum(first[row], at - far[which] - d)
+            high = np.minimum(first[row + 1] - 1, at - near[which] + size + d)
+            may = total[high] - total[low] >= self.least[j]
+            found.append(np.stack([row, j, low, high])[:, may])
+        if not found:
+            return []
+        row, j, low, high = np.concatenate(found, axis=1)
+        order = np.lexsort((high, low, j, row))
+        out: list[list[int]] = []
+        for r, i, a, b in np.stack([row, j, low, high]).T[order].tolist():
+            last = out[-1] if out else None
+            if last and last[:2] == [r, i] and a <= last[3] and b - last[2] <= max(LONGEST_REGION, b - a):
+                last[3] = max(last[3], b)
+            else:
+                out.append([r, i, a, b])
+        return [tuple(x) for x in out]
+
+    def verify(self, item: int, text: np.ndarray) -> tuple[int, int, int] | None:
+        """(distance, start, end) of the first stretch of the text that fits the item best, if it fits."""
         want = self.items[item][1]
-        n = len(want)
-        d = allowed(n, self.similarity)
-        low = max(0, start - d - 2)
-        text = words[low : start + n + 2 * d + 2]
-        if np.isin(text, want).sum() < n - d:  # so many words would have to match
-            return None
+        n, least = len(want), int(self.least[item])
+        d = n - least
+        known, often = self.counts[item]
+        at = np.searchsorted(known, text)
+        at[at == len(known)] = 0
+        if np.minimum(np.bincount(at[known[at] == text], minlength=len(known)), often).sum() < least:
+            return None  # so many words would have to match
         # rows: item words; columns: text words; a match may begin and end anywhere in the text
         cost, origin = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
         scale = len(text) + 2
@@ -137,11 +137,13 @@ class Matcher:
             down = state + scale
             down[1:] = np.minimum(down[1:], state[:-1] + scale * (text != want[k]))
             state = np.minimum.accumulate(down - steps) + steps
+            if k % 8 == 7 and state.min() // scale > d:  # the least cost never falls
+                return None
         end = int(np.argmin(state // scale))
         distance = int(state[end] // scale)
         if distance > d:
             return None
-        return distance, low + len(text) - int(state[end] % scale), low + end
+        return distance, len(text) - int(state[end] % scale), end
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end), the best place of each item in each text."""
@@ -149,29 +151,25 @@ class Matcher:
         ids = [np.array([get(w, 0) for w in words_of(t)], np.int32) for t in texts]
         if not self.items or not ids:
             return []
-        sizes = np.array([len(x) for x in ids])
-        first = np.concatenate([[0], np.cumsum(sizes + 1)])
+        first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in ids])])
         flat = np.concatenate([y for x in ids for y in (x, np.zeros(1, np.int32))])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried = set()
-        for item, at in sorted(self.candidates(flat)):
-            row = int(np.searchsorted(first, at, side="right")) - 1
-            if (item, row, at) in tried:
-                continue
-            got = self.verify(item, ids[row], at - int(first[row]))
+        for row, item, low, high in self.regions(flat, first):
+            got = self.verify(item, flat[low:high])
             if got:
-                tried.update((item, row, at + k) for k in range(-1, 2))
-                if (row, item) not in best or got < best[row, item]:
-                    best[row, item] = got
+                skipped = low - int(first[row])
+                place = (got[0], got[1] + skipped, got[2] + skipped)
+                if (row, item) not in best or place < best[row, item]:
+                    best[row, item] = place
         return [(row, item, *got) for (row, item), got in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, bands: int, block_bytes: int):
-    """The items in lists whose walk tables take about ``block_bytes`` each: fixed memory, more passes for more items."""
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
+    """The items in lists whose Matchers take about ``block_bytes`` each: fixed memory, more passes for more items."""
     narrow = benchmark.select(column(item_col).alias("item"), text_of(text_col).alias("text"))
     words = F.size(F.split("text", r"\s+"))
-    total, longest = narrow.agg(F.sum(words), F.max(words)).first()
-    n = max(1, math.ceil((total or 0) * walk_steps(longest or 0) * bands / block_bytes))
+    total = narrow.agg(F.sum(words)).first()[0]
+    n = max(1, math.ceil((total or 0) * BYTES_A_WORD / block_bytes))
     for k in range(n):
         rows = narrow.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).distinct().orderBy("item", "text").collect()
         yield [(r.item, r.text) for r in rows]
@@ -185,17 +183,14 @@ def find_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     similarity: float = 0.8,
-    bands: int = 10,
-    samples: int = 4,
     block_bytes: int = 64 << 20,
 ) -> DataFrame:
     """One row per (document, item) found: doc_id, item_id, distance, similarity, start_word, end_word.
 
-    An item is found if its word edit distance to a stretch of the document is at most
+    An item is found if, and only if, its word edit distance to a stretch of the document is at most
     (1 - similarity) of its words; the best place counts, then the first. similarity = 1 - distance /
     words. Null and empty texts and items without words are never found. Of items that repeat an id,
     each is found on its own; rows that repeat a doc_id too. No items or no documents: no rows.
-    With the defaults a window with a tenth of its words edited is found with a probability above 0.9.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -203,8 +198,8 @@ def find_leaks(
     kind, item_kind = (x.dataType.simpleString() for x in (narrow.schema["doc_id"], benchmark.schema[item_col]))
     target, arrow = arrow_schema(spark, RESULT.format(kind=kind, item=item_kind))
     out = None
-    for items in blocks(benchmark, item_col, item_text_col, bands, block_bytes):
-        sent = spark.sparkContext.broadcast(Matcher(items, similarity, bands, samples))
+    for items in blocks(benchmark, item_col, item_text_col, block_bytes):
+        sent = spark.sparkContext.broadcast(Matcher(items, similarity))
 
         def run(batches, sent=sent):
             matcher = sent.value
@@ -224,14 +219,14 @@ def find_leaks(
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", similarity: float = 0.8, bands: int = 10,
-               samples: int = 4, block_bytes: int = 64 << 20, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", similarity: float = 0.8,
+               block_bytes: int = 64 << 20, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, without the documents in which an item is found."""
     spark = docs.sparkSession
     tune(spark)
     at = docs.columns.index(text_col)
-    for items in blocks(benchmark, item_col, item_text_col, bands, block_bytes):
-        sent = spark.sparkContext.broadcast(Matcher(items, similarity, bands, samples))
+    for items in blocks(benchmark, item_col, item_text_col, block_bytes):
+        sent = spark.sparkContext.broadcast(Matcher(items, similarity))
 
         def run(batches, sent=sent):
             for b in batches:
