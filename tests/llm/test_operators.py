@@ -244,6 +244,16 @@ def test_decontamination_recall(n, rate):
     assert set(got) == {(k, k) for k in range(20)} and max(got.values()) <= int(rate * n)
 
 
+@pytest.mark.parametrize("edits", [40, 150])
+def test_decontamination_long_item_edited_at_its_start(spark, edits):
+    rng = random.Random(edits)
+    items = [[f"v{rng.randrange(5000)}" for _ in range(1000)] for _ in range(10)]
+    texts = [" ".join(plant(rng, w, edits, 256)) for w in items]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, texts), bench).collect()} == {(k, k) for k in range(10)}
+    assert decontamination.drop_leaks(frame(spark, texts), bench).count() == 0
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9, 1.0])
 def test_decontamination_is_exact(similarity):
     rng = random.Random(similarity)
