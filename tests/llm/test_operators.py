@@ -339,6 +339,17 @@ def test_pii(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_pii_context_decides(spark):
+    rng = random.Random(12)
+    number = lambda: "37" + "".join(rng.choice("0123456789") for _ in range(13))
+    valid = lambda: next(x for x in iter(number, None) if luhn(x))
+    cards = [f"my card is {valid()} thanks" for _ in range(200)]
+    orders = [f"see order {number()} thanks" for _ in range(600)]
+    got = [r.spans for r in pii.pii_digest(pii.find_pii(frame(spark, cards + orders))).orderBy("doc_id").collect()]
+    assert all("digits:11:26" in x for x in got[:200])
+    assert sum(luhn(t.split()[2]) for t in orders) > 30 and not any("digits" in x for x in got[200:])
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (200, len(pii.NAMES))).astype(float)

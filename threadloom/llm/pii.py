@@ -2,12 +2,15 @@
 
 Generators propose overlapping spans: the four base kinds, and looser forms that they miss
 (digits inside a longer run, national telephone numbers, spelled-out addresses, account
-numbers). Each candidate has binary features of its format and context. A candidate that
-passes the strict check of its kind (Luhn, mod 97, octets, numbering rules) counts as
-positive for training. As all features are binary, the corpus is summed up exactly by a
-table of feature vectors with their counts, whose size doesn't depend on the corpus; the
-driver boosts depth-two trees on that table. Thresholds are calibrated on a fold the trees
-haven't seen. Scoring is a sum of CASE expressions: no Python runs on the executors.
+numbers). Each candidate has binary features of its format and context. The trees learn from
+them where candidates pass the strict check of their kind (Luhn, mod 97, numbering rules), which
+itself is no feature. Where most candidates pass they are genuine; where as many pass as would by
+chance they are look-alikes, and those that pass are not taken. As all features are binary, the
+corpus is summed up exactly by a table of feature vectors with their counts, whose size doesn't
+depend on the corpus; the driver boosts depth-two trees on that table. From the passes and
+failures of a fold the trees haven't seen and the chance of a look-alike to pass follows the
+precision above each score, and from that each kind's threshold. A candidate that fails its check
+is never taken: no genuine one does. Scoring is a sum of CASE expressions: no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ GENERATORS = [("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("
               ("social", SOCIAL), ("iban", IBAN), ("spelled", SPELLED)]
 KINDS = [name for name, _ in GENERATORS]
 BASE = 4
+#: The chance that a look-alike of a loose kind passes the strict check. Spelled addresses all pass: there the pattern alone decides.
+CHANCE = {"digits": 1 / 10, "grouped": 1 / 10, "national": 0.8 * 0.8, "social": 0.898 * 0.99 * 0.9999, "iban": 1 / 97}
 
 
 def _digits(m: Column) -> Column:
@@ -80,10 +85,9 @@ def strict(kind: int, m: Column) -> Column:
     }[KINDS[kind]]()
 
 
-#: Binary features of a candidate x (struct of kind, start, end, m, pre, post, ok) by name.
+#: Binary features of a candidate x (struct of kind, start, end, m, pre, post) by name; none tells whether it passes.
 FEATURES = {
     **{f"is_{name}": (lambda x, k=k: x["kind"] == k) for k, name in enumerate(KINDS)},
-    "passes": lambda x: x["ok"],
     "separated": lambda x: x["m"].rlike(r"[ .()-]"),
     "one_digit_repeated": lambda x: F.length(F.replace(_digits(x["m"]), F.substring(_digits(x["m"]), 1, 1), F.lit(""))) == 0,
     "card_prefix": lambda x: x["m"].rlike(r"^(4|5[1-5]|2[2-7]|3[47]|6)"),
@@ -105,12 +109,12 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def candidate(kind: int):
         def of(x: Column) -> Column:
-            y = {**{k: x[k] for k in ("start", "end", "m", "pre", "post")}, "kind": F.lit(kind), "ok": strict(kind, x["m"])}
+            y = {**{k: x[k] for k in ("start", "end", "m", "pre", "post")}, "kind": F.lit(kind)}
             bits = None
             for k, f in enumerate(FEATURES.values()):
                 bit = F.when(f(y), 1 << k).otherwise(0)
                 bits = bit if bits is None else bits + bit
-            return F.struct(y["kind"].alias("kind"), y["start"].alias("start"), y["end"].alias("end"), y["ok"].alias("ok"), bits.alias("f"))
+            return F.struct(y["kind"].alias("kind"), y["start"].alias("start"), y["end"].alias("end"), strict(kind, x["m"]).alias("ok"), bits.alias("f"))
 
         return of
 
@@ -172,15 +176,23 @@ class Boosted:
 
 
 def calibrated(kinds: np.ndarray, score: np.ndarray, positive: np.ndarray, negative: np.ndarray, precision: float) -> list[float]:
-    """For each kind the lowest score from which on the precision holds; infinity if there is none."""
+    """For each kind the lowest score from which on the precision holds; infinity if there is none.
+
+    Of p that pass and n that fail, n c / (1 - c) passed by chance, c being the kind's chance; the others are genuine.
+    The limit lies midway to the next lower score, and at minus infinity if there is none.
+    """
     out = []
-    for k in range(len(KINDS)):
+    for k, name in enumerate(KINDS):
         mine = kinds == k
         order = np.argsort(-score[mine], kind="stable")
         s, p, n = score[mine][order], positive[mine][order].cumsum(), negative[mine][order].cumsum()
         last = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)  # equal scores stand or fall together
-        good = np.flatnonzero(last & (p >= precision * (p + n)) & (p > 0))
-        out.append(float(s[good[-1]]) if len(good) else float("inf"))
+        lucky = n * CHANCE.get(name, 0.0) / (1 - CHANCE.get(name, 0.0))
+        good = np.flatnonzero(last & (p - lucky >= precision * p) & (p > 0))
+        if not len(good):
+            out.append(float("inf"))
+        else:
+            out.append(float("-inf") if good[-1] == len(s) - 1 else float((s[good[-1]] + s[good[-1] + 1]) / 2))
     return out
 
 
@@ -212,7 +224,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
     """One row per input row: doc_id, base and spans, arrays of (kind, start, end) in the order of kind, then start.
 
     kind is a number, a place in KINDS. base holds what the four base kinds find; spans also holds
-    candidates of the looser kinds that pass their check, reach their kind's threshold and don't overlap a
+    candidates of the looser kinds that pass their check, have a score of format and context above their
+    kind's threshold (at least ``precision`` of those that pass are held to be genuine) and don't overlap a
     base span. Places are code points, end exclusive. Null text counts as empty; rows that repeat an id
     are scanned each on its own. An empty table gives no rows; other columns are ignored.
     """
