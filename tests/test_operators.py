@@ -84,6 +84,13 @@ def test_greedy_pool(spark):
     assert sorted(r.id for r in sampling.greedy_rows(df(rows)).collect()) == want
 
 
+def test_greedy_rows_long_chain(spark):
+    # row k shares its text with k + 1, and that its conversation with k + 2
+    rows = [(k, f"a{(k + 1) // 2}", f"b{k // 2}") for k in range(130)] + [(200, None, "z"), (201, "z", None)]
+    got = sampling.greedy_rows(spark.createDataFrame(rows, "id long, a string, b string"))
+    assert sorted(r.id for r in got.collect()) == list(range(0, 130, 2))
+
+
 def test_golden_choice(spark):
     """The bounded candidate lists give what a scan of the whole pool gives."""
     import hashlib

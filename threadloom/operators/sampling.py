@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +14,18 @@ from ..plans.staging import Scratch
 FLAGS = {"short": "is_short", "multi_turn": "is_multi_turn", "ambiguous": "is_ambiguous", "has_url": "has_url"}
 
 
-def greedy_rows(rows: DataFrame, most_rounds: int = 60) -> DataFrame:
+def greedy_rows(rows: DataFrame, joined: int = 50) -> DataFrame:
     """The ids that a scan in id order accepts if it takes a row whose text ``a`` and group ``b`` no accepted row has.
 
     rows: id (unique), a, b. A row is accepted once it is the smallest live id of both its text and its
     group; rows that share either with an accepted row die. That repeats until none is live; the
-    result is the sequential one, since an accepted row has no smaller live neighbour.
+    result is the sequential one, since an accepted row has no smaller live neighbour. Each round
+    settles the smallest live row at least, so that it ends however long a chain of rows is; rows
+    with a null are never taken. The tables of ``joined`` rounds become one, so the plan stays small.
     """
     scratch = Scratch(rows.sparkSession, "greedy")
-    live, taken = scratch.write(rows.select("id", "a", "b"), "live"), []
-    for _ in range(most_rounds):
-        if not live.limit(1).count():
-            break
+    live, taken = scratch.write(rows.select("id", "a", "b").dropna(), "live"), []
+    while live.limit(1).count():
         by_a = live.groupBy("a").agg(F.min("id").alias("ia"))
         by_b = live.groupBy("b").agg(F.min("id").alias("ib"))
         won = scratch.write(live.join(by_a, "a").join(by_b, "b").where("id = ia and id = ib").select("id", "a", "b"), "won")
@@ -31,10 +33,9 @@ def greedy_rows(rows: DataFrame, most_rounds: int = 60) -> DataFrame:
         rest = scratch.write(live.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti"), "live")
         scratch.drop(live)
         live = rest
-    out = taken[0] if taken else rows.select("id").limit(0)
-    for t in taken[1:]:
-        out = out.unionByName(t)
-    return out
+        if len(taken) >= joined:
+            taken = [scratch.write(reduce(DataFrame.unionByName, taken), "taken")]
+    return reduce(DataFrame.unionByName, taken) if taken else rows.select("id").limit(0)
 
 
 def pool(labelled: DataFrame) -> DataFrame:
