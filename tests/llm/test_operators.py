@@ -482,6 +482,11 @@ def test_language_odd(spark):
     assert {r.lang_pred for r in language_id.identify(frame(spark, ["a", None])).collect()} == {"und"}
 
 
+def test_language_nothing_to_learn(spark):
+    kept = language_id.keep_identified(frame(spark, ["a word", None, "12 -", "été", ""])).collect()
+    assert {r.doc_id for r in kept} == {0, 3}
+
+
 def test_never_learns_from_held_out():
     import inspect
 

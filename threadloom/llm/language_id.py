@@ -191,7 +191,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
-    """``docs`` with all its columns, without the documents whose language is ``und``."""
+    """``docs`` with all its columns, without the documents whose language is ``und``.
+
+    If nothing can be learnt, only null texts and texts without a letter go.
+    """
     spark = docs.sparkSession
     tune(spark)
     sent = spark.sparkContext.broadcast(train(docs, id_col, text_col, lang_col, **bounds))
@@ -201,7 +204,11 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         grams = Grams()
         for b in batches:
             if b.num_rows:
-                names, _ = _predict(sent.value, b.column(at).to_pylist(), grams)
-                yield b.filter(pa.array([n != UNDETERMINED for n in names]))
+                texts = b.column(at).to_pylist()
+                if sent.value is None:
+                    keep = [has_letter(t) for t in texts]
+                else:
+                    keep = [n != UNDETERMINED for n in _predict(sent.value, texts, grams)[0]]
+                yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
