@@ -450,6 +450,26 @@ def test_importance(spark):
     assert importance.importance_resample(frame(spark, ["a", "b"]), labels.limit(0)).count() == 2
 
 
+def test_importance_tables_grow(spark, monkeypatch):
+    # two words that share one of 10,000 buckets: only a larger table tells the target's from the other
+    seen, pair = {}, None
+    for k in range(10**6):
+        b = int(importance.gram_buckets(f"w{k}")[0])
+        if b in seen:
+            pair = seen[b], f"w{k}"
+            break
+        seen[b] = f"w{k}"
+    texts = [pair[k % 2] for k in range(40)]
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    weigh = lambda: {r.doc_id: r.log_weight for r in importance.importance_resample(frame(spark, texts), labels).collect()}
+    small = weigh()
+    assert small[0] == small[1]
+    monkeypatch.setattr(importance, "BYTES_A_BUCKET", 1e-4)
+    large = weigh()
+    assert large[0] > 0 > large[1]
+    assert importance.bucket_count(frame(spark, [])) == importance.BUCKETS
+
+
 def test_kth_largest(spark):
     rng = random.Random(11)
     keys = [rng.gauss(0, 100) for _ in range(500)] + [1.0] * 50

@@ -4,6 +4,9 @@ Two bag-of-n-grams models (hashed words and word pairs) are counted over all doc
 over the target documents, one over the raw corpus. A document's weight is the log ratio of
 its likelihoods, and Gumbel top-k draws k documents without replacement in proportion to the
 weights. The noise is a hash of the id, so a rerun draws the same documents.
+
+The number of buckets grows with the corpus, so that rare wording counts in a large one too, while
+each bucket holds enough n-grams for a ratio.
 """
 
 from __future__ import annotations
@@ -12,13 +15,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_schema, as_batches, column, text_of, tune
 
-BUCKETS = 10_000
+BUCKETS = 10_000  # at least
+BYTES_A_BUCKET = 50_000  # of text, about 17,000 words and pairs
 BROADCAST_LABELS = 500_000
 _CACHE_WORDS = 250_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -37,26 +42,34 @@ class _Hashes(dict):
 _hashes = _Hashes()  # of this worker process
 
 
-def gram_buckets(text: str) -> np.ndarray:
+def bucket_count(texts: DataFrame) -> int:
+    """Buckets for a corpus: one for BYTES_A_BUCKET bytes of text, BUCKETS at least."""
+    return max(BUCKETS, math.ceil((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BYTES_A_BUCKET))
+
+
+def gram_buckets(text: str, buckets: int = BUCKETS) -> np.ndarray:
     """The bucket of each word and of each pair of neighbouring words, repeats included."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) ^ (h[:-1] >> np.uint64(29))
-    return np.concatenate([h, pairs]) % np.uint64(BUCKETS)
+    return np.concatenate([h, pairs]) % np.uint64(buckets)
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """bucket, n (raw), n_target over all texts. texts: text, target (boolean). A task sends BUCKETS rows at most."""
+def gram_counts(texts: DataFrame, buckets: int) -> DataFrame:
+    """bucket, n (raw), n_target over all texts. texts: text, target (boolean). A task sends ``buckets`` rows at most."""
     target, arrow = arrow_schema(texts.sparkSession, "bucket int, n long, n_target long")
 
     def run(batches):
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros((2, buckets), np.int64)
         for b in batches:
-            for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = np.bincount(gram_buckets(text).astype(np.int64), minlength=BUCKETS)
-                total[0] += got
-                if wanted:
-                    total[1] += got
+            for wanted in (False, True):
+                mine = b.column(0).filter(b.column(1) if wanted else pc.invert(b.column(1)))
+                got = [gram_buckets(text, buckets) for text in mine.to_pylist()]
+                if got:
+                    n = np.bincount(np.concatenate(got).astype(np.int64), minlength=buckets)
+                    total[0] += n
+                    if wanted:
+                        total[1] += n
         at = np.flatnonzero(total[0])
         yield from as_batches({"bucket": at.astype(np.int32), "n": total[0][at], "n_target": total[1][at]}, arrow)
 
@@ -64,11 +77,11 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
-def log_ratio(counts: list, smoothing: float = 1.0) -> np.ndarray:
-    n = np.full((2, BUCKETS), smoothing)
-    for r in counts:
-        n[0, r.bucket] += r.n
-        n[1, r.bucket] += r.n_target
+def log_ratio(counts: pa.Table, buckets: int, smoothing: float = 1.0) -> np.ndarray:
+    n = np.full((2, buckets), smoothing)
+    at = counts.column("bucket").to_numpy()
+    n[0, at] += counts.column("n").to_numpy()
+    n[1, at] += counts.column("n_target").to_numpy()
     return np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
 
 
@@ -99,6 +112,7 @@ def importance_resample(
     id_col: str = "doc_id",
     text_col: str = "text",
     seed: int = 42,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, log_weight, gumbel_key, kept.
 
@@ -106,6 +120,7 @@ def importance_resample(
     ceil(fraction x rows) largest keys; None takes the share of target documents among the
     labelled ones. Rows whose keys tie at the limit are all kept. Null and empty texts have
     weight 0. Without labels both models are equal, every weight is 0 and the draw is uniform.
+    ``buckets`` is the size of the models' tables; None takes one for BYTES_A_BUCKET bytes of text.
     Labels that repeat an id count as target if any of them is. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -121,15 +136,16 @@ def importance_resample(
     # where the labels are few they travel; beyond that both sides shuffle once
     few = wanted.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     marked = narrow.join(F.broadcast(wanted) if few else wanted, "doc_id", "left")
-    counts = gram_counts(marked.select("text", F.coalesce("target", F.lit(False)).alias("target")))
-    ratio = spark.sparkContext.broadcast(log_ratio(counts.collect()))  # BUCKETS rows
+    buckets = buckets or bucket_count(narrow)
+    counts = gram_counts(marked.select("text", F.coalesce("target", F.lit(False)).alias("target")), buckets)
+    ratio = spark.sparkContext.broadcast(log_ratio(counts.toArrow(), buckets))  # a row for each bucket
     kind = narrow.schema["doc_id"].dataType.simpleString()
     target, arrow = arrow_schema(spark, f"doc_id {kind}, log_weight double")
 
     def weigh(batches):
         for b in batches:
             if b.num_rows:
-                w = [float(ratio.value[gram_buckets(t)].sum()) for t in b.column(1).to_pylist()]
+                w = [float(ratio.value[gram_buckets(t, buckets)].sum()) for t in b.column(1).to_pylist()]
                 yield from as_batches({"doc_id": b.column(0), "log_weight": w}, arrow)
 
     unit = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
