@@ -425,6 +425,25 @@ def test_packing(spark):
     assert packing.pack(frame(spark, ["a", "a", "b"], [1, 1, None])).count() == 3
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing_words(name):
+    """Ids of texts at a time are those of each text alone, while words are remembered, forgotten and learnt again."""
+    from tokenizers import Tokenizer
+
+    path, rng = packing.vocabulary_path(name), random.Random(11)
+    alone, words = Tokenizer.from_file(path).encode, packing._Words(path)
+    words.words.most = words.runs.most = 60
+    letters = "abcdeABÉéßñİΣ'.,1<|>\u00a0\u0301\x85"
+    for _ in range(40):
+        texts = [t or "" for t in rng.choices(ODD, k=3)] + [
+            rng.choice(["", " "]) + " ".join("".join(rng.choices(letters, k=rng.randrange(1, 7))) for _ in range(rng.randrange(12))) for _ in range(8)
+        ]
+        ids, bounds = words.ids(texts)
+        for t, a, b in zip(texts, bounds, bounds[1:]):
+            assert np.frombuffer(ids[a:b], "<u4").tolist() == alone(t, add_special_tokens=False).ids + [0], t
+        assert len(words.words.names) <= 60 + 90
+
+
 # ---- importance ----
 def test_importance(spark):
     rng = random.Random(10)

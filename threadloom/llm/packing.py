@@ -11,27 +11,77 @@ of its length. No group of rows meets in one task.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_schema, as_batches, column, text_of, tune
 
 VOCABULARY = "word_bpe_49k.json"
-SEPARATOR = b"\0\0\0\0"  # id 0, after each document
-_CACHE_WORDS = 400_000
-
-
-class _Words(dict):
-    """Ids (little-endian uint32 bytes) of words between ASCII white space.
-
-    The vocabulary's pre-tokenizer never lets a token cross white space, so a text's ids are those
-    of its words in order. Unknown words of a group of texts are encoded together, many to a call, and
-    told apart by their offsets. Beyond ``_CACHE_WORDS`` a group's new words are forgotten after it.
+_CACHE_WORDS = 500_000
+_SEPARATOR = 0  # after each document
+#: Words that are one run of letters, with a comma or a full stop behind it or not.
+_PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[,.]?$"
+#: What a vocabulary file must say of its normalizer and pre-tokenizer for words to be encoded one by one.
+_SPLIT = {"pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` from start on, of these sizes, end to end."""
+    total = np.cumsum(size)
+    n = int(total[-1]) if len(total) else 0
+    kind = np.int32 if max(n, len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((start - total + size).astype(kind), size) + np.arange(n, dtype=kind)]
+
+
+def _texts(strings) -> pa.Array:
+    return pa.array(strings, pa.large_string())
+
+
+class _Table:
+    """Strings and the ids of each. Beyond ``most`` strings those used longest ago go."""
+
+    def __init__(self, most: int):
+        self.most, self.clock = most, 0
+        self.names, self.flat = _texts([]), np.zeros(0, "<u4")
+        self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, names: pa.Array, learn) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, how many each). names: each once; ``learn`` does the same for unknown ones."""
+        at = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.names) + np.arange(len(new))
+            unknown = names.take(pa.array(new))
+            flat, size = learn(unknown)
+            self.names = pa.concat_arrays([self.names, unknown])
+            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.clock += 1
+        self.used[at] = self.clock
+        start, size = np.cumsum(self.size) - self.size, self.size[at]
+        out = _gather(self.flat, start[at], size)
+        if len(self.names) > self.most:
+            stay = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+            self.flat = _gather(self.flat, start[stay], self.size[stay])
+            self.names, self.size, self.used = self.names.take(pa.array(stay)), self.size[stay], self.used[stay]
+        return out, size
+
+
+class _Words:
+    """Ids of texts. Words between ASCII white space are encoded once and remembered.
+
+    The vocabulary's pre-tokenizer never lets a token cross white space, so a text's ids are those of its
+    words in order; with a vocabulary file of another kind whole texts are encoded. Plain words fall into
+    a run of letters and a mark, and equal runs are encoded once, whatever their case. Their ids are told
+    apart by the ids that end a run; those of the other words by their offsets.
     """
 
     def __init__(self, path: str):
@@ -39,38 +89,92 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
-
-    def _alone(self, word: str) -> bytes:
-        return np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        texts, together = [w.decode("utf-8", "replace") for w in words], []
-        for word, text in zip(words, texts):
-            # words of plain letters keep their offsets; others, and marks of special tokens, go alone
-            if "<|" in text or max(text) > "\u024f":
-                self[word] = self._alone(text)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        normal = (spec.get("normalizer") or {}).get("normalizers")
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_words = bool(suffix) and normal == _NORMAL and {k: steps[0].get(k) for k in _SPLIT} == _SPLIT
+        if self.by_words:
+            plain = spec | {"normalizer": None, "added_tokens": [], "post_processor": None}
+            plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *steps[1:]]}
+            self.runs_of = Tokenizer.from_str(json.dumps(plain)).encode_batch_fast
+            vocabulary = spec["model"]["vocab"]
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[k for word, k in vocabulary.items() if word.endswith(suffix)]] = True
+            self.marks = [self._alone(m) for m in (",", ".")]
+        self.words, self.runs = _Table(_CACHE_WORDS), _Table(_CACHE_WORDS // 2)
+
+    def _alone(self, word: str) -> np.ndarray:
+        return np.array(self.encode(word, add_special_tokens=False).ids, "<u4")
+
+    def _letters(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs of lower-case letters."""
+        runs = runs.to_pylist()
+        parts = [" ".join(runs[k : k + 500]) for k in range(0, len(runs), 500)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.runs_of(parts, add_special_tokens=False)])
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def _others(self, words: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(words)
+        near = []
+        for k, w in enumerate(words):
+            # words of common letters keep their offsets; others, and marks of special tokens, go alone
+            if "<|" in w or max(w) > "\u024f":
+                out[k] = self._alone(w)
             else:
-                together.append((word, text))
-        for k in range(0, len(together), 500):
-            part = together[k : k + 500]
-            got = self.encode(" ".join(t for _, t in part), add_special_tokens=False)
-            ids, first = np.array(got.ids, "<u4").tobytes(), np.array([a for a, _ in got.offsets], np.int64)
-            ends = np.cumsum([0] + [len(t) + 1 for _, t in part])
-            cut = (np.searchsorted(first, ends) * 4).tolist()
-            for (word, _), a, b in zip(part, cut, cut[1:]):
-                self[word] = ids[a:b]
-
-    def token_bytes(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, then the separator."""
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        new = {w for w in set().union(*split) if w not in self}
-        self.learn(new)
-        out = [b"".join(map(self.__getitem__, words)) + SEPARATOR for words in split]
-        if len(self) > _CACHE_WORDS:
-            for w in new:
-                del self[w]
+                near.append(k)
+        for k in range(0, len(near), 500):
+            part = near[k : k + 500]
+            got = self.encode(" ".join(words[j] for j in part), add_special_tokens=False)
+            ids, first = np.array(got.ids, "<u4"), np.array([a for a, _ in got.offsets], np.int64)
+            ends = np.cumsum([len(words[j]) + 1 for j in part])
+            for j, x in zip(part, np.split(ids, np.searchsorted(first, ends[:-1]))):
+                out[j] = x
         return out
 
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = pc.match_substring_regex(words, _PLAIN)
+        easy = words.filter(plain)
+        lower = pc.utf8_lower(easy)
+        runs = pc.utf8_rtrim(lower, ",.").dictionary_encode()
+        flat, size = self.runs.find(runs.dictionary, self._letters)
+        rest = self._others(words.filter(pc.invert(plain)).to_pylist())
+        # codes: runs, then comma and full stop, then the other words, then nothing
+        size = np.concatenate([size, [len(m) for m in self.marks], [len(x) for x in rest], [0]]).astype(np.int64)
+        flat = np.concatenate([flat, *self.marks, *rest])
+        n = len(runs.dictionary)
+        code = np.full((len(words), 2), len(size) - 1)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        mark = np.full(len(easy), len(size) - 1)
+        for k, m in enumerate((",", ".")):
+            mark[pc.ends_with(easy, m).to_numpy(zero_copy_only=False)] = n + k
+        code[is_plain, 0] = runs.indices.to_numpy()
+        code[is_plain, 1] = mark
+        code[~is_plain, 0] = n + 2 + np.arange(len(rest))
+        start = np.cumsum(size) - size
+        return _gather(flat, start[code.ravel()], size[code.ravel()]), size[code].sum(axis=1)
+
+    def ids(self, texts: list[str]) -> tuple[memoryview, list[int]]:
+        """Little-endian unsigned 32-bit ids of all texts end to end, a 0 after each; where each begins and the last ends, in bytes."""
+        if not self.by_words:
+            each = [np.append(self._alone(t), np.uint32(_SEPARATOR)).astype("<u4").tobytes() for t in texts]
+            return memoryview(b"".join(each)), np.cumsum([0, *map(len, each)]).tolist()
+        split = pc.ascii_split_whitespace(_texts(texts))
+        coded = split.flatten().dictionary_encode()
+        known = coded.dictionary
+        blank = pc.equal(known, "").to_numpy(zero_copy_only=False)  # white space at either end leaves an empty word
+        flat, some = self.words.find(known.filter(pa.array(~blank)), self._learn)
+        size = np.zeros(len(known) + 1, np.int64)
+        size[:-1][~blank] = some
+        size[-1] = 1  # the separator
+        flat = np.append(flat, np.uint32(_SEPARATOR)).astype("<u4")
+        ends = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
+        code = np.insert(coded.indices.to_numpy(), ends, len(known))
+        n = size[code]
+        bounds = np.concatenate([[0], np.cumsum(n)[ends + np.arange(len(ends))]]) * 4
+        return memoryview(_gather(flat, (np.cumsum(size) - size)[code], n).tobytes()), bounds.tolist()
+
 
 _words: dict[str, _Words] = {}  # of this worker process; kept from task to task
 
@@ -88,7 +192,7 @@ def words_of(path: str | None) -> _Words:
     return _words[path]
 
 
-def groups(texts: list[str], chars: int = 2_000_000):
+def groups(texts: list[str], chars: int = 4_000_000):
     """Lists of texts of about so many characters, at least one text each: bounds the words in memory at once."""
     part, size = [], 0
     for t in texts:
@@ -115,15 +219,18 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer
         part, words, seen = TaskContext.get().partitionId(), words_of(tokenizer_path), np.zeros(capacity + 1, np.int64)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            encoded = (ids for part in groups(b.column(1).to_pylist()) for ids in words.token_bytes(part))
-            for k, ids in enumerate(encoded):
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = ids[at : at + 4 * capacity]
-                    row.append(k)
-                    piece.append(n)
-                    start.append(at // 4)
-                    length.append(len(cut) // 4)
-                    crc.append(zlib.crc32(cut))
+            k = 0
+            for texts in groups(b.column(1).to_pylist()):
+                ids, bounds = words.ids(texts)
+                for first, end in zip(bounds, bounds[1:]):
+                    for n, at in enumerate(range(first, end, 4 * capacity)):
+                        cut = ids[at : min(end, at + 4 * capacity)]
+                        row.append(k)
+                        piece.append(n)
+                        start.append((at - first) // 4)
+                        length.append(len(cut) // 4)
+                        crc.append(zlib.crc32(cut))
+                    k += 1
             if row:
                 size = np.array(length)
                 order = np.argsort(size, kind="stable")
