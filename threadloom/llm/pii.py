@@ -15,12 +15,14 @@ is never taken: no genuine one does. Scoring is a sum of CASE expressions: no Py
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, column, text_of
-from .spans import found, joined
+from .spans import apart, found, joined, let, scan
 
 # The base kinds' patterns. The possessive forms and the starts that only follow
 # another character class match the same spans in linear time and without recursion.
@@ -101,7 +103,7 @@ FEATURES = {
 NAMES = list(FEATURES)
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def scan_candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, candidates: (kind, start, end, ok, f), f a bit mask of the features."""
     text = text_of(text_col)
     digit = text.rlike("[0-9]")
@@ -175,8 +177,10 @@ class Boosted:
         return out
 
 
-def calibrated(kinds: np.ndarray, score: np.ndarray, positive: np.ndarray, negative: np.ndarray, precision: float) -> list[float]:
-    """For each kind the lowest score from which on the precision holds; infinity if there is none.
+def calibrated(
+    kinds: np.ndarray, score: np.ndarray, positive: np.ndarray, negative: np.ndarray, precision: float
+) -> list[tuple[float, float]]:
+    """For each kind the lowest score from which on the precision holds, infinity if there is none, and that precision.
 
     Of p that pass and n that fail, n c / (1 - c) passed by chance, c being the kind's chance; the others are genuine.
     The limit lies midway to the next lower score, and at minus infinity if there is none.
@@ -190,14 +194,15 @@ def calibrated(kinds: np.ndarray, score: np.ndarray, positive: np.ndarray, negat
         lucky = n * CHANCE.get(name, 0.0) / (1 - CHANCE.get(name, 0.0))
         good = np.flatnonzero(last & (p - lucky >= precision * p) & (p > 0))
         if not len(good):
-            out.append(float("inf"))
+            out.append((float("inf"), 0.0))
         else:
-            out.append(float("-inf") if good[-1] == len(s) - 1 else float((s[good[-1]] + s[good[-1] + 1]) / 2))
+            g = good[-1]
+            out.append((float("-inf") if g == len(s) - 1 else float((s[g] + s[g + 1]) / 2), float((p[g] - lucky[g]) / p[g])))
     return out
 
 
-def train(scanned: DataFrame, precision: float) -> tuple[Boosted, list[float]]:
-    """The trees and each kind's threshold. The collected table has a row per feature vector that occurs, not per document."""
+def train(scanned: DataFrame, precision: float) -> tuple[Boosted, list[tuple[float, float]]]:
+    """The trees, and each kind's threshold and precision. The collected table has a row per feature vector that occurs, not per document."""
     rows = (
         scanned.select(F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold"), F.explode("candidates").alias("x"))
         .groupBy("x.kind", "x.f", (F.col("fold") == 0).alias("held"))
@@ -206,7 +211,7 @@ def train(scanned: DataFrame, precision: float) -> tuple[Boosted, list[float]]:
         .collect()
     )
     if not rows:
-        return Boosted(0), [float("inf")] * len(KINDS)
+        return Boosted(0), [(float("inf"), 0.0)] * len(KINDS)
     x = np.array([[r.f >> k & 1 for k in range(len(NAMES))] for r in rows], float)
     p, n = (np.array([r[name] for r in rows], float) for name in ("p", "n"))
     held, kinds = np.array([r.held for r in rows]), np.array([r.kind for r in rows])
@@ -225,40 +230,50 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
 
     kind is a number, a place in KINDS. base holds what the four base kinds find; spans also holds
     candidates of the looser kinds that pass their check, have a score of format and context above their
-    kind's threshold (at least ``precision`` of those that pass are held to be genuine) and don't overlap a
-    base span. Places are code points, end exclusive. Null text counts as empty; rows that repeat an id
-    are scanned each on its own. An empty table gives no rows; other columns are ignored.
+    kind's threshold (at least ``precision`` of those that pass are held to be genuine) and overlap no base
+    span and no candidate of a kind whose precision is higher (of equal ones the first in KINDS). Places are
+    code points, end exclusive. Null text counts as empty; rows that repeat an id are scanned each on its
+    own. An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    scanned = scratch.write(scan(docs, id_col, text_col), "scanned")
+    scanned = scratch.write(scan_candidates(docs, id_col, text_col), "scanned")
     model, limits = train(scanned, precision)
-    limit = F.array(*(F.lit(x) for x in limits))
+    limit = F.array(*(F.lit(x) for x, _ in limits))
     place = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    base = F.array_sort(F.transform(F.filter("candidates", lambda x: (x["kind"] < BASE) & x["ok"]), place))
-    loose = F.filter(
-        "candidates",
-        lambda x: (x["kind"] >= BASE)
-        & x["ok"]
-        & (F.round(model.expression(x["f"]), 9) >= F.element_at(limit, x["kind"] + 1))
-        & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
-    return scanned.withColumn("base", base).select(
-        "doc_id", "base", F.array_sort(F.concat("base", F.transform(loose, place))).alias("spans")
-    )
+    base = F.transform(F.filter("candidates", lambda x: (x["kind"] < BASE) & x["ok"]), place)
+    good = lambda x: F.round(model.expression(x["f"]), 9) >= F.element_at(limit, x["kind"] + 1)
+    loose = F.transform(F.filter("candidates", lambda x: (x["kind"] >= BASE) & x["ok"] & good(x)), place)
+
+    out = scanned.select("doc_id", base.alias("base"), loose.alias("loose")).withColumn("spans", F.col("base"))
+    kinds = [k for k in range(BASE, len(KINDS)) if limits[k][0] < float("inf")]
+    for kind in sorted(kinds, key=lambda k: (-limits[k][1], k)):
+        mine = F.filter("loose", partial(_is, kind))
+        out = out.withColumn("spans", F.when(F.exists("loose", partial(_is, kind)), F.concat("spans", apart(mine, F.col("spans")))).otherwise(F.col("spans")))
+    return out.select("doc_id", F.array_sort("base").alias("base"), F.array_sort("spans").alias("spans"))
+
+
+def _is(kind: int, x: Column) -> Column:
+    return x["kind"] == kind
 
 
 def redact(docs_text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first counts."""
+    """The text with spans replaced by their kind in brackets; spans that overlap go as one, under the name of the first."""
     name = F.array(*map(F.lit, KINDS))
     order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"], x["end"], x["kind"])))
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(s: Column, x: Column) -> Column:
-        kept = F.substring(docs_text, s["at"] + 1, x["start"] - s["at"])
-        put = F.concat(s["out"], kept, F.lit("["), F.upper(F.element_at(name, x["kind"] + 1)), F.lit("]"))
-        return F.when(x["start"] >= s["at"], F.struct(put.alias("out"), x["end"].alias("at"))).otherwise(s)
+    def put(y: Column) -> Column:
+        def piece(x: Column, k: Column) -> Column:
+            before = F.element_at(y["before"], k + 1)
+            kept = F.array_join(F.slice(y["chars"], before + 1, x["start"] - before), "")
+            return F.when(x["start"] >= before, F.concat(kept, F.lit("["), F.upper(F.element_at(name, x["kind"] + 1)), F.lit("]"))).otherwise(F.lit(""))
 
-    return F.aggregate(order, zero, step, lambda s: F.concat(s["out"], F.substring(docs_text, s["at"] + 1, F.length(docs_text))))
+        rest = F.array_join(F.slice(y["chars"], F.array_max(F.transform(y["order"], lambda x: x["end"])) + 1, F.size(y["chars"])), "")
+        return F.concat(F.array_join(F.transform(y["order"], piece), ""), rest)
+
+    with_ends = lambda o: F.struct(
+        F.split(docs_text, "").alias("chars"), o.alias("order"), scan(F.transform(o, lambda x: x["end"]), 0, F.greatest).alias("before")
+    )
+    return F.when(F.size(spans) == 0, docs_text).otherwise(let(let(order, with_ends), put))
 
 
 def pii_digest(pii: DataFrame) -> DataFrame:
