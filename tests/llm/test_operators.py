@@ -246,6 +246,27 @@ def test_decontamination_recall(n, rate):
     assert set(got) == {(k, k) for k in range(20)} and max(got.values()) <= int(rate * n)
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 9, 10])
+@pytest.mark.parametrize("kind", ["substitution", "deletion", "insertion"])
+def test_decontamination_walks(n, kind):
+    """A pair of bands proposes a window with one edit, wherever it is, with the chance that the number of bands is chosen for."""
+    rng, length = random.Random(n), max(x for x in decontamination.STEPS if x <= n)
+    for place in range(n):
+        met = 0
+        for trial in range(120):
+            item = [rng.randrange(1, 10**6) for _ in range(n)]
+            edited = list(item)
+            edited[place : place + (kind != "insertion")] = [] if kind == "deletion" else [rng.randrange(1, 10**6)]
+            text = [rng.randrange(1, 10**6) for _ in range(3)] + edited + [rng.randrange(1, 10**6) for _ in range(3)]
+            pair = []
+            for back in (0, 1):
+                a, b = (np.array((x[::-1] if back else x) + [0] * 50) for x in (item, text))
+                want = decontamination.walks(a, np.array([0]), 2 * trial + back, [length])[length]
+                pair.append((decontamination.walks(b, np.arange(len(text)), 2 * trial + back, [length])[length] == want).any())
+            met += any(pair)
+        assert met / 120 >= decontamination.PAIR - 0.1, (place, met)
+
+
 @pytest.mark.parametrize("edits", [40, 150])
 def test_decontamination_long_item_edited_at_its_start(spark, edits):
     rng = random.Random(edits)

@@ -1,14 +1,18 @@
-"""Benchmark decontamination: exact search for pieces of the items, exact edit verification.
-
-Texts and items are sequences of lower-case words. An item that may differ by d edits is cut into
-d + 1 pieces of nearly equal length. An edit touches one piece at most, so a stretch of a document
-within d edits holds at least one piece word for word, and at most d words off the piece's place in
-the item. Looking up every piece therefore proposes every such stretch, whatever the item's length
-and wherever the edits are: the recall is 1 by construction, not a matter of chance. Each proposed
-region is then verified by an exact word edit distance between the item and its best-fitting stretch.
-
-A stretch within d edits of an item of n words has at least n - d words of the item. That test is
-lossless too and spares most of the distances.
+"""Benchmark decontamination: CGK random walks, repeated bit-sampling LSH, exact edit verification.
+
+Texts and items are sequences of lower-case words. A CGK walk reads a sequence for a number of steps:
+in each it emits the word at its place and moves on by one or not, as a hash of step and word says.
+Two sequences walked with the same hash meet again soon after an edit, so that a small edit distance
+becomes a small Hamming distance of what they emit, and a few sampled steps (a band) agree by chance.
+
+The walk drifts apart with the number of edits, so windows are as long as an item only up to about ten
+words. A longer item, which may differ by d edits, is cut into d // 2 + 1 pieces. Whatever the edits and
+wherever they are, one piece has one edit at most. Half of the bands walk from a window's start on, half
+from its end back, so that an edit near either end is met late by one of them. A pair of bands proposes
+a piece with one edit with a chance of PAIR at least, an untouched piece for certain; ``recall`` sets the
+number of pairs. Each region proposed is verified by the exact word edit distance between the item and
+its best-fitting stretch. A stretch within d edits of an item of n words has at least n - d words of the
+item; that lossless test spares most of the distances.
 
 Items travel to the tasks in blocks of bounded size (``block_bytes``); a larger benchmark takes more
 passes over the documents. Documents never shuffle.
@@ -26,9 +30,16 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, as_batches, column, text_of, tune
 
 _PUNCTUATION = bytes(32 if b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) else b for b in range(256))
-BYTES_A_WORD = 200  # of an item's word in a Matcher, about
+BYTES_A_WORD = 250  # of an item's word in a Matcher, about
 LONGEST_REGION = 1 << 16
-_MIX = np.int64(0x27D4EB2F165667C5)
+#: Steps of a walk; a window takes the most that don't exceed its words.
+STEPS = (1, 2, 3, 4, 5, 7, 10, 14, 20, 28, 40)
+SAMPLES = 4  # of a band
+#: The least chance that a band from the start or one from the end proposes a piece with one edit (measured: 0.47).
+PAIR = 0.45
+_MIX = np.uint64(0x27D4EB2F165667C5)
+_SIEVE = 18  # bits of a key that are looked up first
+_PAIRS = 22  # bits of the hash of two neighbouring words
 RESULT = "doc_id {kind}, item_id {item}, distance int, similarity double, start_word long, end_word long"
 
 
@@ -42,15 +53,50 @@ def allowed(n: int, similarity: float) -> int:
 
 
 def cuts(n: int, d: int) -> list[int]:
-    """The bounds of d + 1 pieces of n words."""
-    return [n * k // (d + 1) for k in range(d + 2)]
+    """The bounds of the pieces of n words with d edits: d // 2 + 1 of them, of which one has one edit at most."""
+    pieces = d // 2 + 1
+    return [n * k // pieces for k in range(pieces + 1)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return (x ^ (x >> np.uint64(29))) * _MIX
+
+
+def samples(band: int, steps: int) -> list[int]:
+    """The steps that a band samples: one of each quarter of the walk."""
+    bounds = [steps * k // SAMPLES for k in range(SAMPLES + 1)]
+    draw = lambda k: int(_mixed(np.array([band * 64 + steps, k], np.uint64) + np.uint64(1))[:1][0] >> np.uint64(7 + 11 * k))
+    return sorted({a + draw(k) % (b - a) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a})
+
+
+def walks(words: np.ndarray, start: np.ndarray, band: int, lengths: list[int]) -> dict[int, np.ndarray]:
+    """For each length of walk the band's key of the window at each start. words: followed by enough zeros."""
+    move = _mixed(words.astype(np.uint64) + (np.uint64(band + 1) << np.uint64(40)))
+    word, at = words.astype(np.uint64), start.copy()
+    sampled = {n: samples(band, n) for n in lengths}
+    out = {n: np.zeros(len(start), np.uint64) for n in lengths}
+    for step in range(1 + max(s[-1] for s in sampled.values())):
+        here = [n for n in lengths if step in sampled[n]]
+        if here:
+            now = word[at]
+            for n in here:
+                out[n] = (out[n] ^ (out[n] >> np.uint64(29))) * _MIX + now
+        at += ((move[at] >> np.uint64(step)) & np.uint64(1)).astype(at.dtype)
+    return {n: x ^ (x >> np.uint64(31)) for n, x in out.items()}
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    mixed = a.astype(np.uint32) * np.uint32(0x9E3779B1) ^ b.astype(np.uint32) * np.uint32(0x85EBCA77)
+    return mixed * np.uint32(0xC2B2AE3D) >> np.uint32(32 - _PAIRS)
 
 
 class Matcher:
-    """The pieces of one block of items. Word 0 stands for every word that no item has."""
+    """The bands of the pieces of one block of items. Word 0 stands for every word that no item has."""
 
-    def __init__(self, items: list[tuple], similarity: float):
+    def __init__(self, items: list[tuple], similarity: float, recall: float = 0.99):
         self.similarity = similarity
+        self.bands = 2 * max(1, math.ceil(math.log(1 - recall) / math.log(1 - PAIR)))
         self.vocabulary: dict[bytes, int] = {}
         self.items = []
         for item_id, text in items:
@@ -62,52 +108,113 @@ class Matcher:
                 self.items.append((item_id, ids))
         self.sizes = np.array([len(w) for _, w in self.items], np.int64)
         self.least = np.array([len(w) - allowed(len(w), similarity) for _, w in self.items], np.int64)
-        self.counts = [np.unique(w, return_counts=True) for _, w in self.items]
-        # of a piece that an item repeats, the first and the last place count
-        places: dict[int, dict[tuple[int, int], tuple[int, int]]] = {}
-        for j, (_, ids) in enumerate(self.items):
-            bounds = cuts(len(ids), allowed(len(ids), similarity))
-            keys = self._keys(ids, {b - a for a, b in zip(bounds, bounds[1:])})
-            for a, b in zip(bounds, bounds[1:]):
-                mine = places.setdefault(b - a, {})
-                at = (int(keys[b - a][a]), j)
-                mine[at] = (mine.get(at, (a, a))[0], a)
-        self.tables = {}  # for each length of pieces: sorted keys, and the item, first and last place of each
-        for length, mine in places.items():
-            rows = np.array([(*at, *place) for at, place in sorted(mine.items())], np.int64)
-            self.tables[length] = tuple(np.ascontiguousarray(c) for c in rows.T)
-
-    @staticmethod
-    def _keys(words: np.ndarray, lengths: set[int]) -> dict[int, np.ndarray]:
-        """For each length a hash of the words from each place on."""
-        out, key = {}, np.zeros(len(words), np.int64)
-        for k in range(min(max(lengths), len(words))):
-            key = (key[: len(words) - k] ^ (key[: len(words) - k] >> 29)) * _MIX + words[k:]
-            if k + 1 in lengths:
-                out[k + 1] = key
+        # 1024 bits for each item, by a hash of its words
+        self.masks = np.zeros((len(self.items), 128), np.uint8)
+        for mask, (_, w) in zip(self.masks, self.items):
+            bit = w.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(22)
+            np.bitwise_or.at(mask, bit >> np.uint32(3), np.uint8(1) << (bit & np.uint32(7)).astype(np.uint8))
+        rows = [
+            (j, a, b, max(s for s in STEPS if s <= b - a))
+            for j, (n, least) in enumerate(zip(self.sizes.tolist(), self.least.tolist()))
+            for bounds in [cuts(n, n - least)]
+            for a, b in zip(bounds, bounds[1:])
+        ]
+        item, low, high, steps = np.array(rows, np.int64).reshape(-1, 4).T
+        self.lengths = sorted(set(steps.tolist()))
+        first = np.cumsum(self.sizes) - self.sizes
+        flat = np.concatenate([w for _, w in self.items]) if self.items else np.zeros(0, np.int32)
+        self.tables = {}  # for each band and length of walk: sorted keys, and the item and the piece's place in it
+        for band in range(self.bands):
+            back = band % 2
+            start = len(flat) - first[item] - high if back else first[item] + low
+            keys = walks(self._padded(flat[::-1] if back else flat), start, band, self.lengths) if len(rows) else {}
+            for n, key in keys.items():
+                mine = np.flatnonzero(steps == n)
+                order = mine[np.argsort(key[mine], kind="stable")]
+                self.tables[band, n] = key[order], item[order].astype(np.int32), (high if back else low)[order].astype(np.int32)
+        self.sieves: dict = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"sieves": {}}
+
+    def _padded(self, words: np.ndarray) -> np.ndarray:
+        return np.concatenate([words, np.zeros(self.lengths[-1] + 1, words.dtype)])
+
+    def _sieve(self, band: int, n: int) -> np.ndarray:
+        """Which low bits of keys occur: spares most of the searches."""
+        if (band, n) not in self.sieves:
+            self.sieves[band, n] = np.zeros(1 << _SIEVE, bool)
+            self.sieves[band, n][self.tables[band, n][0] & np.uint64((1 << _SIEVE) - 1)] = True
+        return self.sieves[band, n]
+
+    def _neighbours(self, words: np.ndarray) -> np.ndarray:
+        """Whether each word and the next follow one another in an item, too; or seem to by their hash."""
+        if "pairs" not in self.sieves:
+            self.sieves["pairs"] = np.zeros(1 << _PAIRS, bool)
+            for _, w in self.items:
+                self.sieves["pairs"][_pair(w[:-1], w[1:])] = True
+        return self.sieves["pairs"][_pair(words[:-1], words[1:])] & (words[:-1] > 0) & (words[1:] > 0)
+
+    def proposed(self, words: np.ndarray) -> np.ndarray:
+        """Rows (item, place in the text of the item's start, as if there were no edits)."""
+        found, far = [], self.lengths[-1]
+        pairs = self._neighbours(words)
+        sums = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int64), np.full(far + 1, np.count_nonzero(flags))])
+        for back in (0, 1):
+            text = words[::-1] if back else words
+            known, met = sums(text > 0), sums(pairs[::-1] if back else pairs)
+            count = len(text)
+            # of n words that a window begins with one at most is no word of the item, and two at most of their pairs are none of its
+            near = {
+                n: (known[n : n + count] - known[:count] >= max(1, n - 1)) & (met[n - 1 : n - 1 + count] - met[:count] >= n - 3) for n in self.lengths
+            }
+            start = np.flatnonzero(np.logical_or.reduce(list(near.values())))
+            near, text = {n: ok[start] for n, ok in near.items()}, self._padded(text)
+            for band in range(back, self.bands, 2):
+                for n, key in walks(text, start, band, self.lengths).items():
+                    hit = np.flatnonzero(self._sieve(band, n)[key & np.uint64((1 << _SIEVE) - 1)] & near[n])
+                    keys, item, place = self.tables[band, n]
+                    a, b = (np.searchsorted(keys, key[hit], side) for side in ("left", "right"))
+                    size = b - a
+                    which = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    at = np.repeat(start[hit], size)
+                    found.append(np.stack([item[which].astype(np.int64), (len(words) - at if back else at) - place[which]]))
+        item, at = np.concatenate(found, axis=1)
+        low = at.min(initial=0)
+        wide = int(at.max(initial=0) - low) + 1
+        return np.stack(np.divmod(np.unique(item * wide + (at - low)), wide), axis=1) + [0, low]
+
+    def shared(self, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many words from low to high are words of the item, or a little more."""
+        out = np.zeros(len(item), np.int64)
+        size = high - low
+        for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(np.cumsum(size) // 2_000_000)) + 1):
+            if len(part):
+                n = size[part]
+                begin = np.cumsum(n) - n
+                word = words[np.repeat(low[part] - begin, n) + np.arange(n.sum())]
+                bit = word.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(22)
+                byte = self.masks[np.repeat(item[part], n), bit >> np.uint32(3)]
+                mine = (word > 0) & ((byte >> (bit & np.uint32(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
+                out[part] = np.add.reduceat(mine.astype(np.int64), begin)
         return out
 
     def regions(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, item, from, to) that hold a piece, joined where they meet. words: ids of texts end to end, a 0 after each; first: where each begins."""
+        """(text, item, from, to) in which a piece is proposed, joined where they meet. words: ids of texts end to end, a 0 after each; first: where each begins."""
         total = np.concatenate([[0], np.cumsum(words > 0, dtype=np.int64)])
-        found = []
-        for length, key in self._keys(words, set(self.tables)).items():
-            keys, item, near, far = self.tables[length]
-            start = np.flatnonzero(total[length:] - total[:-length] == length)
-            a, b = (np.searchsorted(keys, key[start], side) for side in ("left", "right"))
-            n = b - a
-            at = np.repeat(start, n)
-            which = np.repeat(a, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            j = item[which]
-            size, d = self.sizes[j], self.sizes[j] - self.least[j]
-            row = np.searchsorted(first, at, side="right") - 1
-            low = np.maximum(first[row], at - far[which] - d)
-            high = np.minimum(first[row + 1] - 1, at - near[which] + size + d)
-            may = total[high] - total[low] >= self.least[j]
-            found.append(np.stack([row, j, low, high])[:, may])
-        if not found:
-            return []
-        row, j, low, high = np.concatenate(found, axis=1)
+        j, at = self.proposed(words).T
+        size, d = self.sizes[j], self.sizes[j] - self.least[j]
+        middle = np.clip(at + size // 2, 0, len(words) - 1)
+        # a piece may lie in the text before or after the one that holds the item's middle
+        rows = [np.searchsorted(first, np.clip(x, 0, len(words) - 1), side="right") - 1 for x in (middle, at, at + size - 1)]
+        other = [rows[0] >= 0, rows[1] != rows[0], (rows[2] != rows[0]) & (rows[2] != rows[1])]
+        row, j, at = (np.concatenate([x[ok] for x, ok in zip(xs, other)]) for xs in (rows, [j] * 3, [at] * 3))
+        size, d = self.sizes[j], self.sizes[j] - self.least[j]
+        low, high = np.maximum(first[row], at - d - 1), np.minimum(first[row + 1] - 1, at + size + d + 1)
+        may = np.flatnonzero(high > low)
+        may = may[total[high[may]] - total[low[may]] >= self.least[j[may]]]
+        may = may[self.shared(words, j[may], low[may], high[may]) >= self.least[j[may]]]
+        row, j, low, high = (x[may] for x in (row, j, low, high))
         order = np.lexsort((high, low, j, row))
         out: list[list[int]] = []
         for r, i, a, b in np.stack([row, j, low, high]).T[order].tolist():
@@ -123,7 +230,7 @@ class Matcher:
         want = self.items[item][1]
         n, least = len(want), int(self.least[item])
         d = n - least
-        known, often = self.counts[item]
+        known, often = np.unique(want, return_counts=True)
         at = np.searchsorted(known, text)
         at[at == len(known)] = 0
         if np.minimum(np.bincount(at[known[at] == text], minlength=len(known)), often).sum() < least:
@@ -183,12 +290,14 @@ def find_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     similarity: float = 0.8,
+    recall: float = 0.99,
     block_bytes: int = 64 << 20,
 ) -> DataFrame:
     """One row per (document, item) found: doc_id, item_id, distance, similarity, start_word, end_word.
 
-    An item is found if, and only if, its word edit distance to a stretch of the document is at most
-    (1 - similarity) of its words; the best place counts, then the first. similarity = 1 - distance /
+    An item can be found only if its word edit distance to a stretch of the document is at most
+    (1 - similarity) of its words, and is then found with a chance of ``recall`` at least, for certain if a
+    piece of it is untouched. Of the places found the best counts, then the first. similarity = 1 - distance /
     words. Null and empty texts and items without words are never found. Of items that repeat an id,
     each is found on its own; rows that repeat a doc_id too. No items or no documents: no rows.
     """
@@ -199,7 +308,7 @@ def find_leaks(
     target, arrow = arrow_schema(spark, RESULT.format(kind=kind, item=item_kind))
     out = None
     for items in blocks(benchmark, item_col, item_text_col, block_bytes):
-        sent = spark.sparkContext.broadcast(Matcher(items, similarity))
+        sent = spark.sparkContext.broadcast(Matcher(items, similarity, recall))
 
         def run(batches, sent=sent):
             matcher = sent.value
@@ -219,14 +328,25 @@ def find_leaks(
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", similarity: float = 0.8,
-               block_bytes: int = 64 << 20, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the documents in which an item is found."""
+def drop_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    similarity: float = 0.8,
+    recall: float = 0.99,
+    block_bytes: int = 64 << 20,
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """``docs`` with all its columns, without the documents in which an item is found, as by ``find_leaks``.
+
+    Null and empty texts stay. Each row counts on its own, whatever its id. No items: all documents stay.
+    """
     spark = docs.sparkSession
     tune(spark)
     at = docs.columns.index(text_col)
     for items in blocks(benchmark, item_col, item_text_col, block_bytes):
-        sent = spark.sparkContext.broadcast(Matcher(items, similarity))
+        sent = spark.sparkContext.broadcast(Matcher(items, similarity, recall))
 
         def run(batches, sent=sent):
             for b in batches:
