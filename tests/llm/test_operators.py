@@ -52,11 +52,27 @@ def test_exact_repeated_ids(spark):
     assert len(got) == 4 and {r.keep_id for r in got if r.group_size == 3} == {1}
 
 
-def test_exact_by_shuffle(spark, monkeypatch):
-    """Beyond the broadcast bound the filter is joined by a shuffle, with the same rows."""
-    monkeypatch.setattr(exact_dedup, "BROADCAST_WORDS", 0)
-    texts = ["a", "b", "a ", "c"] * 20
-    assert sorted(map(tuple, exact_dedup.exact_dedup(frame(spark, texts)).collect())) == brute_exact(range(80), texts)
+@pytest.mark.parametrize("rows", [2, 1 << 20])
+def test_exact_in_blocks(spark, monkeypatch, rows):
+    """A filter in many blocks, and rows combined a few at a time, give the same rows."""
+    monkeypatch.setattr(exact_dedup, "_ROWS", rows)
+    rng = random.Random(2)
+    texts = ["hot"] * 300 + [str(rng.randrange(250)) for _ in range(300)]
+    rng.shuffle(texts)
+    got = exact_dedup.exact_dedup(frame(spark, texts), block_bytes=64)
+    assert sorted(map(tuple, got.collect())) == brute_exact(range(600), texts)
+
+
+def test_filter_words():
+    rng = random.Random(3)
+    for _ in range(50):
+        rows = [(rng.randrange(6), 1 << rng.randrange(5) | 1 << rng.randrange(5), 1 << rng.randrange(5) & rng.randrange(32)) for _ in range(rng.randrange(1, 60))]
+        want = {}
+        for w, once, more in rows:
+            o, m = want.get(w, (0, 0))
+            want[w] = o | once, m | more | o & once
+        got = exact_dedup.combined(*(np.array(c, np.int64) for c in zip(*rows)))
+        assert {int(w): (int(o), int(m)) for w, o, m in zip(*got)} == want
 
 
 # ---- simhash ----
