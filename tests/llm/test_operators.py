@@ -461,21 +461,47 @@ def test_boosting_learns():
 
 
 # ---- fixity ----
+RECORD = "page_id long, volume long, record string, place int, hash string"
+
+
+def audited(spark, rows, other):
+    """(page_id, status) of all but the intact records; rows: (page_id, record). Other columns' names clash with the audit's own."""
+    frames = [spark.createDataFrame([(i, -1 if i is None else i // 1024, r, 7, "x") for i, r in x], RECORD) for x in (rows, other)]
+    got = fixity.audit(*frames).collect()
+    assert all(r.intact == (r.status == "intact") for r in got)
+    assert sum(r.status != "extra" for r in got) == len(rows)
+    return sorted(((r.page_id, r.status) for r in got if not r.intact), key=str)
+
+
 def test_fixity(spark):
     rows = [(k, f"http://x/{k}" if k % 7 else None, "é" * (k % 50) if k % 11 else None) for k in range(2500)] + [(None, "u", "b")]
     records = fixity.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert "\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in records.first().record
     bad = {0, 17, 1023, 1024, 2499}
     worn = records.withColumn("record", F.when(F.col("page_id").isin(*bad), F.concat("record", F.lit("!"))).otherwise(F.col("record")))
     got = fixity.audit(records, worn).collect()
-    assert len(got) == 2501 and {r.page_id for r in got if not r.intact} == bad
+    assert len(got) == 2501 and {r.page_id for r in got if r.status == "corrupt"} == bad == {r.page_id for r in got if not r.intact}
     one = sorted((r.place, r.offset, r.length) for r in got if r.volume == 1)
     assert one[0][:2] == (0, 0) and all(b[1] == a[1] + a[2] for a, b in zip(one, one[1:]))
     assert all(r.intact for r in fixity.audit(records, records).collect())
-    lost = fixity.audit(records, records.where("page_id <> 2499 or page_id is null")).collect()
-    assert [r.page_id for r in lost if not r.intact] == [2499]
     assert fixity.audit(records.limit(0), records.limit(0)).count() == 0
 
 
+def test_fixity_lost_and_surplus(spark):
+    rows = [(k, f"r{k}" * (k % 5)) for k in range(2300)]
+    rows += [(6, "again"), (8, "again"), (9, "r9r9r9r9"), (None, "n"), (None, "n"), (None, "m"), (None, "o")]
+    assert audited(spark, rows, rows[::-1]) == []
+    changed = {1500, 6, 7, 8, 9, 1001, 20, None}  # lost, one of two lost, swapped, one of two corrupt, one of two equal lost, swapped, corrupt
+    other = [r for r in rows if r[0] not in changed] + [(6, "again"), (7, "r1001"), (8, "again"), (8, "rot"), (9, "r9r9r9r9"), (1001, "r7r7"), (20, "x")]
+    other += [(3, "new"), (4, "r4r4r4r4"), (10**9, "far"), (-7, "low"), (None, "n"), (None, "m"), (None, "z")]
+    got = audited(spark, rows, other)
+    want = [(1500, "missing"), (6, "missing"), (7, "corrupt"), (8, "corrupt"), (9, "missing"), (1001, "corrupt"), (20, "corrupt"), (3, "extra"),
+            (4, "extra"), (10**9, "extra"), (-7, "extra"), (None, "missing"), (None, "missing"), (None, "missing"), (None, "extra")]
+    assert got == sorted(want, key=str)
+    assert audited(spark, [], [(1, "a")]) == [(1, "extra")]
+    assert audited(spark, [(1, "a")], []) == [(1, "missing")]
+
+
 # ---- packing ----
 def test_best_fit():
     rng = random.Random(9)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, exact_dedup, fixity, importance, language_id, line_dedup, packing, pii, secrets, simhash
@@ -35,10 +35,17 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(_read(spark, sf_dir, "documents")))
 
 
+def _aged(page_id: Column) -> Column:
+    return F.substring(F.sha2(page_id.cast("string").cast("binary"), 256), 1, 2)
+
+
 def replica_of(records: DataFrame) -> DataFrame:
-    """A second copy of the records in which rot has changed the first byte of about one record in 85."""
-    rotten = F.substring(F.sha2(F.col("page_id").cast("string").cast("binary"), 256), 1, 2) < "03"
-    return records.withColumn("record", F.when(rotten, F.overlay("record", F.lit("?"), F.lit(1))).otherwise(F.col("record")))
+    """A second copy of the records: of 256 about three have a changed first byte, two are lost, one is there twice, and one more under another id."""
+    age, record = _aged(F.col("page_id")), F.col("record")
+    kept = records.withColumn("record", F.when(age < "03", F.overlay("record", F.lit("?"), F.lit(1))).otherwise(record)).where(~age.between("03", "04"))
+    twice = records.where(age == "05")
+    stray = records.where(age == "06").select((F.col("page_id") + 1_000_000_000).alias("page_id"), (F.col("volume") + 1_000_000).alias("volume"), "record")
+    return kept.unionByName(twice).unionByName(stray)
 
 
 def op5_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,19 +55,24 @@ def op5_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH r AS (
-  SELECT page_id, page_id // 1024 AS volume,
+  SELECT page_id, page_id // 1024 AS volume, substr(sha256(page_id::VARCHAR), 1, 2) AS age,
          'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-         || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
-         || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10)
-         || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
-  FROM pages)
-SELECT page_id, volume,
-       row_number() OVER w - 1 AS place,
-       CAST(coalesce(sum(strlen(record)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-       CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256,
-       substr(sha256(page_id::VARCHAR), 1, 2) >= '03' AS intact
-FROM r
-WINDOW w AS (PARTITION BY volume ORDER BY page_id)
+         || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+         || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+         || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages),
+all_rows AS (
+  SELECT page_id, volume,
+         row_number() OVER w - 1 AS place,
+         CAST(coalesce(sum(strlen(record)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+         CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256,
+         CASE WHEN age < '03' THEN 'corrupt' WHEN age <= '04' THEN 'missing' ELSE 'intact' END AS status
+  FROM r WINDOW w AS (PARTITION BY volume ORDER BY page_id)
+  UNION ALL
+  SELECT page_id, volume, NULL, NULL, CAST(strlen(record) AS BIGINT), sha256(record), 'extra' FROM r WHERE age = '05'
+  UNION ALL
+  SELECT page_id + 1000000000, volume + 1000000, NULL, NULL, CAST(strlen(record) AS BIGINT), sha256(record), 'extra' FROM r WHERE age = '06')
+SELECT *, status = 'intact' AS intact FROM all_rows
 """
 
 
