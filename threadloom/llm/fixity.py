@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, column, text_of
 
-FANOUT_BITS = 4
+FANOUT_BITS = 5
 FANOUT = 1 << FANOUT_BITS
 #: Slots of one volume, a power of FANOUT.
-VOLUME_BITS = 12
-VOLUME = 1 << 10
+VOLUME_BITS = 10
+VOLUME = 1 << VOLUME_BITS
 #: Volumes over which records without an id are dealt by their hash.
 _NAMELESS = 1 << 16
 
@@ -95,20 +95,13 @@ def _above(nodes: DataFrame) -> DataFrame:
 def merkle_levels(scratch: Scratch, rows: DataFrame, height: int) -> list[DataFrame]:
     """The levels of a replica's tree, slots first, the root last; ``height`` of them lie above the volumes."""
     levels = [scratch.write(_leaves(rows), "leaves")]
-    levels.append(scratch.write(_above(levels[0]), "nodes"))
-    high = []
-    for _ in range(VOLUME_BITS // FANOUT_BITS - 1):
-        high.append(_above((high or levels)[-1]))
-    volumes = high[-1].select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), "length", "hash")
-    high[-1] = volumes
-    for _ in range(height):
-        high.append(_above(high[-1]))
-    together = None
-    for k, level in enumerate(high):
-        part = level.select(F.lit(k).alias("level"), "tree", "place", "length", "hash")
-        together = part if together is None else together.unionByName(part)
-    together = scratch.write(together, "high")  # a 256th of the leaves and less
-    return levels + [together.where(F.col("level") == k).drop("level") for k in range(len(high))]
+    inner = VOLUME_BITS // FANOUT_BITS
+    for k in range(1, inner + height + 1):
+        level = _above(levels[-1])
+        if k == inner:
+            level = level.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), "length", "hash")
+        levels.append(scratch.write(level, "nodes"))
+    return levels
 
 
 def _differ(a: DataFrame, b: DataFrame, within: DataFrame | None) -> DataFrame:
@@ -121,13 +114,13 @@ def _differ(a: DataFrame, b: DataFrame, within: DataFrame | None) -> DataFrame:
     return met.where("n < 2 or low <> high").select("tree", "place")
 
 
-def differing_slots(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
+def differing_slots(scratch: Scratch, left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
     """(tree, slot) of the slots that differ, found from the root along nodes that differ."""
     nodes, inner = None, VOLUME_BITS // FANOUT_BITS
     for k in range(len(left) - 1, -1, -1):
         if k == inner - 1:  # from the volumes into them
             nodes = nodes.select(F.col("place").alias("tree"), F.lit(0).cast("long").alias("place"))
-        nodes = _differ(left[k], right[k], nodes)
+        nodes = scratch.write(_differ(left[k], right[k], nodes), "differ")
     return nodes.select("tree", F.col("place").alias("slot"))
 
 
@@ -155,8 +148,7 @@ def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
     mine = scratch.write(placed(hashed(records)), "records")
     other = scratch.write(hashed(replica), "replica")
     height = _height(mine, other)
-    slots = differing_slots(merkle_levels(scratch, mine, height), merkle_levels(scratch, other, height))
-    slots = scratch.write(slots, "slots")
+    slots = differing_slots(scratch, merkle_levels(scratch, mine, height), merkle_levels(scratch, other, height))
     key = ["tree", "slot", "volume", "page_id", "hash"]
     count = lambda df, name, *more: df.join(slots, ["tree", "slot"], "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias(name), *more)
     a = count(mine, "n", F.min("place").alias("first"))
