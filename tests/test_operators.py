@@ -142,9 +142,17 @@ def test_golden_choice(spark):
 @pytest.fixture(scope="module")
 def index(spark):
     texts = ["my delivery never arrived", "the delivery was late again", "refund for my order please", "refund my order", "clubcard points missing", "points missing", "zzz"]
-    rows = [(f"i{k}", k, t, t, t, f"reply {k}", f"@h reply {k}", "delivery_issue" if "delivery" in t else "other_or_unclear") for k, t in enumerate(texts)]
-    schema = "interaction_id string, brand_tweet_id long, customer_text string, customer_redacted_text string, customer_normalized_text string, brand_text string, brand_redacted_text string, intent string"
-    return retrieval.TfidfIndex.fit(spark.createDataFrame(rows, schema), "interaction_id", "customer_normalized_text", min_df=1)
+    rows = [(f"i{k}", f"c{k}", k, t, t, t, f"reply {k}", f"@h reply {k}", "delivery_issue" if "delivery" in t else "other_or_unclear") for k, t in enumerate(texts)]
+    schema = "interaction_id string, conversation_id string, brand_tweet_id long, customer_text string, customer_redacted_text string, customer_normalized_text string, brand_text string, brand_redacted_text string, intent string"
+    return retrieval.TfidfIndex.fit(spark.createDataFrame(rows, schema), "interaction_id", "customer_normalized_text", min_df=1, tie="brand_tweet_id")
+
+
+def test_ties_by_number(spark):
+    """Of equal scores the smaller reply number comes first, whatever the order of the keys as text."""
+    rows = [(f"brand-{k}", k, "refund please" if k % 2 else "other words here") for k in (123, 99, 1001, 7, 8)]
+    index = retrieval.TfidfIndex.fit(spark.createDataFrame(rows, "interaction_id string, n long, t string"), "interaction_id", "t", min_df=1, tie="n")
+    q = spark.createDataFrame([(1, "refund please")], "id long, q string")
+    assert [r.interaction_id for r in index.search(q, "id", "q").orderBy("rank").collect()] == ["brand-7", "brand-99", "brand-123", "brand-1001"]
 
 
 def test_retrieval_invariants(spark, index, tmp_path):
@@ -160,6 +168,13 @@ def test_retrieval_invariants(spark, index, tmp_path):
     assert [h["interaction_id"] for h in again.retrieve("refund my order")] == [h["interaction_id"] for h in index.retrieve("refund my order")]
     with pytest.raises(FileNotFoundError):
         retrieval.TfidfIndex.load(spark, f"{tmp_path}/none")
+    assert again.manifest["counts"] == {"documents": 7, "documents_with_terms": 7, "vocabulary_size": index.vocabulary.count()} and again.manifest["generated_at"]
+    index.metadata.limit(3).write.mode("overwrite").parquet(f"{tmp_path}/index/metadata")
+    with pytest.raises(ValueError, match="documents"):
+        retrieval.TfidfIndex.load(spark, f"{tmp_path}/index")
+    index.metadata.drop("intent").write.mode("overwrite").parquet(f"{tmp_path}/index/metadata")
+    with pytest.raises(io.MissingColumns, match="intent"):
+        retrieval.TfidfIndex.load(spark, f"{tmp_path}/index")
 
 
 class Client:
@@ -192,6 +207,72 @@ def test_agent_degrades(spark, index):
     assert r["generated_response"] == "fine" and r["generation_success"]
 
 
+def test_agent_without_examples_or_prompt(spark, index, monkeypatch):
+    def broken(*_):
+        raise OSError("no index")
+
+    r = agent.SupportAgent(None, retriever=broken).handle("refund please")
+    assert r["generation_success"] and r["retrieved_count"] == 0 and r["top_similarity"] is None
+    own = lambda m, key, text, k: agent.retriever_of(index)(m, key, text, 1)
+    assert agent.SupportAgent(None, retriever=own).handle("refund please")["retrieved_count"] == 1
+    other = lambda m: agent.classify(m).withColumn("agent_intent", F.lit("complaint"))
+    assert agent.SupportAgent(index, classifier=other).handle("refund please")["intent"] == "complaint"
+    monkeypatch.setattr(agent, "prompts", broken)
+    for client in (None, Client("fine")):
+        r = agent.SupportAgent(index, client).handle("refund please")
+        assert (r["generated_response"], r["error_type"], r["used_fallback"]) == (agent.FALLBACK, "prompt_error", True) and r["retrieved_count"] == 2
+
+
+def test_live_client(index):
+    import http.server
+    import json
+    import threading
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((json.loads(self.rfile.read(int(self.headers["Content-Length"]))), self.headers["Authorization"]))
+            self.send_response(500 if len(asked) == 1 else 200)
+            self.end_headers()
+            self.wfile.write(b'{"choices": [{"message": {"content": "hello"}}]}')
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/chat"
+    client = agent.LiveClient(url, "m", "hidden")
+    assert client.generate("s", "u") == "hello" and len(asked) == 2  # the first try fails, one more follows
+    body, key = asked[0]
+    assert (body["temperature"], body["max_tokens"], body["messages"][1]["content"], key) == (0.2, 350, "u", "Bearer hidden") and "hidden" not in repr(client)
+    bot = agent.build_agent(index, io.load_settings(None, {"LLM_API_KEY": "k", "LLM_URL": url, "LLM_MODEL": "m"}), mock=False)
+    assert isinstance(bot.client, agent.LiveClient) and not bot.deterministic_only and bot.client.timeout == 30.0
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(agent.ModelError):
+        client.generate("s", "u")
+    assert isinstance(agent.build_agent(index).client, agent.MockClient)
+    for env in ({}, {"LLM_URL": url}):
+        with pytest.raises(RuntimeError):
+            agent.build_agent(index, io.load_settings(None, env), mock=False)
+
+
+def test_parsed_answers(spark):
+    raws = [None, "", "{", "[1]", 'so {"intent": "complaint", "confidence": 0.704, "evidence": "x"} !', '{"intent": "complaint", "confidence": "0.5"}',
+            '{"intent": "complaint", "confidence": 7}', '{"intent": "no", "confidence": 0.7}', '{"confidence": 0.7}', '{"intent": "complaint"}',
+            '{"intent": "complaint", "confidence": 1, "evidence": "' + "y" * 300 + '"}', '{"intent": "complaint", "confidence": 0.2, "evidence": ""}']
+    got = [r.p for r in spark.createDataFrame([(r,) for r in raws], "raw string").select(agent.parsed(F.col("raw")).alias("p")).collect()]
+    assert [None if p is None else tuple(p) for p in got] == [agent.parse_label(r) for r in raws] and sum(p is not None for p in got) == 4
+
+
+def test_model_sees_low_confidence_only(spark, index):
+    rows = agent.classify(spark.createDataFrame([(1, "my delivery has not arrived"), (2, "asdf qwer")], "id long, message string"))
+    told = agent.ask_model(rows, Client('{"intent": "complaint", "confidence": 0.9}'))
+    assert {r.id: (r.agent_intent, r.method, r.points) for r in told.collect()} == {1: ("delivery_issue", "deterministic", 88), 2: ("complaint", "model", 90)}
+
+
 def test_model_labels(spark, index):
     good = '{"intent": "complaint", "confidence": 0.7, "evidence": "x"}'
     r = agent.SupportAgent(index, Client(f"so {good}"), deterministic_only=False).handle("asdf qwer")
@@ -220,10 +301,14 @@ def test_qualitative(spark):
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "m.csv").write_text('tweet_id,author_id,inbound,created_at,text,response_tweet_id,in_response_to_tweet_id\n1,a,True,x,"two\nlines, ""q""",,NA\n2,b,False,x,ok,3,1\n')
+    (tmp_path / "m.csv").write_text('tweet_id,author_id,inbound,created_at,text,response_tweet_id,in_response_to_tweet_id\n1,a,True,x,"two\nlines, ""q""",,NA\n2,b,False,x,ok,3,1\n3,c,True\n4,d,True,x,y,,,more\n')
     good, bad = io.read_messages(spark, f"{tmp_path}/m.csv")
     rows = {r.tweet_id: r for r in good.collect()}
-    assert rows["1"].text == 'two\nlines, "q"' and rows["1"].in_response_to_tweet_id is None and bad.count() == 0
+    assert rows["1"].text == 'two\nlines, "q"' and rows["1"].in_response_to_tweet_id is None and set(rows) == {"1", "2"} and bad.count() == 2
+    assert io.read_messages(spark, f"{tmp_path}/m.csv", ["text"])[0].columns == ["text"]
+    (tmp_path / "t.csv").write_text('a,b,c,d,e,f\n1,1.5,"x\ny",2024-01-02 03:04:05,true,\n3000000000,2,z,2024-01-02,false,\n')
+    assert io.sampled_types(spark, f"{tmp_path}/t.csv") == [("a", "bigint"), ("b", "double"), ("c", "string"), ("d", "timestamp"), ("e", "boolean"), ("f", "string")]
+    assert io.megabytes(3 * 1024 * 1024 + 52429) == 3.05 and io.size_in_bytes(spark, f"{tmp_path}/t.csv") > 70 and io.generated_at().endswith("+00:00")
     with pytest.raises(FileNotFoundError):
         io.read_messages(spark, f"{tmp_path}/none.csv")
     with pytest.raises(io.MissingColumns):
@@ -261,9 +346,20 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["build-pairs", "--dataset", f"{tmp_path}/m.csv", "--output", f"{tmp_path}/p", "--brands", names]) == 0
     assert cli.main(["golden", "--pairs", f"{tmp_path}/p.parquet", "--output", f"{tmp_path}/g"]) == 0
     assert cli.main(["index", "--pairs", f"{tmp_path}/p.parquet", "--output", f"{tmp_path}/i"]) == 0
+    summary = io.read_json(spark, f"{tmp_path}/i.json") if cli.main(["index", "--pairs", f"{tmp_path}/p.parquet", "--output", f"{tmp_path}/i", "--summary", f"{tmp_path}/i.json"]) == 0 else {}
+    assert summary["stages"]["rows_after_dedupe"] == summary["counts"]["documents"] and summary["settings"]["tie"] == "brand_tweet_id"
+    assert cli.main(["label", "--pairs", f"{tmp_path}/p.parquet", "--output", f"{tmp_path}/l", "--report", f"{tmp_path}/l.md"]) == 0
+    report = [r.value for r in spark.read.text(f"{tmp_path}/l.md").collect()]
+    assert report[0] == "# Labels" and "## distribution" in report and any(x.startswith("| delivery_issue | ") for x in report)
+    assert sum(io.read_json(spark, f"{tmp_path}/l")["distribution"].values()) == io.read_json(spark, f"{tmp_path}/l")["total"]
+    assert cli.main(["score-brands", "--dataset", f"{tmp_path}/m.csv", "--output", f"{tmp_path}/b", "--brands", names + ",Nobody", "--summary", f"{tmp_path}/b.json"]) == 0
+    assert io.read_json(spark, f"{tmp_path}/b.json")["missing"] == ["nobody"]
     capsys.readouterr()
-    assert cli.main(["agent", "--index", f"{tmp_path}/i", "--message", "My delivery has not arrived", "--json"]) == 0
+    assert cli.main(["agent", "--index", f"{tmp_path}/i", "--mock", "--message", "My delivery has not arrived", "--json"]) == 0
     assert '"intent": "delivery_issue"' in capsys.readouterr().out
-    assert cli.main(["agent", "--index", f"{tmp_path}/i", "--message", " "]) == 2
+    assert cli.main(["agent", "--index", f"{tmp_path}/i", "--mock", "--message", " "]) == 2
+    assert cli.main(["agent", "--index", f"{tmp_path}/i", "--message", "refund"]) == 2  # no endpoint, no key
     assert cli.main(["search", "--index", f"{tmp_path}/none", "--query", "x"]) == 2
-    assert cli.main(["evaluate", "--index", f"{tmp_path}/i", "--golden", f"{tmp_path}/g.parquet"]) == 0
+    assert cli.main(["evaluate", "--index", f"{tmp_path}/i", "--golden", f"{tmp_path}/g.parquet", "--mock", "--output", f"{tmp_path}/e", "--report", f"{tmp_path}/e.md"]) == 0
+    valid = io.read_table(spark, f"{tmp_path}/g.parquet").where(agent.validation("customer_text").isNull())
+    assert io.read_table(spark, f"{tmp_path}/e.parquet").count() == valid.count() > 80

@@ -171,7 +171,9 @@ def intent_label_agent(spark, d):
     return _labelled(spark, d).select("id", "agent_intent")
 
 
-_VOCABULARY = "(VALUES " + ", ".join(f"({k}, {O.q(n)}, {O.q(V.LABELS[n])})" for k, n in enumerate(V.TAXONOMY_ORDER)) + ") AS v(place, intent, definition)"
+_VOCABULARY = "(VALUES " + ", ".join(
+    f"({k}, " + ", ".join(map(O.q, (n, V.LABELS[n], *V.SCOPE[n]))) + ")" for k, n in enumerate(V.TAXONOMY_ORDER)
+) + ") AS v(place, intent, definition, includes, excludes, expected_reply)"
 
 
 @query(f"SELECT v.intent, count(l.id) AS n FROM {_VOCABULARY} LEFT JOIN labelled l USING (intent) GROUP BY v.intent", "labelled")
@@ -187,7 +189,7 @@ def rule_coverage(spark, d):
     return labels.coverage(_labelled(spark, d))
 
 
-@query(f"SELECT CAST(place AS BIGINT) AS place, intent, definition FROM {_VOCABULARY}")
+@query(f"SELECT CAST(place AS BIGINT) AS place, intent, definition, includes, excludes, expected_reply FROM {_VOCABULARY}")
 def label_dimension(spark, d):
     return labels.dimension(spark)
 
@@ -454,9 +456,13 @@ def rejection_reasons(spark, d):
     return brands.rejections(_scores(spark, d))
 
 
-@query("SELECT brand, selection_score FROM scores ORDER BY selection_score DESC, brand LIMIT 1", "scores")
+@query(
+    """SELECT brand, selection_score, meaningful_percentage || '% meaningful replies; ' || usable_pairs || ' usable pairs; diversity ' || diversity || ' over '
+    || active_categories || ' active categories' AS reasons FROM scores ORDER BY selection_score DESC, brand LIMIT 1""",
+    "scores",
+)
 def winning_brand(spark, d):
-    return brands.selection_reasons(_scores(spark, d)).select("brand", "selection_score")
+    return brands.selection_reasons(_scores(spark, d))
 
 
 # ---- words ----
@@ -502,8 +508,23 @@ def intent_examples(spark, d):
 
 # ---- retrieval ----
 def _index(spark, d) -> retrieval.TfidfIndex:
-    rows = Scratch(spark, "index").write(retrieval.index_rows(_pairs(spark, d)), "rows")
-    return retrieval.TfidfIndex.fit(rows, "interaction_id", "customer_normalized_text")
+    return _index_of(spark, _pairs(spark, d))
+
+
+def _index_of(spark, pairs_) -> retrieval.TfidfIndex:
+    rows = Scratch(spark, "index").write(retrieval.index_rows(pairs_), "rows")
+    return retrieval.TfidfIndex.fit(rows, "interaction_id", "customer_normalized_text", tie="brand_tweet_id")
+
+
+@query(
+    """SELECT *, rows_nonempty_text - rows_after_dedupe AS duplicate_text_rows_removed FROM (SELECT count(*) AS rows_total, count(*) FILTER (is_usable) AS rows_usable,
+    count(*) FILTER (is_usable AND trim(customer_normalized_text) <> '') AS rows_nonempty_text,
+    count(DISTINCT customer_normalized_text) FILTER (is_usable AND trim(customer_normalized_text) <> '') AS rows_after_dedupe FROM interactions)""",
+    "interactions",
+)
+def index_stages(spark, d):
+    """How many pairs each stage before the index leaves."""
+    return retrieval.stage_counts(_interactions(spark, d))
 
 
 @query("SELECT pair_id AS interaction_id, customer_normalized_text FROM indexed", "indexed")
@@ -523,9 +544,9 @@ def tfidf_weights(spark, d):
 
 def _search(queries: str, key: str, text: str, k: int, own: str = "false") -> str:
     return f"""SELECT {key}, pair_id AS interaction_id, "rank", round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, pair_id) AS "rank" FROM (
-    SELECT {key}, pair_id, round(sum(q.weight * p.weight), 9) AS score
-    FROM ({O.weights('(' + O.grams(queries, key, text) + ')', 'df', key)}) q JOIN postings p USING (term) GROUP BY ALL)
+  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, brand_tweet_id) AS "rank" FROM (
+    SELECT {key}, pair_id, brand_tweet_id, round(sum(q.weight * p.weight), 9) AS score
+    FROM ({O.weights('(' + O.grams(queries, key, text) + ')', 'df', key)}) q JOIN postings p USING (term) JOIN (SELECT pair_id, brand_tweet_id FROM indexed) USING (pair_id) GROUP BY ALL) s
   WHERE score > 0 AND NOT {own}) WHERE "rank" <= {k}"""
 
 
@@ -559,41 +580,63 @@ def _golden(spark, d) -> tuple[DataFrame, DataFrame]:
     return p, Scratch(spark, "golden").write(sampling.golden(Scratch(spark, "pool").write(sampling.pool(p), "pool")), "golden")
 
 
-# every usable pair as its own query: per-row results have SQL, unlike the golden sample
-@query(
-    f"""SELECT golden_id, g.intent, coalesce(n_results, 0) AS n_results, coalesce(top1_score, 0.0) AS top1_score, first_match_rank
+# every indexed pair as its own query
+_EVALUATED = f"""SELECT golden_id, g.intent, coalesce(n_results, 0) AS n_results, coalesce(top1_score, 0.0) AS top1_score, first_match_rank
   FROM (SELECT pair_id AS golden_id, intent FROM indexed) g LEFT JOIN (
     SELECT golden_id, count(*) AS n_results, max(score) FILTER ("rank" = 1) AS top1_score, min("rank") FILTER (i.intent = q.intent) AS first_match_rank
     FROM ({_search('(SELECT pair_id AS golden_id, customer_text AS text FROM indexed)', 'golden_id', 'text', 10, '(golden_id = pair_id)')}) r
     JOIN (SELECT pair_id AS interaction_id, intent FROM indexed) i USING (interaction_id) JOIN (SELECT pair_id AS golden_id, intent FROM indexed) q USING (golden_id)
-    GROUP BY golden_id) USING (golden_id)""",
-    "postings", "indexed",
-)
+    GROUP BY golden_id) USING (golden_id)"""
+
+
+@query(_EVALUATED, "postings", "indexed")
 def retrieval_eval(spark, d):
     index = _index(spark, d)
     return retrieval.evaluate(index, index.metadata.select(F.col("interaction_id").alias("golden_id"), "intent", "customer_text"))
 
 
-@query()
+@query(
+    f"""SELECT golden_id, CASE WHEN n_results = 0 THEN 'nothing in the index shares a term' WHEN first_match_rank = 1 AND top1_score >= {V.STRONG_MATCH} THEN 'strong match of the same intent'
+    WHEN first_match_rank = 1 THEN 'the same intent first, at modest similarity' WHEN first_match_rank IS NOT NULL THEN 'the same intent at rank ' || first_match_rank
+    ELSE 'no result of the same intent' END AS assessment FROM ({_EVALUATED})""",
+    "postings", "indexed",
+)
+def retrieval_assessment(spark, d):
+    return retrieval_eval(spark, d).select("golden_id", retrieval.assessment(F.col("n_results"), F.col("top1_score"), F.col("first_match_rank")).alias("assessment"))
+
+
+_OWN = f"(SELECT golden_id, g.customer_text AS text, g.intent AS golden_intent, i.pair_id AS own FROM (SELECT *, {O.norm('customer_text')} AS key FROM golden) g LEFT JOIN indexed i ON key = customer_normalized_text WHERE key <> '')"
+_HITS = _search(_OWN, "golden_id", "text", 10, f"coalesce(pair_id = (SELECT any_value(own) FROM {_OWN} o WHERE o.golden_id = s.golden_id), false)")
+_RATES = ", ".join(f'round(1e-9 + avg(CASE WHEN first <= {k} THEN 1.0 ELSE 0.0 END), 4) AS hit_rate_{k}' for k in (1, 3, 5, 10))
+
+
+@query(
+    f"""SELECT count(*) AS evaluated, count(*) FILTER (n = 0) AS no_result, {_RATES}, round(1e-9 + avg(coalesce(1.0 / first, 0.0)), 4) AS mrr, round(1e-9 + avg(top), 4) AS mean_top1
+  FROM (SELECT o.golden_id, count(pair_id) AS n, coalesce(max(score) FILTER ("rank" = 1), 0.0) AS top, min("rank") FILTER (intent = golden_intent) AS first
+    FROM {_OWN} o LEFT JOIN (SELECT r.golden_id, pair_id, "rank", score, intent FROM ({_HITS.replace('pair_id AS interaction_id', 'pair_id')}) r JOIN indexed USING (pair_id)) USING (golden_id)
+    GROUP BY o.golden_id)""",
+    "golden", "postings",
+)
 def retrieval_metrics(spark, d):
     p, g = _golden(spark, d)
-    rows = Scratch(spark, "index").write(retrieval.index_rows(p), "rows")
-    index = retrieval.TfidfIndex.fit(rows, "interaction_id", "customer_normalized_text")
-    return retrieval.metrics(retrieval.evaluate(index, g))
+    return retrieval.metrics(retrieval.evaluate(_index_of(spark, p), g))
 
 
 # ---- golden set ----
-@query()
+@query("SELECT brand_tweet_id, conversation_id, intent, is_short, is_multi_turn, is_ambiguous, has_url FROM pool", "pool")
 def golden_pool(spark, d):
     return sampling.pool(_pairs(spark, d)).select("brand_tweet_id", "conversation_id", "intent", "is_short", "is_multi_turn", "is_ambiguous", "has_url")
 
 
-@query()
+@query("SELECT * FROM golden", "golden")
 def golden_sample(spark, d):
     return _golden(spark, d)[1]
 
 
-@query()
+_COUNTED = [(f"intent:{n}", f"intent = {O.q(n)}") for n in V.TAXONOMY_ORDER] + [(f"flag:{c}", c) for c in (*sampling.FLAGS.values(), "is_generic_reply")]
+
+
+@query(" UNION ALL ".join(f"SELECT {O.q(n)} AS name, count(*) FILTER ({c}) AS n FROM golden" for n, c in _COUNTED), "golden")
 def golden_summary(spark, d):
     return sampling.golden_summary(_golden(spark, d)[1])
 
@@ -674,12 +717,19 @@ def class_accuracy(spark, d):
     return agent.class_accuracy(_compared(spark, d))
 
 
-@query()
+_GOLD = f"(SELECT * FROM (SELECT golden_id AS id, intent AS expected, trim(customer_text) AS text, {O.clean('trim(customer_text)')} AS clean FROM golden) WHERE text <> '' AND length(text) <= {V.MAX_MESSAGE})"
+
+
+@query(
+    f"""SELECT count(*) AS total, count(*) FILTER (agent_intent = expected) AS correct, round(1e-9 + avg(CAST(agent_intent = expected AS DOUBLE)), 4) AS accuracy,
+    count(*) FILTER (escalation <> 'none') AS escalated, round(1e-9 + avg(CAST(escalation <> 'none' AS DOUBLE)), 4) AS escalation_rate,
+    count(*) AS successful, round(1e-9 + 1.0, 4) AS success_rate, round(1e-9 + avg(CAST(coalesce(n_found, 0) AS DOUBLE)), 3) AS average_retrieved
+  FROM ({O.assessed("(" + O.labelled(_GOLD) + ")")}) LEFT JOIN (SELECT id, count(*) AS n_found FROM ({_search(_GOLD, 'id', 'text', 5)}) GROUP BY id) USING (id)""",
+    "golden", "postings",
+)
 def agent_eval(spark, d):
     p, g = _golden(spark, d)
-    rows = Scratch(spark, "index").write(retrieval.index_rows(p), "rows")
-    index = retrieval.TfidfIndex.fit(rows, "interaction_id", "customer_normalized_text")
-    results = agent.SupportAgent(index).transform(g.select("golden_id", "customer_text"), "golden_id", "customer_text")
+    results = agent.SupportAgent(_index_of(spark, p)).transform(g.select("golden_id", "customer_text"), "golden_id", "customer_text")
     return agent.evaluate(results, g, "golden_id")
 
 
@@ -702,6 +752,14 @@ def csv_round_trip(spark, d):
     return io.read_messages(spark, f"{path}.csv")[0]
 
 
+@query("SELECT tweet_id, text FROM messages", "messages")
+def csv_columns(spark, d):
+    """Two columns of the dump written as CSV."""
+    path = f"{Scratch(spark, 'csv').root}/messages"
+    io.write_table(_raw(spark, d), path)
+    return io.read_messages(spark, f"{path}.csv", ["tweet_id", "text"])[0]
+
+
 @query("SELECT pair_id, customer_text, is_usable FROM interactions", "interactions")
 def parquet_round_trip(spark, d):
     path = f"{Scratch(spark, 'sink').root}/interactions"

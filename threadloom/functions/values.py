@@ -134,3 +134,26 @@ LABELS = {
     "general_information": "A question about facts or services",
     OTHER: "Nothing above, or too little to tell",
 }
+
+# ---- fixed values: the quotas of queries to be read by eye, and the score from which a match counts as strong ----
+QUALITATIVE = [("good_high_similarity", 2), ("weak_low_similarity", 2), ("weak_no_intent_match", 2), ("ambiguous_query", 2), ("short_query", 2),
+               ("url_bearing_query", 1), ("multi_turn_query", 1), ("no_result_query", 1)]
+STRONG_MATCH = 0.3
+
+# ---- fixed values: settings of the live model client ----
+TEMPERATURE, MAX_TOKENS, TIMEOUT_SECONDS, RETRIES = 0.2, 350, 30.0, 1
+
+#: What belongs to a label, what doesn't, and what a reply should do.
+SCOPE = {
+    "clubcard_or_loyalty": ("points that were not added, lost vouchers, trouble with the card", "money back that has nothing to do with the scheme", "say which team keeps the scheme's accounts"),
+    "missing_or_incorrect_item": ("absent, swapped, wrong or broken goods in a delivery", "an order that never came; goods that are out of stock", "say sorry and ask for the order in private"),
+    "delivery_issue": ("late or failed deliveries, slots, drivers", "goods missing from a delivery that came", "ask for the slot and name the next step"),
+    "online_order_issue": ("the basket, the checkout, changes and cancellations", "how an order travels; trouble with signing in", "lead through the step that fails"),
+    "product_availability": ("sold out or delisted goods, when they return", "goods missing from a delivery", "say where stock can be looked up, without a promise"),
+    "refund_or_payment": ("refunds, double charges, cards that are declined", "the cause behind it where that is the point", "send to the team that may see payments"),
+    "account_or_technical_issue": ("passwords, errors, crashes", "the steps of an order; the loyalty scheme", "offer the usual remedies, then the technical team"),
+    "store_experience": ("staff, queues, tills, parking, fuel", "orders placed online", "thank for it and pass it on to the branch"),
+    "complaint": ("poor quality, anger in general", "a complaint about something another label names", "show regret and open a case"),
+    "general_information": ("opening hours, prices, how things work", "any report of a fault", "answer, or say where the answer is"),
+    OTHER: ("thanks, small talk, messages without context", "whatever a label above fits", "ask back, or hand over to a person"),
+}

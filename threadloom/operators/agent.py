@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import json
 import re
+import urllib.request
+from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import intents as I
 from ..functions import text as X
 from ..functions import values as V
 from ..plans.shipping import ship
+from ..plans.staging import Scratch
+from ..sources.io import Settings
 from . import labels
 from .retrieval import TfidfIndex
 
@@ -43,6 +47,40 @@ class MockClient:
         return V.MOCK_REPLY
 
 
+class ModelError(RuntimeError):
+    """A language model gave no usable answer. Its text holds no key."""
+
+
+class LiveClient:
+    """A model behind an HTTP endpoint that takes chat messages as JSON; bounded in length, time and tries. The key is kept out of its text."""
+
+    def __init__(self, url: str, model_name: str, api_key: str, temperature: float = V.TEMPERATURE, max_tokens: int = V.MAX_TOKENS,
+                 timeout: float = V.TIMEOUT_SECONDS, retries: int = V.RETRIES):
+        self.url, self.model_name, self._key = url, model_name, api_key
+        self.temperature, self.max_tokens, self.timeout, self.retries = temperature, max_tokens, timeout, retries
+
+    def __repr__(self) -> str:
+        return f"LiveClient({self.model_name})"
+
+    def request(self, system: str, user: str) -> urllib.request.Request:
+        body = {
+            "model": self.model_name, "temperature": self.temperature, "max_tokens": self.max_tokens,
+            "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}],
+        }
+        head = {"Content-Type": "application/json", "Authorization": f"Bearer {self._key}"}
+        return urllib.request.Request(self.url, json.dumps(body).encode(), head, method="POST")
+
+    def generate(self, system: str, user: str) -> str:
+        fault = "no try"
+        for _ in range(1 + self.retries):
+            try:
+                with urllib.request.urlopen(self.request(system, user), timeout=self.timeout) as answer:
+                    return json.load(answer)["choices"][0]["message"]["content"] or ""
+            except (OSError, ValueError, LookupError, TypeError) as e:
+                fault = type(e).__name__
+        raise ModelError(f"the model failed ({fault})")
+
+
 class InvalidMessage(ValueError):
     """A message that can't be answered."""
 
@@ -85,13 +123,14 @@ def generate(prompted: DataFrame, client: Client | None = None) -> DataFrame:
     """Adds generated_response, generation_success, used_fallback, error_type, model_name.
 
     Without a client the mock reply, as a constant. A client runs once per row in the tasks; its errors
-    and blank answers become the fallback text. Write the result before reading it twice, so that no
+    and blank answers become the fallback text, and so does a prompt that is null. Write the result before reading it twice, so that no
     call repeats, and turn speculation off.
     """
     if client is None or isinstance(client, MockClient):
+        ok = F.col("user_prompt").isNotNull()
         return prompted.select(
-            "*", F.lit(V.MOCK_REPLY).alias("generated_response"), F.lit(True).alias("generation_success"), F.lit(False).alias("used_fallback"),
-            F.lit(None).cast("string").alias("error_type"), F.lit("mock").alias("model_name"),
+            "*", F.when(ok, V.MOCK_REPLY).otherwise(FALLBACK).alias("generated_response"), ok.alias("generation_success"), (~ok).alias("used_fallback"),
+            F.when(~ok, "prompt_error").alias("error_type"), F.lit("mock").alias("model_name"),
         )
 
     def run(frames):
@@ -99,7 +138,7 @@ def generate(prompted: DataFrame, client: Client | None = None) -> DataFrame:
             out = []
             for system, user in zip(f["system_prompt"], f["user_prompt"]):
                 try:
-                    text, error = (client.generate(system, user) or "").strip(), None
+                    text, error = ("", "prompt_error") if user is None else ((client.generate(system, user) or "").strip(), None)
                 except Exception:
                     text, error = "", "llm_error"
                 error = error or (None if text else "empty_response")
@@ -129,51 +168,108 @@ def parse_label(raw: str | None) -> tuple[str, float, str] | None:
         return None
 
 
+def parsed(raw: Column) -> Column:
+    """struct(intent, confidence, evidence) of ``parse_label``, natively; null if anything about the answer is wrong."""
+    x = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), "intent string, confidence string, evidence string")
+    sure = x["confidence"].try_cast("double")
+    told = F.substring(F.coalesce(x["evidence"], F.lit("")), 1, 200)
+    fields = F.struct(
+        x["intent"].alias("intent"), F.round(sure, 2).alias("confidence"), F.when(told == "", "classified by the model").otherwise(told).alias("evidence")
+    )
+    return F.when(x["intent"].isin(V.TAXONOMY_ORDER) & sure.between(0.0, 1.0), fields)
+
+
 def ask_model(assessed: DataFrame, client: Client, text: str = "message") -> DataFrame:
-    """Replaces agent_intent, confidence, points, band and evidence of low-confidence rows by the client's answer where it is valid; adds method."""
+    """Replaces agent_intent, confidence, points and evidence of low-confidence rows by the client's answer where it is valid; adds method.
+
+    Only the rows of low confidence reach Python, and of them only the text; answers are parsed natively.
+    """
     system = "Label the message with one of: " + ", ".join(V.TAXONOMY_ORDER) + '. Answer with JSON only: {"intent": ..., "confidence": 0 to 1, "evidence": ...}.'
 
     def run(frames):
         for f in frames:
-            f = f.copy()
-            for k, (message, points) in enumerate(zip(f[text], f["points"])):
-                got = None
-                if points < V.MEDIUM:
-                    try:
-                        got = parse_label(client.generate(system, message))
-                    except Exception:
-                        got = None
-                if got:
-                    at = f.index[k]
-                    f.at[at, "agent_intent"], f.at[at, "confidence"], f.at[at, "evidence"], f.at[at, "method"] = *got, "model"
-                    f.at[at, "points"] = round(got[1] * 100)
-            yield f
+            answers = []
+            for message in f[text]:
+                try:
+                    answers.append(client.generate(system, message))
+                except Exception:
+                    answers.append(None)
+            yield f.assign(_raw=answers)
 
     ship(assessed.sparkSession)
-    frame = assessed.withColumn("method", F.lit("deterministic"))
-    return frame.mapInPandas(run, frame.schema)
+    sure = assessed.where(F.col("points") >= V.MEDIUM).withColumn("method", F.lit("deterministic"))
+    unsure = assessed.where(~(F.col("points") >= V.MEDIUM))
+    target = StructType([*unsure.schema.fields, StructField("_raw", StringType())])
+    told = unsure.mapInPandas(run, target).withColumn("_got", parsed(F.col("_raw")))
+    got = F.col("_got")
+    told = told.select(
+        *(c for c in assessed.columns if c not in ("agent_intent", "confidence", "evidence", "points")),
+        F.coalesce(got["intent"], "agent_intent").alias("agent_intent"), F.coalesce(got["confidence"], "confidence").alias("confidence"),
+        F.coalesce(got["evidence"], "evidence").alias("evidence"), F.coalesce(F.round(got["confidence"] * 100).cast("long"), "points").alias("points"),
+        F.when(got.isNotNull(), "model").otherwise("deterministic").alias("method"),
+    )
+    return sure.unionByName(told)
+
+
+Retriever = Callable[[DataFrame, str, str, int], DataFrame]
+Classifier = Callable[[DataFrame], DataFrame]
+
+
+def retriever_of(index: TfidfIndex) -> Retriever:
+    """messages, key, text, top_k -> key, rank, score and the examples' texts."""
+    return lambda m, key, text, top_k: index.search(m, key, text, top_k).join(index.metadata, index.manifest["key"])
+
+
+def classify(messages: DataFrame) -> DataFrame:
+    """The rules' classifier: adds what ``labels.assess`` does to messages with a column ``message``."""
+    return labels.assess(labels.label(messages.withColumn("clean", X.clean("message"))))
 
 
 class SupportAgent:
-    """messages -> the 16 result fields, for all messages in one job."""
+    """messages -> the 16 result fields, for all messages in one job.
+
+    ``index`` may be None where a ``retriever`` is given. Retriever, classifier and client can be replaced; a
+    retriever that fails leaves the prompts without examples, and a prompt that fails becomes the fallback text.
+    """
 
-    def __init__(self, index: TfidfIndex, client: Client | None = None, deterministic_only: bool = True, top_k: int = V.TOP_K):
+    def __init__(self, index: TfidfIndex | None, client: Client | None = None, deterministic_only: bool = True, top_k: int = V.TOP_K,
+                 retriever: Retriever | None = None, classifier: Classifier = classify):
         self.index, self.client, self.deterministic_only, self.top_k = index, client or MockClient(), deterministic_only, top_k
+        self.retriever, self.classifier = retriever or retriever_of(index), classifier
+
+    def _examples(self, m: DataFrame, key: str) -> DataFrame:
+        """The examples, written once, so that a failure shows here."""
+        shown = ["customer_redacted_text", "customer_text", "brand_redacted_text", "brand_text"]
+        spark = m.sparkSession
+        try:
+            found = self.retriever(m, key, "message", self.top_k).select(key, "rank", "score", *shown)
+            return Scratch(spark, "examples").write(found, "examples")
+        except Exception:
+            none = StructType([m.schema[key], *spark.createDataFrame([], "rank long, score double, " + ", ".join(f"{c} string" for c in shown)).schema])
+            return spark.createDataFrame([], none)
+
+    def _prompts(self, m: DataFrame, key: str, found: DataFrame) -> DataFrame:
+        try:
+            return prompts(m, key, found, self.top_k)
+        except Exception:
+            counted = found.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_similarity"))
+            empty = F.lit(None).cast("string")
+            return m.join(counted, key, "left").select(
+                key, empty.alias("system_prompt"), empty.alias("user_prompt"), F.coalesce("n", F.lit(0)).alias("retrieved_count"), "top_similarity"
+            )
 
     def transform(self, messages: DataFrame, key: str, text: str) -> DataFrame:
         """One row per valid message; ``key`` must be unique. Invalid ones are those of ``rejected``."""
         mock = isinstance(self.client, MockClient)
         m = messages.where(validation(text).isNull()).select(key, F.regexp_replace(F.col(text), f"^{X.SPACE}+|{X.SPACE}+$", "").alias("message"))
-        a = labels.assess(labels.label(m.withColumn("clean", X.clean("message"))))
+        a = self.classifier(m)
         if mock or self.deterministic_only:
             a = a.withColumn("method", F.lit("deterministic"))
         else:
             a = ask_model(a, self.client)
             a = a.withColumn("escalation", I.escalation(F.col("clean"), F.col("agent_intent"), F.col("points")))
             a = a.withColumn("needs_review", F.col("escalation") != "none").withColumn("reason", I.reason_text(F.col("escalation")))
-        doc = self.index.manifest["key"]
-        found = self.index.search(m, key, "message", self.top_k).join(self.index.metadata, doc)
-        g = generate(prompts(m, key, found, self.top_k), self.client)
+        g = generate(self._prompts(m, key, self._examples(m, key)), self.client)
         return a.join(g, key).select(
             key, F.col("message").alias("customer_message"), F.col("agent_intent").alias("intent"), F.col("confidence").alias("intent_confidence"),
             F.col("method").alias("intent_method"), F.col("evidence").alias("intent_evidence"), "retrieved_count", "top_similarity", "generated_response",
@@ -188,7 +284,7 @@ class SupportAgent:
         """One message; raises InvalidMessage."""
         if not isinstance(message, str):
             raise InvalidMessage("a message must be a string")
-        spark = self.index.metadata.sparkSession
+        spark = SparkSession.active()
         one = spark.createDataFrame([(0, message)], "mid long, message string")
         bad = self.rejected(one, "mid", "message").first()
         if bad:
@@ -196,6 +292,19 @@ class SupportAgent:
         return {k: v for k, v in self.transform(one, "mid", "message").first().asDict().items() if k != "mid"}
 
 
+def build_agent(index: TfidfIndex, settings: Settings | None = None, mock: bool = True, deterministic_only: bool = False, top_k: int = V.TOP_K) -> SupportAgent:
+    """The agent of some settings. With ``mock`` no model is called at all; with ``deterministic_only`` none for labels.
+
+    A live agent needs the settings' endpoint and key and raises RuntimeError without them.
+    """
+    if mock:
+        return SupportAgent(index, MockClient(), True, top_k)
+    settings = settings or Settings()
+    if not settings.url:
+        raise RuntimeError("no model endpoint is set; use the mock client")
+    return SupportAgent(index, LiveClient(settings.url, settings.model, settings.key()), deterministic_only, top_k)
+
+
 def evaluate(results: DataFrame, golden: DataFrame, key: str) -> DataFrame:
     """One row of rates. golden: key, intent."""
     j = results.select(key, F.col("intent").alias("predicted"), "needs_human_review", "generation_success", "used_fallback", "retrieved_count")

@@ -71,5 +71,6 @@ def examples(pairs: DataFrame, most: int = 6, longest: int = 160) -> DataFrame:
 
 
 def dimension(spark) -> DataFrame:
-    """place, intent, definition: the label vocabulary."""
-    return spark.createDataFrame([(k, n, V.LABELS[n]) for k, n in enumerate(V.TAXONOMY_ORDER)], "place long, intent string, definition string")
+    """place, intent, definition, includes, excludes, expected_reply: the label vocabulary."""
+    rows = [(k, n, V.LABELS[n], *V.SCOPE[n]) for k, n in enumerate(V.TAXONOMY_ORDER)]
+    return spark.createDataFrame(rows, "place long, intent string, definition string, includes string, excludes string, expected_reply string")

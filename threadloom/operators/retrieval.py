@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
-from ..sources.io import exists, require
+from ..plans.staging import Scratch
+from ..sources.io import exists, generated_at, require
 
 METADATA = ["interaction_id", "conversation_id", "brand_tweet_id", "customer_text", "customer_redacted_text", "customer_normalized_text",
             "brand_text", "brand_redacted_text", "intent"]
@@ -28,24 +29,39 @@ def index_rows(pairs: DataFrame) -> DataFrame:
     )
 
 
+RULES = {"usable": "is_usable", "text": "customer_normalized_text is not blank", "duplicates": "of equal texts, with case, the smallest brand_tweet_id stays"}
+
+
+def stage_counts(pairs: DataFrame) -> DataFrame:
+    """One row: how many pairs each stage before the index leaves."""
+    text = F.coalesce(F.col("customer_normalized_text"), F.lit(""))
+    usable, named = F.coalesce("is_usable", F.lit(False)), F.length(F.trim(text)) > 0
+    out = pairs.agg(
+        F.count(F.lit(1)).alias("rows_total"), F.count_if(usable).alias("rows_usable"), F.count_if(usable & named).alias("rows_nonempty_text"),
+        F.count_distinct(F.when(usable & named, text)).alias("rows_after_dedupe"),
+    )
+    return out.withColumn("duplicate_text_rows_removed", F.col("rows_nonempty_text") - F.col("rows_after_dedupe"))
+
+
 def _gram(t, n: int):
     return lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")
 
 
-def terms(df: DataFrame, key: str, text: str, ngrams: int = V.NGRAMS) -> DataFrame:
-    """key, term, tf: words and word n-grams."""
+def terms(df: DataFrame, key: str, text: str, ngrams: int = V.NGRAMS, tie: str | None = None) -> DataFrame:
+    """key, tie (if named), term, tf: words and word n-grams."""
+    keys = [key, tie] if tie and tie != key else [key]
     t = F.col("t")
     parts = [t]
     for n in range(2, ngrams + 1):
         grams = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), _gram(t, n))
         parts.append(F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>")))
-    tokens = df.select(key, X.index_tokens(text).alias("t"))
-    return tokens.select(key, F.explode(F.concat(*parts)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tokens = df.select(*keys, X.index_tokens(text).alias("t"))
+    return tokens.select(*keys, F.explode(F.concat(*parts)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _best(scored: DataFrame, key: str, doc: str, k: int) -> DataFrame:
-    """The k best documents of each key, with ``rank``; ties by document."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), doc))
+def _best(scored: DataFrame, key: str, ties: list[str], k: int) -> DataFrame:
+    """The k best documents of each key, with ``rank``; of equal scores the smallest ``ties`` first."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), *ties))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
@@ -56,57 +72,86 @@ class TfidfIndex:
         self.vocabulary, self.postings, self.metadata, self.manifest = vocabulary, postings, metadata, manifest
 
     @classmethod
-    def fit(cls, docs: DataFrame, key: str, text: str, min_df: int = V.MIN_DF, max_df: float = V.MAX_DF, ngrams: int = V.NGRAMS) -> "TfidfIndex":
-        """Sublinear tf, smoothed idf, L2 norm. ``key`` must be unique."""
-        counted = terms(docs, key, text, ngrams)
+    def fit(
+        cls, docs: DataFrame, key: str, text: str, min_df: int = V.MIN_DF, max_df: float = V.MAX_DF, ngrams: int = V.NGRAMS,
+        tie: str | None = None, rules: dict | None = None,
+    ) -> "TfidfIndex":
+        """Sublinear tf, smoothed idf, L2 norm. ``key`` must be unique; documents of equal score rank by ``tie`` (a column), then key.
+
+        Terms are counted once, into a scratch table that the vocabulary and the postings read. ``rules``: how ``docs``
+        came about, for the manifest.
+        """
+        tie = tie or key
+        keys = [key] if tie == key else [key, tie]
+        scratch = Scratch(docs.sparkSession, "tfidf")
+        counted = scratch.write(terms(docs, key, text, ngrams, tie), "terms")
         n = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
         df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
         kept = df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-        vocabulary = kept.select("term", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-        postings = cls._weights(counted, vocabulary, key)
-        return cls(vocabulary, postings, docs, {"min_df": min_df, "max_df": max_df, "ngrams": ngrams, "key": key, "text": text})
+        vocabulary = scratch.write(kept.select("term", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "vocabulary")
+        postings = scratch.write(cls._weights(counted, vocabulary, keys), "postings")
+        manifest = {"min_df": min_df, "max_df": max_df, "ngrams": ngrams, "key": key, "tie": tie, "text": text, "rules": rules or {}}
+        return cls(vocabulary, postings, docs, manifest)
 
     @staticmethod
-    def _weights(counted: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-        w = counted.join(vocabulary, "term").select(key, "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # a document's terms
-        return w.select(key, "term", (F.col("w") / norm).alias("weight"))
+    def _weights(counted: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
+        w = counted.join(vocabulary, "term").select(*keys, "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(keys[0])))  # a document's terms
+        return w.select(*keys, "term", (F.col("w") / norm).alias("weight"))
 
     def search(self, queries: DataFrame, key: str, text: str, top_k: int = V.TOP_K, min_score: float = 0.0, exclude: str | None = None) -> DataFrame:
-        """key, doc, rank, score: the best documents of each query by cosine, ties by document key.
+        """key, doc, rank, score: the best documents of each query by cosine, ties as the index says.
 
         All queries run in one job. A query without a known term gives no rows; so does top_k < 1.
         Scores are ranked after rounding to nine digits, since sums of doubles depend on their order.
         """
-        doc = self.manifest["key"]
+        doc, tie = self.manifest["key"], self.manifest["tie"]
+        ties = [doc] if tie == doc else [tie, doc]
         same = F.md5(F.array_join(X.index_tokens(text), " ")).alias("_same")  # equal token lists share one search
         asked = queries.select(key, same, *([F.col(exclude).alias("own")] if exclude else []))
-        q = self._weights(terms(queries.select(same, text).dropDuplicates(["_same"]), "_same", text, self.manifest["ngrams"]), self.vocabulary, "_same")
-        s = q.withColumnRenamed("weight", "qw").join(self.postings, "term").groupBy("_same", doc)
+        q = self._weights(terms(queries.select(same, text).dropDuplicates(["_same"]), "_same", text, self.manifest["ngrams"]), self.vocabulary, ["_same"])
+        s = q.withColumnRenamed("weight", "qw").join(self.postings, "term").groupBy("_same", *ties)
         s = s.agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score")).where(F.col("score") > min_score)
         # a query leaves out one document at most, so one more than top_k is enough
         most = top_k + 1 if exclude else top_k
-        s = _best(s, "_same", doc, most).join(asked, "_same")
+        s = _best(s, "_same", ties, most).join(asked, "_same")
         if exclude:
             s = s.where(~F.coalesce(F.col("own") == F.col(doc), F.lit(False)))
-        return _best(s, key, doc, top_k).select(key, doc, "rank", F.round("score", 6).alias("score"))
+        return _best(s, key, ties, top_k).select(key, doc, "rank", F.round("score", 6).alias("score"))
+
+    def counts(self) -> dict[str, int]:
+        """Rows of the index, documents with a term, and the size of the vocabulary."""
+        return {
+            "documents": self.metadata.count(), "documents_with_terms": self.postings.select(self.manifest["key"]).distinct().count(),
+            "vocabulary_size": self.vocabulary.count(),
+        }
 
     def save(self, path: str) -> None:
+        """The three tables, and the manifest with settings, rules and row counts, written last."""
         for name in ("vocabulary", "postings", "metadata"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         spark = self.metadata.sparkSession
-        spark.createDataFrame([(json.dumps(self.manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+        manifest = self.manifest | {"counts": self.counts(), "generated_at": generated_at()}
+        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "TfidfIndex":
+        """The saved index; FileNotFoundError without a table, ValueError where columns or row counts are not those of the manifest."""
         for name in ("vocabulary", "postings", "metadata"):
             if not exists(spark, f"{path}/{name}"):
                 raise FileNotFoundError(f"{path}/{name}")
         manifest = json.loads(spark.read.text(f"{path}/manifest").first().value) if exists(spark, f"{path}/manifest") else {}
         tables = [spark.read.parquet(f"{path}/{name}") for name in ("vocabulary", "postings", "metadata")]
         manifest = {"key": "interaction_id", "ngrams": V.NGRAMS} | manifest
-        require(tables[2], [manifest["key"]], "index metadata")
-        return cls(*tables, manifest)
+        manifest.setdefault("tie", manifest["key"])
+        require(tables[0], ["term", "df", "idf"], "index vocabulary")
+        require(tables[1], [manifest["key"], manifest["tie"], "term", "weight"], "index postings")
+        # an index of conversations needs all that its readers show; one of other documents its key only
+        require(tables[2], METADATA if manifest["key"] == "interaction_id" else [manifest["key"]], "index metadata")
+        out = cls(*tables, manifest)
+        if "counts" in manifest and (counts := out.counts()) != manifest["counts"]:
+            raise ValueError(f"the index at {path} has {counts}, its manifest says {manifest['counts']}")
+        return out
 
     def retrieve(self, query: str | None, top_k: int = V.TOP_K, exclude_interaction_id: str | None = None, min_score: float = 0.0) -> list[dict]:
         """One query; an empty or missing one gives an empty list."""
@@ -146,10 +191,6 @@ def metrics(per_query: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFr
     )
 
 
-QUALITATIVE = [("good_high_similarity", 2), ("weak_low_similarity", 2), ("weak_no_intent_match", 2), ("ambiguous_query", 2), ("short_query", 2),
-               ("url_bearing_query", 1), ("multi_turn_query", 1), ("no_result_query", 1)]
-
-
 def pick_qualitative(per_query: DataFrame, least: int = 10) -> list[tuple[str, str]]:
     """(golden_id, category): quotas by category, the first category that takes a row keeps it.
 
@@ -171,7 +212,7 @@ def pick_qualitative(per_query: DataFrame, least: int = 10) -> list[tuple[str, s
         "no_result_query": [r for r in rows if r.n_results == 0],
     }
     chosen: dict[str, str] = {}
-    for category, quota in QUALITATIVE:
+    for category, quota in V.QUALITATIVE:
         free = [r.golden_id for r in lists[category] if r.golden_id not in chosen]
         chosen |= dict.fromkeys(free[:quota], category)
     free = [r.golden_id for r in hit if r.golden_id not in chosen]
@@ -183,7 +224,7 @@ def assessment(n_results, top1, first_match):
     """A sentence on one query's results, as a Column."""
     return (
         F.when(n_results == 0, "nothing in the index shares a term")
-        .when((first_match == 1) & (top1 >= 0.3), "strong match of the same intent")
+        .when((first_match == 1) & (top1 >= V.STRONG_MATCH), "strong match of the same intent")
         .when(first_match == 1, "the same intent first, at modest similarity")
         .when(first_match.isNotNull(), F.concat(F.lit("the same intent at rank "), first_match.cast("string")))
         .otherwise("no result of the same intent")

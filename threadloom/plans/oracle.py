@@ -251,6 +251,66 @@ CTES: dict[str, tuple[str, list[str]]] = {
 }
 
 
+_FLAGS = {"short": "is_short", "multi_turn": "is_multi_turn", "ambiguous": "is_ambiguous", "has_url": "has_url"}
+_phases = [f"SELECT {k} AS phase, {q('intent:' + n)} AS reason, -1 AS flag, {V.PER_INTENT} AS quota, * FROM pool WHERE intent = {q(n)}" for k, n in enumerate(V.TAXONOMY_ORDER)]
+_phases += [
+    f"SELECT {100 + k} AS phase, {q('difficulty:' + n)} AS reason, {k + 1} AS flag, {least} AS quota, * FROM pool WHERE {_FLAGS[n]}" for k, (n, least) in enumerate(V.TOP_UPS.items())
+]
+_flag_list = "[" + ", ".join(f"CAST({_FLAGS[n]} AS INT)" for n in V.TOP_UPS) + "]"
+
+# The golden set one row at a time, as a scan with two lists of what is taken already.
+CTES |= {
+    "usable": (
+        f"""SELECT *, lower(trim(customer_normalized_text)) AS t, lower(trim(brand_normalized_text)) AS reply_key, n_matched >= 2 AS is_ambiguous,
+    {words('clean')} <= {V.SHORT_MESSAGE_WORDS} AS is_short, is_multi_turn_conversation OR turn_in_conversation > 1 AS is_multi_turn,
+    trim(customer_urls) <> '' AND {content('clean')} AS has_url
+  FROM pairs WHERE is_usable AND trim(customer_normalized_text) <> ''""",
+        ["pairs"],
+    ),
+    "numbered": (
+        """SELECT brand_tweet_id, row_number() OVER (ORDER BY brand_tweet_id) AS n, dense_rank() OVER (ORDER BY t) AS a, dense_rank() OVER (ORDER BY conversation_id) AS b
+  FROM usable WHERE conversation_id IS NOT NULL""",
+        ["usable"],
+    ),
+    "taken": (
+        """SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS texts, CAST([] AS BIGINT[]) AS talks, CAST(NULL AS BIGINT) AS got
+  UNION ALL SELECT r.n, CASE WHEN fresh THEN list_append(texts, a) ELSE texts END, CASE WHEN fresh THEN list_append(talks, b) ELSE talks END,
+    CASE WHEN fresh THEN brand_tweet_id END
+  FROM (SELECT w.texts, w.talks, x.*, NOT list_contains(w.texts, x.a) AND NOT list_contains(w.talks, x.b) AS fresh FROM taken w JOIN numbered x ON x.n = w.n + 1) r""",
+        ["numbered"],
+    ),
+    "pool": ("SELECT * FROM usable WHERE brand_tweet_id IN (SELECT got FROM taken WHERE got IS NOT NULL)", ["usable", "taken"]),
+    "visits": (
+        f"""SELECT phase, reason, flag, quota, brand_tweet_id AS id, dense_rank() OVER (ORDER BY reply_key) AS r, {_flag_list} AS flags,
+    row_number() OVER (ORDER BY phase, md5('42-' || brand_tweet_id), brand_tweet_id) AS n FROM ({' UNION ALL '.join(_phases)})""",
+        ["pool"],
+    ),
+    "picked": (
+        f"""SELECT CAST(0 AS BIGINT) AS n, -1 AS phase, 0 AS here, CAST([] AS BIGINT[]) AS ids, CAST([] AS BIGINT[]) AS replies, [0, 0, 0, 0] AS have,
+    CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS reason
+  UNION ALL SELECT n, phase, here + CAST(pick AS INT), CASE WHEN pick THEN list_append(ids, id) ELSE ids END, CASE WHEN pick THEN list_append(replies, r) ELSE replies END,
+    CASE WHEN pick THEN [have[1] + flags[1], have[2] + flags[2], have[3] + flags[3], have[4] + flags[4]] ELSE have END,
+    CASE WHEN open AND (pick OR again) THEN id END, reason
+  FROM (SELECT *, open AND NOT again AND NOT list_contains(replies, r) AS pick FROM (
+    SELECT *, len(ids) < {V.MOST_GOLDEN} AND CASE WHEN flag < 0 THEN here ELSE have[flag] END < quota AS open, list_contains(ids, id) AS again FROM (
+      SELECT v.n, v.phase, v.reason, v.flag, v.quota, v.id, v.r, v.flags, w.ids, w.replies, w.have, CASE WHEN w.phase = v.phase THEN w.here ELSE 0 END AS here
+      FROM picked w JOIN visits v ON v.n = w.n + 1)))""",
+        ["visits"],
+    ),
+    "golden": (
+        f"""SELECT 'gold-' || lpad(CAST(row_number() OVER (ORDER BY intent, conversation_id, brand_tweet_id) AS VARCHAR), 4, '0') AS golden_id, conversation_id,
+    customer_tweet_id AS customer_message_id, brand_tweet_id AS brand_reply_id, customer_text, customer_redacted_text, brand_text AS brand_reply_text,
+    brand_redacted_text AS brand_reply_redacted_text, intent, true AS intent_is_provisional, 'provisional_keyword_rule' AS label_method,
+    CASE WHEN n_matched = 0 THEN 'no keyword rule matched' WHEN n_matched >= 2 THEN 'keyword rule ''' || intent || '''; also matched ' || {joined(', ', 'intent')}
+      ELSE 'keyword rule ''' || intent || '''' END AS label_rule, replace(matched, ', ', ';') AS matched_intents, 'usable_corpus' AS source_split, sampling_reason,
+    is_short, is_multi_turn, is_ambiguous, is_generic_reply, has_url, turn_in_conversation, 'pending' AS annotation_status,
+    CASE WHEN is_ambiguous AND {joined(', ', 'intent')} <> '' THEN 'ambiguous; also matched: ' || {joined(', ', 'intent')} ELSE '' END AS notes
+  FROM pool JOIN (SELECT id, string_agg(DISTINCT reason, ';' ORDER BY reason) AS sampling_reason FROM picked WHERE id IS NOT NULL GROUP BY id) ON id = brand_tweet_id""",
+        ["pool", "picked"],
+    ),
+}
+
+
 def sql(body: str, *needs: str) -> str:
     """``body`` behind a WITH of the CTEs it needs."""
     order: list[str] = []

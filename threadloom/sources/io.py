@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,10 +65,31 @@ def read_messages(spark: SparkSession, path: str, columns: list[str] | None = No
     return good.select(*(columns or RAW_COLUMNS)), raw.where(F.col(CORRUPT).isNotNull() & read).select(CORRUPT)
 
 
+_TYPES = ["int", "bigint", "double", "timestamp", "boolean"]
+
+
 def sampled_types(spark: SparkSession, path: str, rows: int = 5000) -> list[tuple[str, str]]:
-    """Names and inferred types of the first rows of a CSV file; the limit is the feature."""
-    lines = spark.read.text(path).limit(rows + 1)
-    return spark.read.options(header=True, inferSchema=True).csv(lines.select("value").rdd.map(lambda r: r.value)).dtypes
+    """Names and inferred types of the first rows of a CSV file; the limit is the feature. A column without a value is a string."""
+    sample = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path).limit(rows)
+    fits = lambda c, t: F.count(F.when(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull(), 1)) == 0
+    checks = [F.struct((F.count(f"`{c}`") > 0).alias("any"), *(fits(c, t).alias(t) for t in _TYPES)) for c in sample.columns]
+    found = sample.agg(*(x.alias(f"c{k}") for k, x in enumerate(checks))).first()
+    return [(c, next((t for t in _TYPES if x["any"] and x[t]), "string")) for c, x in zip(sample.columns, found)]
+
+
+def generated_at() -> str:
+    """The time, in UTC, to the second, as summaries and reports state it."""
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S+00:00")
+
+
+def megabytes(n_bytes: int) -> float:
+    return round(n_bytes / (1024 * 1024), 2)
+
+
+def size_in_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder, on any Hadoop file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -95,6 +117,20 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """A nested summary of small collected figures as one line of JSON."""
+    spark.createDataFrame([(json.dumps(value, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first().value)
+
+
+def write_report(spark: SparkSession, text: str, path: str) -> None:
+    """A Markdown report as one text file, its lines in order."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 @dataclass(frozen=True)
 class Settings:
     """The configuration; ``api_key`` is kept out of its text."""
@@ -102,6 +138,7 @@ class Settings:
     brand: str | None = None
     seed: int = 42
     model: str = "mock"
+    url: str | None = None
     api_key: str | None = field(default=None, repr=False)
 
     def key(self) -> str:
@@ -111,12 +148,13 @@ class Settings:
 
 
 def load_settings(path: str | None = None, env: dict | None = None) -> Settings:
-    """From a JSON file (its absence is allowed) and environment variables LLM_API_KEY and LLM_MODEL."""
+    """From a JSON file (its absence is allowed) and environment variables LLM_API_KEY, LLM_MODEL and LLM_URL."""
     env = os.environ if env is None else env
     found = {}
     if path and os.path.exists(path):
         with open(path, encoding="utf-8") as f:
             found = json.load(f)
     return Settings(
-        brand=found.get("brand"), seed=int(found.get("seed", 42)), model=env.get("LLM_MODEL") or found.get("model", "mock"), api_key=env.get("LLM_API_KEY")
+        brand=found.get("brand"), seed=int(found.get("seed", 42)), model=env.get("LLM_MODEL") or found.get("model", "mock"),
+        url=env.get("LLM_URL") or found.get("url"), api_key=env.get("LLM_API_KEY"),
     )

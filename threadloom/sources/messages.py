@@ -42,6 +42,10 @@ CUSTOMER = [
     "where can i find the petrol station and car park",
     "can't log in, locked out of my account again",
     "sold out everywhere, when will it be back",
+    "my order came with items missing " + "and nobody at the shop could tell me why " * 4,
+    "the queue at the till was long " + "and the staff in the branch were rude to me " * 6,
+    "i was charged twice for one order " + "and i still wait for the refund to my card " * 15,
+    "my delivery never came " + "and the driver did not call me " * 70,
 ]
 REPLY = [
     "Please DM us",
@@ -56,6 +60,7 @@ REPLY = [
     "Your refund has been sorted and the payment will show in 3 days",
     "Thanks for letting us know, follow us and drop us a DM",
     "Have you tried to restart the app and update the settings",
+    "Please send us the order number " + "and the address of the branch so that the team can look into it " * 5,
     "We've passed this on to the manager of the branch",
 ]
 
@@ -81,9 +86,9 @@ def from_events(events: DataFrame) -> DataFrame:
         .otherwise(t - 1)
     )
     place = s * 7 + p * 11
-    asked = F.concat(
+    asked = F.when(e % 134 == 0, "  ").otherwise(F.concat(
         F.lit("@"), brand, F.lit(" "), _pick(CUSTOMER, place), F.when(s % 3 == 0, F.concat(F.lit(" order "), (s + 10_000_000).cast("string"))).otherwise("")
-    )
+    ))
     said = F.concat(
         F.lit("@"), (s + 100_000).cast("string"), F.lit(" "), _pick(REPLY, place),
         F.when(s % 4 == 0, F.concat(F.lit(" https://ex.co/"), s.cast("string"))).otherwise(""),
@@ -120,7 +125,7 @@ SELECT CAST(t AS VARCHAR) AS tweet_id,
   CASE WHEN p IN (0, 2, 4) THEN CAST(user_id AS VARCHAR) WHEN e % 13 = 0 THEN upper(brand) ELSE brand END AS author_id,
   CASE WHEN e % 211 = 210 THEN 'maybe' WHEN p IN (0, 2, 4) THEN 'True' ELSE 'False' END AS inbound,
   CASE WHEN e % 50 = 49 THEN 'bad date' ELSE strftime(ts, '%a %b %d %H:%M:%S +0000 %Y') END AS created_at,
-  CASE WHEN p IN (0, 2, 4)
+  CASE WHEN p IN (0, 2, 4) AND e % 134 = 0 THEN '  ' WHEN p IN (0, 2, 4)
     THEN '@' || brand || ' ' || list_extract([{', '.join(map(sql_text, CUSTOMER))}], (s * 7 + p * 11) % {len(CUSTOMER)} + 1)
       || CASE WHEN s % 3 = 0 THEN ' order ' || (s + 10000000) ELSE '' END
     ELSE '@' || (s + 100000) || ' ' || list_extract([{', '.join(map(sql_text, REPLY))}], (s * 7 + p * 11) % {len(REPLY)} + 1)
