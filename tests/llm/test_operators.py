@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontamination, exact_dedup, fixity, importance, language_id, line_dedup, packing, pii, queries, secrets, simhash
+from threadloom.llm import common, decontamination, exact_dedup, fixity, importance, language_id, line_dedup, packing, pii, queries, secrets, simhash
 
 from threadloom.llm.spans import apart, found
 
@@ -194,6 +194,27 @@ def test_lines_odd(spark):
     assert spark.range(1).select(line_dedup.ranges(F.array(*map(F.lit, [0, 1, 2, 5, 7, 8]))).alias("r")).first().r == "0-2,5-5,7-8"
 
 
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_text_ids(spark, monkeypatch, words):
+    """Ids of any type that has an order, and a filter that holds too many keys, give the same results."""
+    monkeypatch.setattr(common, "FILTER_WORDS", words)
+    long = "\n".join(f"line {k} of the common passage" for k in range(12))
+    texts = [f"own {k}\n" + (long if k % 3 == 0 else f"only here {k}") for k in range(30)] + [None, ""]
+    docs = spark.createDataFrame([(f"doc-{k:02d}", t) for k, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    got = {r.doc_id: list(r["__removed"]) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {f"doc-{k:02d}": g for k, g in enumerate(brute_lines(texts, 50))} and sum(map(bool, got.values())) == 9
+    found = {r.doc_id: r.component_id for r in simhash.simhash_components(docs).collect()}
+    assert found == {f"doc-{k:02d}": f"doc-{c:02d}" for k, c in enumerate(brute_components(range(32), list(map(brute_fingerprint, texts))))}
+
+
+def test_split_by(spark):
+    rows = spark.range(3000).withColumn("x", F.lit("t"))
+    keys = spark.range(0, 3000, 10).select(F.xxhash64("id").alias("h"))
+    plain, maybe = (sorted(r.id for r in df.collect()) for df in common.split_by(rows, F.xxhash64("id"), keys))
+    assert sorted(plain + maybe) == list(range(3000)) and not [k for k in plain if k % 10 == 0] and len(maybe) < 400
+    assert [df.count() for df in common.split_by(rows, F.xxhash64("id"), keys.limit(0))] == [3000, 0]
+
+
 # ---- decontamination ----
 def brute_distance(item, words):
     """Least edits between the item and any stretch of the words."""

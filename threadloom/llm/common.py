@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.shipping import ship
 from ..plans.staging import Scratch
 
-__all__ = ["ASCII_SPACE", "Scratch", "arrow_schema", "as_batches", "column", "map_batches", "text_of", "tune"]
+__all__ = ["ASCII_SPACE", "Scratch", "arrow_schema", "as_batches", "column", "map_batches", "split_by", "text_of", "tune"]
 
 #: Deleted by ``bytes.split()`` and by the contracts' class ``[\x20\x09-\x0D]`` alike.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -65,3 +65,23 @@ def arrow_schema(spark: SparkSession, schema: str):
 
     target = spark.createDataFrame([], schema).schema
     return target, to_arrow_schema(target)
+
+
+#: Words of 64 bits that a filter of keys has at most: 8 MB, broadcast.
+FILTER_WORDS = 1 << 20
+
+
+def split_by(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is certainly not among ``keys``, all other rows), without a shuffle of rows. keys: h (long), a scratch table.
+
+    A Bloom filter of 32 bits a key, of FILTER_WORDS words at most, travels to the rows. Beyond what that holds
+    more rows than necessary are among the others, which no result depends on.
+    """
+    words = min(FILTER_WORDS, max(1, keys.count() // 2))
+    bit = lambda h, k: F.expr("shiftleft(1L, cast(shiftrightunsigned({h}, {k}) & 63 as int))".format(h=h, k=k))
+    mask = lambda h: bit(h, 40).bitwiseOR(bit(h, 46)).bitwiseOR(bit(h, 52))
+    word = lambda h: F.expr(f"pmod({h}, {words}L)")
+    table = keys.groupBy(word("h").alias("__word")).agg(F.bit_or(mask("h")).alias("__bits"))
+    at = rows.withColumn("__h", key).withColumn("__word", word("__h")).join(F.broadcast(table), "__word", "left")
+    may = F.coalesce(F.col("__bits").bitwiseAND(mask("__h")) == mask("__h"), F.lit(False))
+    return tuple(at.where(c).select(*rows.columns) for c in (~may, may))

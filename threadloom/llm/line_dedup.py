@@ -10,12 +10,12 @@ a maximal repeated run is deleted.
    This keeps groups of copies of any size out of the suffix array.
 3. Prefix doubling ranks the suffixes that are left: the rank of 2^(k+1) lines is the place of
    the pair of ranks of its halves in sorted order. Suffixes whose rank is unique leave.
-4. Suffixes with equal ranks over a length form an interval of the suffix array in which the
-   common prefix has at least that length. A maximal repeated run of at least ``min_words``
-   words is the union of the shortest such runs that start, and that end, at each of its
-   lines; so it is enough to look up, for each line, the interval of those two runs. (The
-   rank pair of the two overlapping 2^k-blocks that cover a run names its interval.) A run
-   is a later copy if its interval holds an earlier start.
+4. Suffixes that agree over their first lcp lines form an interval of the suffix array, named by
+   the ranks of the two overlapping 2^k-blocks that cover those lines. The table of intervals has
+   a row for each: name, lcp, number of suffixes, first start in the corpus. A maximal repeated run
+   of at least ``min_words`` words is the union of the shortest such runs that start, and that end,
+   at each of its lines; so the intervals of those runs' lengths are all that deletions need. A run
+   is a later copy if its interval's first start is another one.
 """
 
 from __future__ import annotations
@@ -26,12 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, as_batches, column, tune
+from .common import Scratch, arrow_schema, as_batches, column, split_by, tune
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["d"].dataType.simpleString()
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """d, t, i, id (16 bytes), w: one row per line of each document. docs: d, t, text."""
-    target, arrow = arrow_schema(docs.sparkSession, "d long, t long, i int, id binary, w int")
+    target, arrow = arrow_schema(docs.sparkSession, f"d {_kind(docs)}, t long, i int, id binary, w int")
 
     def run(batches):
         digest = xxhash.xxh3_128_digest
@@ -66,7 +70,7 @@ def segment_rows(repeated: DataFrame, least: int) -> DataFrame:
     """
     target, arrow = arrow_schema(
         repeated.sparkSession,
-        "d long, t long, start int, n int, key binary, ids binary, starts array<int>, ends array<int>",
+        f"d {_kind(repeated)}, t long, start int, n int, key binary, ids binary, starts array<int>, ends array<int>",
     )
 
     def run(batches):
@@ -133,6 +137,15 @@ def doubled(scratch: Scratch, level: DataFrame, size: int) -> DataFrame:
     return out
 
 
+def lcp_intervals(suffixes: DataFrame) -> DataFrame:
+    """The intervals of the suffix array of more than one suffix: a, b (the name), n (the lcp), size, first.
+
+    suffixes: d, t, i (the start), n, and the ranks a and b of the blocks that cover n lines from there.
+    """
+    rows = suffixes.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("d", "t", "i")).alias("first"))
+    return rows.where("size > 1")
+
+
 def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """d, t, start, n: runs of lines that repeat an earlier run. docs: d (not null), t, text."""
     spark = docs.sparkSession
@@ -178,12 +191,11 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
             .join(tail, ["d", "t", "j"])
             .select("d", "t", "i", "n", "a", "b")
         )
-        named = scratch.write(named, "intervals")
-        low = named.groupBy("a", "b", "n").agg(F.min(F.struct("d", "t", "i")).alias("p"))
-        low = scratch.write(low, "low")
-        later = named.join(low, ["a", "b", "n"]).where(F.struct("d", "t", "i") != F.col("p"))
+        named = scratch.write(named, "suffixes")
+        table = scratch.write(lcp_intervals(named), "intervals")
+        later = named.join(table, ["a", "b", "n"]).where(F.struct("d", "t", "i") != F.col("first"))
         found.append(scratch.write(later.select("d", "t", F.col("i").alias("start"), "n"), "later"))
-        scratch.drop(named, low)
+        scratch.drop(named, table)
         if 2 * size > longest:
             break
         before, level = level, doubled(scratch, level, size)
@@ -207,17 +219,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     tune(spark)
     text = column(text_col).cast("string")
-    d, t = column(id_col).cast("long"), F.xxhash64(text)
+    d, t = column(id_col), F.xxhash64(text)
     compared = docs.where(d.isNotNull() & text.isNotNull()).select(d.alias("d"), t.alias("t"), text.alias("text"))
     copies = later_copies(compared, min_words)
     numbers = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("n") - 1)))))
     removed = copies.groupBy("d", "t").agg(numbers.alias("__removed"))
     removed = removed.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "__removed")
+    removed = Scratch(spark, "lines").write(removed, "removed")
     keyed = docs.withColumn("__d", d).withColumn("__t", t)
+    # texts without a removal, most of them, don't shuffle
+    plain, maybe = split_by(keyed, F.xxhash64("__d", "__t"), removed.select(F.xxhash64("__d", "__t").alias("h")))
+    none = F.expr("cast(array() as array<int>)")
+    met = maybe.join(removed, ["__d", "__t"], "left").withColumn("__removed", F.coalesce("__removed", none))
+    out = plain.withColumn("__removed", none).unionByName(met).drop("__d", "__t")
     lines = F.split(text, "\n", -1)
-    out = keyed.join(removed, ["__d", "__t"], "left").drop("__d", "__t")
     out = out.withColumn("__n_lines", F.size(F.when(text.isNotNull(), lines).otherwise(F.array())))
-    out = out.withColumn("__removed", F.coalesce("__removed", F.expr("cast(array() as array<int>)")))
     # a removed line becomes null in an indexed pass over the lines; array_except keeps it linear
     left = F.array_except(F.sequence(F.lit(0), F.col("__n_lines") - 1), F.col("__removed"))
     joined = F.array_join(F.transform(left, lambda i: F.element_at(F.col("__lines"), i + 1)), "\n")

@@ -50,8 +50,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fps = np.fromiter((fingerprint(t, shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
         return {"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))}
 
-    narrow = docs.select(column(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return map_batches(narrow, run, "doc_id long, fp long")
+    narrow = docs.select(column(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    return map_batches(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
