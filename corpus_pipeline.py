@@ -6,16 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontamination, language_id, line_dedup, packing, simhash
-from threadloom.llm.common import Scratch
+from threadloom.llm.common import Scratch, split_by
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
+    """Documents without a language (no text, or no letter in it) go.
+
+    Each row counts on its own, whatever its id; nulls in other columns don't matter. An empty table stays empty.
+    """
     return language_id.keep_identified(docs)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go; so do documents of which nothing else is left."""
+    """Later copies of repeated runs of lines go; so do documents of which nothing else is left.
+
+    Rows with a null id or text stay as they are. Rows that repeat id and text count as one document, each with its
+    result. n_chars follows the text where lines went. An empty table stays empty.
+    """
     out = line_dedup.dedup_lines(docs)
     emptied = (F.size("__removed") > 0) & (F.trim(F.translate("__clean", "\t\n\x0b\x0c\r", "")) == "")
     out = out.where(~F.coalesce(emptied, F.lit(False)))
@@ -24,18 +31,30 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays.
+
+    Null and empty texts are near copies of one another. Of rows that repeat a doc_id all stay or all go;
+    those with a null id stay. An empty table stays empty. Texts of documents that stay for certain don't shuffle.
+    """
     labels = simhash.simhash_components(docs)
-    gone = labels.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = Scratch(spark, "pipeline").write(labels.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    plain, maybe = split_by(docs, F.xxhash64("doc_id"), gone.select(F.xxhash64("doc_id").alias("h")))
+    return plain.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none. Each row counts on its own, whatever its id. Without items all documents stay.
+    """
     return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of 2048 tokens at most; the columns of ``packing.pack``.
+
+    Null and empty texts are a piece of one token. Each row is packed on its own, whatever its id. No documents: no rows.
+    """
     return packing.pack(docs)
 
 
