@@ -20,11 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, as_batches, column, text_of, tune
+from .common import Scratch, arrow_schema, as_batches, column, split_by, text_of, tune
 
 BUCKETS = 10_000  # at least
 BYTES_A_BUCKET = 50_000  # of text, about 17,000 words and pairs
-BROADCAST_LABELS = 500_000
 _CACHE_WORDS = 250_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -113,6 +112,7 @@ def importance_resample(
     text_col: str = "text",
     seed: int = 42,
     buckets: int | None = None,
+    temperature: float = 1.0,
 ) -> DataFrame:
     """One row per input row: doc_id, log_weight, gumbel_key, kept.
 
@@ -121,7 +121,10 @@ def importance_resample(
     labelled ones. Rows whose keys tie at the limit are all kept. Null and empty texts have
     weight 0. Without labels both models are equal, every weight is 0 and the draw is uniform.
     ``buckets`` is the size of the models' tables; None takes one for BYTES_A_BUCKET bytes of text.
-    Labels that repeat an id count as target if any of them is. An empty table gives no rows.
+    Weights add up over a text's words, so that long documents differ more than the noise reaches; a
+    ``temperature`` above 1 divides them and gives the draw more room. Labels that repeat an id count as target if
+    any of them is. Rows that repeat an id share their noise, and so do rows without one whose texts are equal. An
+    empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -132,25 +135,28 @@ def importance_resample(
     if fraction is None:
         share = wanted.agg(F.avg(F.col("target").cast("double"))).first()[0]
         fraction = 0.5 if share is None else share
-    wanted = scratch.write(wanted, "wanted")
-    # where the labels are few they travel; beyond that both sides shuffle once
-    few = wanted.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    marked = narrow.join(F.broadcast(wanted) if few else wanted, "doc_id", "left")
+    wanted = scratch.write(wanted.where("target"), "wanted")
+    # texts that are certainly not target don't shuffle
+    plain, maybe = split_by(narrow, F.xxhash64("doc_id"), wanted.select(F.xxhash64("doc_id").alias("h")))
+    marked = plain.withColumn("target", F.lit(False)).unionByName(maybe.join(wanted, "doc_id", "left"))
     buckets = buckets or bucket_count(narrow)
     counts = gram_counts(marked.select("text", F.coalesce("target", F.lit(False)).alias("target")), buckets)
     ratio = spark.sparkContext.broadcast(log_ratio(counts.toArrow(), buckets))  # a row for each bucket
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    seeded = narrow.withColumn("seed", own)
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    target, arrow = arrow_schema(spark, f"doc_id {kind}, log_weight double")
+    target, arrow = arrow_schema(spark, f"doc_id {kind}, seed long, log_weight double")
 
     def weigh(batches):
         for b in batches:
             if b.num_rows:
                 w = [float(ratio.value[gram_buckets(t, buckets)].sum()) for t in b.column(1).to_pylist()]
-                yield from as_batches({"doc_id": b.column(0), "log_weight": w}, arrow)
+                yield from as_batches({"doc_id": b.column(0), "seed": b.column(2), "log_weight": w}, arrow)
 
-    unit = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    unit = (F.shiftrightunsigned("seed", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     keyed = scratch.write(
-        narrow.mapInArrow(weigh, target).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(unit))), "keys"
+        seeded.mapInArrow(weigh, target).select("doc_id", "log_weight", (F.col("log_weight") / temperature - F.log(-F.log(unit))).alias("gumbel_key")),
+        "keys",
     )
     k = math.ceil(fraction * keyed.count())
     limit = kth_largest(keyed.select(F.col("gumbel_key").alias("key")), k) if k else math.inf

@@ -100,34 +100,30 @@ def fit(texts: list[str], labels: list[str], landmarks: int, ridge: float) -> Mo
     return Model(names, weights, (middle - mean @ w).astype(np.float32))
 
 
-def training_rows(
-    docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_label: int, longest_labels: int
-) -> tuple[list[str], list[str]]:
-    """At most ``per_label`` labelled documents of each of the most frequent labels, picked by a hash of the id.
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_label: int, most_rows: int) -> tuple[list[str], list[str]]:
+    """Labelled documents picked by a hash of the id: ``per_label`` of each label, fewer where they would be more than ``most_rows``.
 
     A document is never learnt from where crc32 of its id as text leaves 2 when divided by 4.
     """
-    key = column(id_col)
+    spark, key = docs.sparkSession, column(id_col)
     known = docs.where(column(lang_col).isNotNull() & key.isNotNull() & (F.crc32(key.cast("string")) % 4 != 2))
     narrow = known.select(key.alias("i"), column(lang_col).cast("string").alias("lang")).where(F.col("lang") != UNDETERMINED)
-    counts = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(longest_labels).collect()
-    labels = [r.lang for r in counts]
-    if not labels:
+    counts = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each label
+    if not counts:
         return [], []
+    per_label = max(1, min(per_label, most_rows // len(counts)))
     # a hash below 8 x per_label / n leaves about 8 x per_label rows of a label, whatever the corpus
-    share = F.lit(1.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, min(1.0, 8 * per_label / r.n)).otherwise(share)
+    shares = spark.createDataFrame([(r.lang, min(1.0, 8 * per_label / r.n)) for r in counts], "lang string, share double")
     chance = F.shiftrightunsigned(F.xxhash64("i"), 1) / F.lit(float(1 << 63))
     by = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i")
-    few = narrow.where(F.col("lang").isin(labels) & (chance < share)).withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_label)
+    few = narrow.join(F.broadcast(shares), "lang").where(chance < F.col("share")).withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_label)
     few = few.select("i").distinct()
     taken = (
         known.select(key.alias("i"), column(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
-        .where(F.col("lang").isin(labels) & F.col("text").rlike(r"\p{L}"))
+        .where((F.col("lang") != UNDETERMINED) & F.col("text").rlike(r"\p{L}"))
         .join(F.broadcast(few), "i")
         .orderBy(F.xxhash64("i"), "i", "text")
-        .limit(2 * per_label * len(labels))
+        .limit(2 * per_label * len(counts))
         .collect()
     )
     return [r.text for r in taken], [r.lang for r in taken]
@@ -141,11 +137,15 @@ def train(
     per_label: int = 300,
     landmarks: int = 240,
     ridge: float = 0.1,
-    most_labels: int = 64,
+    most_rows: int = 19_200,
 ) -> Model | None:
-    """The model; None if no document can be learnt from. Bounds: per_label documents for each of most_labels labels."""
-    texts, labels = training_rows(docs, id_col, text_col, lang_col, per_label, most_labels)
-    return fit(texts, labels, landmarks, ridge) if texts else None
+    """The model; None if no document can be learnt from.
+
+    Every label is learnt, from ``per_label`` documents, or from as many as keep all within ``most_rows``. The
+    landmarks are at least ``landmarks``, and two for each label. The weights take half a megabyte for each label.
+    """
+    texts, labels = training_rows(docs, id_col, text_col, lang_col, per_label, most_rows)
+    return fit(texts, labels, max(landmarks, 2 * len(set(labels))), ridge) if texts else None
 
 
 def _predict(model: Model | None, texts: list[str | None], grams: Grams) -> tuple[list[str], np.ndarray]:
@@ -164,7 +164,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     ``und`` with score 0 for null texts, texts without a letter, and all texts if nothing can be
     learnt. held_out: crc32 of the id as text leaves 2 when divided by 4 (false for a null id).
-    Ties go to the first label by name. Rows that repeat an id are predicted each on its own.
+    Ties go to the first label by name. Rows that repeat an id are predicted each on its own. An empty table
+    gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -193,7 +194,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
     """``docs`` with all its columns, without the documents whose language is ``und``.
 
-    If nothing can be learnt, only null texts and texts without a letter go.
+    If nothing can be learnt, only null texts and texts without a letter go. Rows that repeat an id count each on
+    its own; an empty table stays empty.
     """
     spark = docs.sparkSession
     tune(spark)
