@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 class Scratch:
-    """A folder of one call below ``spark.checkpoint.dir``, which all executors share; /tmp/checkpoints where it is unset."""
+    """A folder of one call below ``spark.checkpoint.dir``, which all executors share. Only a local master may leave it unset."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = f"{tempfile.gettempdir()}/checkpoints"
         self.root = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
         self.count = 0
 
