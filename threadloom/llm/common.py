@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.shipping import ship
 from ..plans.staging import Scratch
 
-__all__ = ["ASCII_SPACE", "Scratch", "arrow_schema", "as_batches", "column", "map_batches", "split_by", "text_of", "tune"]
+__all__ = ["ASCII_SPACE", "Scratch", "arrow_schema", "as_batches", "column", "map_batches", "split_by", "text_of", "trim", "tune"]
 
 #: Deleted by ``bytes.split()`` and by the contracts' class ``[\x20\x09-\x0D]`` alike.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -33,6 +34,15 @@ def column(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def trim() -> None:
+    """Give memory that this worker process has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """``function`` maps one Arrow batch to a dict of columns (or None); whole batches stay in Arrow."""
     spark = df.sparkSession
@@ -45,6 +55,7 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 yield from as_batches(function(batch), arrow)
+        trim()
 
     return df.mapInArrow(run, target)
 

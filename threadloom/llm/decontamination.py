@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batches, column, text_of, tune
+from .common import arrow_schema, as_batches, column, text_of, trim, tune
 
 _PUNCTUATION = bytes(32 if b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) else b for b in range(256))
 BYTES_A_WORD = 250  # of an item's word in a Matcher, about
@@ -354,6 +354,7 @@ def drop_leaks(
                     keep = np.ones(b.num_rows, bool)
                     keep[[m[0] for m in sent.value.matches([t or "" for t in b.column(at).to_pylist()])]] = False
                     yield b.filter(pa.array(keep))
+            trim()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

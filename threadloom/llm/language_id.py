@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batches, column, text_of, tune
+from .common import arrow_schema, as_batches, column, text_of, trim, tune
 
 HASH_BITS = 17
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -212,5 +212,6 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 else:
                     keep = [n != UNDETERMINED for n in _predict(sent.value, texts, grams)[0]]
                 yield b.filter(pa.array(keep))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, as_batches, column, split_by, tune
+from .common import Scratch, arrow_schema, as_batches, column, split_by, trim, tune
 
 
 def _kind(df: DataFrame) -> str:
@@ -49,6 +49,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 w += [len(x.split()) for x in lines]
             at = pa.array(rows, pa.int32())
             yield from as_batches({"d": b.column(0).take(at), "t": b.column(1).take(at), "i": i, "id": ids, "w": w}, arrow)
+        trim()
 
     return docs.mapInArrow(run, target)
 
@@ -89,6 +90,7 @@ def segment_rows(repeated: DataFrame, least: int) -> DataFrame:
                         for name, x in zip(out, row):
                             out[name].append(x)
             yield from as_batches(out, arrow, rows=2048)
+        trim()
 
     return repeated.mapInArrow(run, target)
 

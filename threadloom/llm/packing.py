@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, as_batches, column, text_of, tune
+from .common import Scratch, arrow_schema, as_batches, column, text_of, trim, tune
 
 VOCABULARY = "word_bpe_49k.json"
 _CACHE_WORDS = 500_000
@@ -111,8 +111,11 @@ class _Words:
     def _letters(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of runs of lower-case letters."""
         runs = runs.to_pylist()
-        parts = [" ".join(runs[k : k + 500]) for k in range(0, len(runs), 500)]
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.runs_of(parts, add_special_tokens=False)])
+        ids = []
+        for k in range(0, len(runs), 10_000):  # an encoding is many times as large as its ids
+            parts = [" ".join(runs[j : j + 500]) for j in range(k, min(k + 10_000, len(runs)), 500)]
+            ids += [np.array(e.ids, "<u4") for e in self.runs_of(parts, add_special_tokens=False)]
+        ids = np.concatenate(ids)
         return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
 
     def _others(self, words: list[str]) -> list[np.ndarray]:
@@ -192,7 +195,7 @@ def words_of(path: str | None) -> _Words:
     return _words[path]
 
 
-def groups(texts: list[str], chars: int = 4_000_000):
+def groups(texts: list[str], chars: int = 2_000_000):
     """Lists of texts of about so many characters, at least one text each: bounds the words in memory at once."""
     part, size = [], 0
     for t in texts:
@@ -241,6 +244,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer
                 yield from as_batches(
                     {"doc_id": b.column(0).take(pa.array(row)), "piece": piece, "start": start, "length": length,
                      "ids_crc32": crc, "part": [part] * len(row), "nth": pa.array(nth)}, arrow)
+        trim()
 
     return narrow.mapInArrow(run, target)
 

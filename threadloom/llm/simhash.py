@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, as_batches, column, map_batches, text_of, tune
+from .common import Scratch, arrow_schema, as_batches, column, map_batches, text_of, trim, tune
 from .graph import components
 
 BITS, SEED = 64, 42
@@ -120,8 +120,12 @@ def bucket_links(keyed: DataFrame, distance: int, small: int = 48) -> DataFrame:
             right += b
         if left and sum(map(len, left)):
             u, v = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
-            yield from as_batches({"u": pa.array(pairs[:, 0].view(np.int64)), "v": pa.array(pairs[:, 1].view(np.int64))}, arrow)
+            u, v = np.maximum(u, v), np.minimum(u, v)
+            order = np.lexsort((v, u))
+            u, v = u[order], v[order]
+            new = np.ones(len(u), bool)
+            new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+            yield from as_batches({"u": pa.array(u[new].view(np.int64)), "v": pa.array(v[new].view(np.int64))}, arrow)
 
     def run(batches):
         keys, fps = [], []
@@ -137,6 +141,7 @@ def bucket_links(keyed: DataFrame, distance: int, small: int = 48) -> DataFrame:
                 keys, fps = [key[cut:]], [fp[cut:]]
         if keys:
             yield from link(np.concatenate(keys), np.concatenate(fps))
+        trim()
 
     return keyed.mapInArrow(run, target)
 
