@@ -42,10 +42,6 @@ CUSTOMER = [
     "where can i find the petrol station and car park",
     "can't log in, locked out of my account again",
     "sold out everywhere, when will it be back",
-    "my order came with items missing " + "and nobody at the shop could tell me why " * 4,
-    "the queue at the till was long " + "and the staff in the branch were rude to me " * 6,
-    "i was charged twice for one order " + "and i still wait for the refund to my card " * 15,
-    "my delivery never came " + "and the driver did not call me " * 70,
 ]
 REPLY = [
     "Please DM us",
@@ -60,10 +56,18 @@ REPLY = [
     "Your refund has been sorted and the payment will show in 3 days",
     "Thanks for letting us know, follow us and drop us a DM",
     "Have you tried to restart the app and update the settings",
-    "Please send us the order number " + "and the address of the branch so that the team can look into it " * 5,
     "We've passed this on to the manager of the branch",
 ]
 
+#: What some messages go on with, by a divisor of the event id: beyond 160, 240, 600 and 2000 characters; and a long reply.
+LONGER = {
+    202: " my order came with items missing " + "and nobody at the shop could tell me why " * 4,
+    206: " the queue at the till was long " + "and the staff in the branch were rude to me " * 6,
+    214: " i was charged twice for one order " + "and i still wait for the refund to my card " * 15,
+    218: " my delivery never came " + "and the driver did not call me " * 70,
+}
+LONGER_REPLY = (203, " please send us the order number " + "and the address of the branch so that the team can look into it " * 5)
+
 
 def _pick(templates: list[str], place: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, templates)), (place % len(templates) + 1).cast("int"))
@@ -86,12 +90,14 @@ def from_events(events: DataFrame) -> DataFrame:
         .otherwise(t - 1)
     )
     place = s * 7 + p * 11
+    longer = F.coalesce(*(F.when(e % k == 0, more) for k, more in LONGER.items()), F.lit(""))
     asked = F.when(e % 134 == 0, "  ").otherwise(F.concat(
-        F.lit("@"), brand, F.lit(" "), _pick(CUSTOMER, place), F.when(s % 3 == 0, F.concat(F.lit(" order "), (s + 10_000_000).cast("string"))).otherwise("")
+        F.lit("@"), brand, F.lit(" "), _pick(CUSTOMER, place), F.when(s % 3 == 0, F.concat(F.lit(" order "), (s + 10_000_000).cast("string"))).otherwise(""), longer
     ))
     said = F.concat(
         F.lit("@"), (s + 100_000).cast("string"), F.lit(" "), _pick(REPLY, place),
         F.when(s % 4 == 0, F.concat(F.lit(" https://ex.co/"), s.cast("string"))).otherwise(""),
+        F.when(e % LONGER_REPLY[0] == 0, LONGER_REPLY[1]).otherwise(""),
     )
     when = F.concat(F.date_format("ts", "EEE MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format("ts", "yyyy"))
     rows = events.where(e % 307 != 306).select(
@@ -128,8 +134,9 @@ SELECT CAST(t AS VARCHAR) AS tweet_id,
   CASE WHEN p IN (0, 2, 4) AND e % 134 = 0 THEN '  ' WHEN p IN (0, 2, 4)
     THEN '@' || brand || ' ' || list_extract([{', '.join(map(sql_text, CUSTOMER))}], (s * 7 + p * 11) % {len(CUSTOMER)} + 1)
       || CASE WHEN s % 3 = 0 THEN ' order ' || (s + 10000000) ELSE '' END
+      || CASE {' '.join(f"WHEN e % {k} = 0 THEN {sql_text(more)}" for k, more in LONGER.items())} ELSE '' END
     ELSE '@' || (s + 100000) || ' ' || list_extract([{', '.join(map(sql_text, REPLY))}], (s * 7 + p * 11) % {len(REPLY)} + 1)
-      || CASE WHEN s % 4 = 0 THEN ' https://ex.co/' || s ELSE '' END END AS text,
+      || CASE WHEN s % 4 = 0 THEN ' https://ex.co/' || s ELSE '' END || CASE WHEN e % {LONGER_REPLY[0]} = 0 THEN {sql_text(LONGER_REPLY[1])} ELSE '' END END AS text,
   string_agg(kid, ',' ORDER BY kid_id) AS response_tweet_id,
   CAST(parent AS VARCHAR) AS in_response_to_tweet_id
 FROM (SELECT *, CAST('Brand' || lpad(CAST(s % 25 AS VARCHAR), 2, '0') AS VARCHAR) AS brand,
