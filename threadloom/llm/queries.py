@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, fixity, importance, language_id, line_dedup, packing, pii, secrets, simhash
+from . import decontamination, exact_dedup, fixity, importance, language_id, lexical, line_dedup, packing, pii, secrets, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -96,6 +96,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_read(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item; nulls, ties and repeated rows as in ``lexical.search``."""
+    return lexical.search(lexical.build_index(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,7 +110,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_decontamination, op2_line_dedup, op3_exact_dedup, op4_secrets, op5_fixity, op6_simhash, op7_pii,
-              op8_packing, op9_importance, op10_language_id, pipeline)
+              op8_packing, op9_importance, op10_language_id, op11_lexical, pipeline)
 }
 
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op5_fixity": OP5_SQL}
+ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op5_fixity": OP5_SQL, "op11_lexical": lexical.ORACLE_SQL}
