@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, fixity, importance, language_id, lexical, line_dedup, packing, pii, secrets, simhash
+from . import decontamination, exact_dedup, fixity, importance, language_id, lexical, line_dedup, packing, pii, secrets, simhash, spelling
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -101,6 +101,11 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.build_index(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, their near words, forms and roots; nulls, ties and repeated rows as in ``spelling.spelling_variants``."""
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"), every=31)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_decontamination, op2_line_dedup, op3_exact_dedup, op4_secrets, op5_fixity, op6_simhash, op7_pii,
-              op8_packing, op9_importance, op10_language_id, op11_lexical, pipeline)
+              op8_packing, op9_importance, op10_language_id, op11_lexical, op12_spelling, pipeline)
 }
 
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op5_fixity": OP5_SQL, "op11_lexical": lexical.ORACLE_SQL}
+ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op5_fixity": OP5_SQL, "op11_lexical": lexical.ORACLE_SQL, "op12_spelling": spelling.ORACLE_SQL}
