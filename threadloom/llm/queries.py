@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, fixity, importance, language_id, lexical, line_dedup, packing, pii, secrets, simhash, spelling
+from . import decontamination, exact_dedup, fixity, importance, language_id, lexical, line_dedup, packing, pii, secrets, simhash, spelling, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -106,6 +106,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_read(spark, sf_dir, "documents"), every=31)
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words without later copies of 20 or more; nulls, ties and repeated rows as in ``substrings.dedup_substrings``."""
+    out = substrings.dedup_substrings(_read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -115,7 +121,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_decontamination, op2_line_dedup, op3_exact_dedup, op4_secrets, op5_fixity, op6_simhash, op7_pii,
-              op8_packing, op9_importance, op10_language_id, op11_lexical, op12_spelling, pipeline)
+              op8_packing, op9_importance, op10_language_id, op11_lexical, op12_spelling, op13_substrings, pipeline)
 }
 
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op5_fixity": OP5_SQL, "op11_lexical": lexical.ORACLE_SQL, "op12_spelling": spelling.ORACLE_SQL}
+ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op5_fixity": OP5_SQL, "op11_lexical": lexical.ORACLE_SQL, "op12_spelling": spelling.ORACLE_SQL,
+              "op13_substrings": substrings.ORACLE_SQL}
