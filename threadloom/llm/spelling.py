@@ -4,9 +4,9 @@
 2. All bigrams are ordered by their frequency among the words (a table of at most 90 x 90 rows). One edit touches at
    most two bigrams of either word, and the others keep their order; so the first one that both words keep is among the
    three rarest of each, at the same place or, if it lies behind an inserted letter, one place on.
-3. Words meet by an equality key: such a bigram, its place, the shorter word's length, and the half of the shorter word
-   that the edit leaves as it is (one of the two halves always is one). The half keeps what meets small where a bigram
-   at a place is frequent; no pair within one edit is lost by it. Each pair that meets is verified by its edit distance.
+3. Words meet by an equality key: such a bigram, its place, the shorter word's length, and all of the word but the third
+   that the edit is in (each third in turn). No pair within one edit is lost by it, and words that meet differ in a
+   third of their letters only, however frequent a bigram is at a place. Each pair that meets is verified by its edit distance.
 4. A word's form occurs ten times as often as the word, so that pointer doubling finds all roots in a few rounds.
 """
 
@@ -83,40 +83,51 @@ def placed(words: DataFrame) -> DataFrame:
     return map_batches(words.select("word", "n"), run, "word string, n long, at array<int>")
 
 
-def _sub(start: Column, length: Column) -> Column:
-    return F.substring(F.col("word"), start, length)
+def _rest(length: Column, third: int, more: int) -> Column:
+    """The word without a third of a word of ``length``; the word itself may have ``more`` letters in that third."""
+    cut = [F.lit(0), F.floor(length / 3).cast("int"), F.floor(length * 2 / 3).cast("int"), length]
+    head = F.substring("word", F.lit(1), cut[third])
+    return F.concat(head, F.lit("|"), F.substring("word", cut[third + 1] + (1 + more), F.length("word")))
 
 
-def _keys(p: Column, gram: Column, length: Column, shift: int) -> list[tuple[Column, Column]]:
-    """(key, whether it can be one) for either half of a word of ``length``, read ``shift`` letters later in the right half."""
-    h = F.floor(length / 2).cast("int")
-    key = lambda side, piece: F.xxhash64(gram, p, length, F.lit(side), piece)
-    return [(key(0, _sub(F.lit(1), h)), h), (key(1, _sub(h + F.lit(1 + shift), length)), h)]
+def _key(p: Column, gram: Column, length: Column, third: int, rest: Column) -> Column:
+    return F.xxhash64(gram, p, length, F.lit(third), rest)
+
+
+def _gram(p: Column) -> Column:
+    return F.substring("word", p + 1, F.lit(2))
+
+
+def _exploded(words: DataFrame, length: Column, more: int, keys) -> DataFrame:
+    """key, word, n: ``keys`` of each of the rarest bigrams' places and the three rests, without repeats."""
+    rested = words.select("word", "n", "at", *(_rest(length, k, more).alias(f"rest{k}") for k in range(3)))
+    all_keys = F.array_compact(F.array_distinct(F.flatten(F.transform("at", keys))))
+    return rested.select(F.explode(all_keys).alias("key"), "word", "n")
 
 
 def indexed(words: DataFrame) -> DataFrame:
-    """key, word, n: each word under its rarest bigrams and either half."""
-    at = lambda p: F.array(*(k for k, _ in _keys(p, _sub(p + 1, F.lit(2)), F.length("word"), 0)))
-    return words.select(F.explode(F.flatten(F.transform("at", at))).alias("key"), "word", "n")
+    """key, word, n: each word under its rarest bigrams and three rests."""
+    length = F.length("word")
+    return _exploded(words, length, 0, lambda p: F.array(*(_key(p, _gram(p), length, k, F.col(f"rest{k}")) for k in range(3))))
 
 
 def longer(words: DataFrame) -> DataFrame:
     """key, word, n: each word as one with a letter more than those that it may meet.
 
-    A bigram within the half that stays keeps its place if it is the left one, and is one place less if it is the right one.
+    A bigram before the third that has the letter keeps its place, one behind it is one place less; one that touches it may do either.
     """
     length = F.length("word") - 1
-    h = F.floor(length / 2).cast("int")
 
-    def at(p: Column) -> Column:
-        gram = _sub(p + 1, F.lit(2))
-        (same_left, _), (same_right, _) = _keys(p, gram, length, 1)
-        (less_left, _), (less_right, _) = _keys(p - 1, gram, length, 1)
-        return F.array(
-            same_left, F.when(p + 1 < h, F.lit(None)).otherwise(less_left), less_right, F.when(p >= h + 1, F.lit(None)).otherwise(same_right)
-        )
+    def keys(p: Column) -> Column:
+        out = []
+        for k in range(3):
+            start, stop = F.floor(length * k / 3), F.floor(length * (k + 1) / 3)
+            rest = F.col(f"rest{k}")
+            out.append(F.when(p < stop + 1, _key(p, _gram(p), length, k, rest)))
+            out.append(F.when(p + 1 >= start, _key(p - 1, _gram(p), length, k, rest)))
+        return F.array(*out)
 
-    return words.select(F.explode(F.array_distinct(F.flatten(F.transform("at", at)))).alias("key"), "word", "n").where("key is not null")
+    return _exploded(words, length, 1, keys)
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
