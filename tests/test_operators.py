@@ -1,11 +1,14 @@
 """Threads, pairs, sampling, retrieval and the agent on small fixtures, with plain-Python cross-checks."""
 
+import collections
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import agent, pairs, profile, retrieval, sampling, threads
+from threadloom.operators import agent, blocks, pairs, profile, retrieval, sampling, threads
 from threadloom.operators.typed import typed
 from threadloom.sources import io, messages
 from threadloom.streaming.labelling import label_stream
@@ -169,14 +172,96 @@ def test_retrieval_invariants(spark, index, tmp_path):
     with pytest.raises(FileNotFoundError):
         retrieval.TfidfIndex.load(spark, f"{tmp_path}/none")
     assert again.manifest["counts"] == {"documents": 7, "documents_with_terms": 7, "vocabulary_size": index.vocabulary.count()} and again.manifest["generated_at"]
-    index.metadata.limit(3).write.mode("overwrite").parquet(f"{tmp_path}/index/metadata")
+    metadata = f"{tmp_path}/index/metadata/{again.manifest['version']}"
+    index.metadata.limit(3).write.mode("overwrite").parquet(metadata)
     with pytest.raises(ValueError, match="documents"):
         retrieval.TfidfIndex.load(spark, f"{tmp_path}/index")
-    index.metadata.drop("intent").write.mode("overwrite").parquet(f"{tmp_path}/index/metadata")
+    index.metadata.drop("intent").write.mode("overwrite").parquet(metadata)
     with pytest.raises(io.MissingColumns, match="intent"):
         retrieval.TfidfIndex.load(spark, f"{tmp_path}/index")
 
 
+def _corpus(spark, n=160):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(25)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(25)], k=rng.randrange(1, 9))) for _ in range(n)]
+    return spark.createDataFrame([(k, (k * 37) % 50, t) for k, t in enumerate(texts)], "id long, place long, t string").repartition(3)
+
+
+def _brute_cosine(docs, queries, k, ngrams=2, min_df=2, max_df=0.9):
+    def grams(t):
+        w = re.findall(r"\w\w+", t.lower())
+        return collections.Counter(g for n in range(1, ngrams + 1) for g in zip(*(w[i:] for i in range(n))))
+
+    tf = {r.id: grams(r.t) for r in docs}
+    df = collections.Counter(g for c in tf.values() for g in c)
+    idf = {g: math.log((1 + len(tf)) / (1 + n)) + 1 for g, n in df.items() if min_df <= n <= max_df * len(tf)}
+
+    def vector(c):
+        v = {g: (1 + math.log(n)) * idf[g] for g, n in c.items() if g in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / norm for g, x in v.items()}
+
+    vectors, place, out = {i: vector(c) for i, c in tf.items()}, {r.id: r.place for r in docs}, []
+    for q, t in queries:
+        v = vector(grams(t))
+        scores = sorted((-round(sum(x * d.get(g, 0) for g, x in v.items()), 9), place[i], i) for i, d in vectors.items())
+        out += [(q, i, r + 1, round(-s, 6)) for r, (s, _, i) in enumerate(x for x in scores[:k] if x[0] < 0)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("docs", "postings", "lists"), [(8192, 1 << 18, 16384), (3, 1000, 7), (1000, 5, 4)])
+def test_search_in_blocks(spark, monkeypatch, docs, postings, lists):
+    """Blocks of any size and queries in lists of any size give the rows of brute force; ties by place, then id."""
+    build, query_blocks = blocks.build, blocks.query_blocks
+    monkeypatch.setattr(blocks, "build", lambda v, d, t: build(v, d, t, docs, postings))
+    monkeypatch.setattr(blocks, "query_blocks", lambda v, n: query_blocks(v, n, lists))
+    corpus = _corpus(spark)
+    queries = [(1, "w0 w1 w2"), (2, "w24"), (3, "unknown"), (4, ""), (5, "W3 w3 w4 w5"), *((k, f"w{k % 25} w{k % 7}") for k in range(6, 20))]
+    index = retrieval.TfidfIndex.fit(corpus, "id", "t", tie="place")
+    got = index.search(spark.createDataFrame(queries, "q long, t string"), "q", "t", 6)
+    assert sorted((r.q, r.id, r.rank, r.score) for r in got.collect()) == _brute_cosine(corpus.collect(), queries, 6)
+
+
+def test_search_moves_no_posting(spark):
+    """Between the scan of the blocks and the heaps there is no exchange, and most blocks are skipped for a rare word."""
+    index = retrieval.TfidfIndex.fit(_corpus(spark), "id", "t", tie="place")
+    vectors = index._vectors(index.counted, index.vocabulary, ["id", "place"])
+    index._blocks = index._scratch.write(blocks.build(vectors, "id", "place", 10), "small")
+    q = spark.createDataFrame([(1, "w20 w21")], "q long, t string")
+    plan = index.search(q, "q", "t", 2)._jdf.queryExecution().optimizedPlan().toString()
+    at = next(k for k, line in enumerate(plan.splitlines()) if "MapInArrow" in line)
+    assert re.search("Relation|Scan", plan.splitlines()[at + 1])
+    asked = blocks.Queries(["a"], [["w20", "w0"]], [[0.9, 0.1]], 1, 0.0)
+    asked.begin()
+    for b in index.blocks.toArrow().to_batches():
+        for i in range(b.num_rows):
+            asked.meet(blocks._read({c: b.column(c)[i] for c in b.schema.names}))
+    assert asked.scanned < index.blocks.count() > 10
+
+
+def test_grown_index(spark, tmp_path):
+    """An index that grew twice, saved and loaded in between, equals one of all documents; a failed save leaves the old version."""
+    corpus = _corpus(spark)
+    path, q = f"{tmp_path}/grown", spark.createDataFrame([(k, f"w{k} w{k + 1} w{k + 2}") for k in range(20)], "q long, t string")
+    part = [corpus.where(F.col("id") % 3 == k) for k in range(3)]
+    retrieval.TfidfIndex.fit(part[0], "id", "t", tie="place").save(path)
+    for p in part[1:]:
+        index = retrieval.TfidfIndex.load(spark, path)
+        with pytest.raises(ValueError, match="same id"):
+            index.add(part[0].limit(1))
+        index.add(p).save(path)
+    again, whole = retrieval.TfidfIndex.load(spark, path), retrieval.TfidfIndex.fit(corpus, "id", "t", tie="place")
+    assert len(again.manifest["segments"]) == 3 and again.counts() == whole.counts()
+    rows = lambda i: sorted(map(tuple, i.search(q, "q", "t").collect()))
+    assert rows(again) == rows(whole) and sorted(map(tuple, again.vocabulary.collect())) == sorted(map(tuple, whole.vocabulary.collect()))
+    more = again.add(corpus.select((F.col("id") + 1000).alias("id"), "place", "t"))
+    more.metadata = None
+    with pytest.raises(AttributeError):
+        more.save(path)
+    assert rows(retrieval.TfidfIndex.load(spark, path)) == rows(whole)
+
+
 class Client:
     model_name = "fake"
 

@@ -556,6 +556,17 @@ def tfidf_search_topk(spark, d):
     return _index(spark, d).search(q, "id", "text")
 
 
+@query(_search(_SAMPLES, "id", "text", 5), "postings")
+def index_grown(spark, d):
+    """The same search in a saved index that began with every other reply and then grew by the rest."""
+    rows = Scratch(spark, "index").write(retrieval.index_rows(_pairs(spark, d)), "rows")
+    path, odd = f"{Scratch(spark, 'saved').root}/index", F.col("brand_tweet_id") % 2 == 1
+    retrieval.TfidfIndex.fit(rows.where(odd), "interaction_id", "customer_normalized_text", tie="brand_tweet_id").save(path)
+    retrieval.TfidfIndex.load(spark, path).add(rows.where(~odd)).save(path)
+    q = spark.createDataFrame(list(enumerate(SAMPLES)), "id long, text string")
+    return retrieval.TfidfIndex.load(spark, path).search(q, "id", "text")
+
+
 def _document_index(spark, d):
     docs = _documents(spark, d).select("doc_id", "text")
     return retrieval.TfidfIndex.fit(docs, "doc_id", "text", ngrams=1)

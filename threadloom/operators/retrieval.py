@@ -1,8 +1,9 @@
-"""TF-IDF index and search over DataFrames: postings joined on terms."""
+"""TF-IDF index and search over DataFrames: blocks of postings that queries come to."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions import text as X
 from ..functions import values as V
 from ..plans.staging import Scratch
 from ..sources.io import exists, generated_at, require
+from . import blocks
 
 METADATA = ["interaction_id", "conversation_id", "brand_tweet_id", "customer_text", "customer_redacted_text", "customer_normalized_text",
             "brand_text", "brand_redacted_text", "intent"]
@@ -65,11 +67,20 @@ def _best(scored: DataFrame, key: str, ties: list[str], k: int) -> DataFrame:
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+def _manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/manifest").first().value) if exists(spark, f"{path}/manifest") else {}
+
+
 class TfidfIndex:
-    """vocabulary (term, df, idf), postings (doc, term, weight) and metadata; documents without a term keep their metadata."""
+    """frequencies (term, df), vocabulary (term, df, idf), postings (doc, term, weight), metadata, and the blocks that a search reads.
+
+    Documents without a term keep their metadata. ``counted`` (doc, tie, term, tf) has the terms of all segments: of the documents that the
+    index began with, and of those that have been added. Postings and blocks are made when they are first asked for.
+    """
 
-    def __init__(self, vocabulary: DataFrame, postings: DataFrame, metadata: DataFrame, manifest: dict):
-        self.vocabulary, self.postings, self.metadata, self.manifest = vocabulary, postings, metadata, manifest
+    def __init__(self, counted: DataFrame, frequencies: DataFrame, vocabulary: DataFrame, metadata: DataFrame, manifest: dict, blocks_: DataFrame | None = None):
+        self.counted, self.frequencies, self.vocabulary, self.metadata, self.manifest = counted, frequencies, vocabulary, metadata, manifest
+        self._blocks, self._scratch = blocks_, Scratch(metadata.sparkSession, "tfidf")
 
     @classmethod
     def fit(
@@ -78,42 +89,78 @@ class TfidfIndex:
     ) -> "TfidfIndex":
         """Sublinear tf, smoothed idf, L2 norm. ``key`` must be unique; documents of equal score rank by ``tie`` (a column), then key.
 
-        Terms are counted once, into a scratch table that the vocabulary and the postings read. ``rules``: how ``docs``
+        Terms are counted once, into a scratch table that the vocabulary and the blocks read. ``rules``: how ``docs``
         came about, for the manifest.
         """
-        tie = tie or key
-        keys = [key] if tie == key else [key, tie]
+        manifest = {"min_df": min_df, "max_df": max_df, "ngrams": ngrams, "key": key, "tie": tie or key, "text": text, "rules": rules or {}, "n": 0}
+        return cls._grown(docs, manifest, None)
+
+    def add(self, docs: DataFrame) -> "TfidfIndex":
+        """The index with more documents: only their terms are counted; df is merged, and what rests on it is made anew.
+
+        It equals one of all documents. A key that is there already raises ValueError; the columns must be those of the metadata.
+        """
+        key = self.manifest["key"]
+        if docs.select(key).join(self.metadata.select(key), key, "left_semi").limit(1).count():
+            raise ValueError(f"a document of the same {key} is in the index")
+        return self._grown(docs, self.manifest, self)
+
+    @classmethod
+    def _grown(cls, docs: DataFrame, manifest: dict, before: "TfidfIndex | None") -> "TfidfIndex":
         scratch = Scratch(docs.sparkSession, "tfidf")
-        counted = scratch.write(terms(docs, key, text, ngrams, tie), "terms")
-        n = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
-        df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
-        kept = df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-        vocabulary = scratch.write(kept.select("term", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "vocabulary")
-        postings = scratch.write(cls._weights(counted, vocabulary, keys), "postings")
-        manifest = {"min_df": min_df, "max_df": max_df, "ngrams": ngrams, "key": key, "tie": tie, "text": text, "rules": rules or {}}
-        return cls(vocabulary, postings, docs, manifest)
+        counted = scratch.write(terms(docs, manifest["key"], manifest["text"], manifest["ngrams"], manifest["tie"]), "terms")
+        df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        if before:
+            df = df.unionByName(before.frequencies).groupBy("term").agg(F.sum("df").alias("df"))
+            counted, metadata = before.counted.unionByName(counted), before.metadata.unionByName(docs.select(before.metadata.columns))
+        n = manifest["n"] + docs.count()
+        frequencies = scratch.write(df, "frequencies")
+        kept = frequencies.where((F.col("df") >= manifest["min_df"]) & (F.col("df") <= manifest["max_df"] * F.lit(n)))
+        vocabulary = scratch.write(kept.select("term", "df", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "vocabulary")
+        return cls(counted, frequencies, vocabulary, metadata if before else docs, manifest | {"n": n})
 
     @staticmethod
-    def _weights(counted: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
-        w = counted.join(vocabulary, "term").select(*keys, "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(keys[0])))  # a document's terms
-        return w.select(*keys, "term", (F.col("w") / norm).alias("weight"))
+    def _vectors(counted: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, terms (most frequent first), weights: a row per document."""
+        w = counted.join(vocabulary, "term").select(*keys, "term", "df", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
+        each = F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("often"), "term", "w")))  # a document's terms
+        v = w.groupBy(*keys).agg(each.alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return v.select(*keys, F.col("v.term").alias("terms"), F.transform("v.w", lambda x: x / F.col("norm")).alias("weights"))
+
+    def _keys(self) -> list[str]:
+        key, tie = self.manifest["key"], self.manifest["tie"]
+        return [key] if key == tie else [key, tie]
+
+    @property
+    def postings(self) -> DataFrame:
+        """doc, tie, term, weight."""
+        each = self._vectors(self.counted, self.vocabulary, self._keys()).select(*self._keys(), F.explode(F.arrays_zip("terms", "weights")).alias("p"))
+        return each.select(*self._keys(), F.col("p.terms").alias("term"), F.col("p.weights").alias("weight"))
+
+    @property
+    def blocks(self) -> DataFrame:
+        if self._blocks is None:
+            made = blocks.build(self._vectors(self.counted, self.vocabulary, self._keys()), self.manifest["key"], self.manifest["tie"])
+            self._blocks = self._scratch.write(made, "blocks")
+        return self._blocks
 
     def search(self, queries: DataFrame, key: str, text: str, top_k: int = V.TOP_K, min_score: float = 0.0, exclude: str | None = None) -> DataFrame:
         """key, doc, rank, score: the best documents of each query by cosine, ties as the index says.
 
-        All queries run in one job. A query without a known term gives no rows; so does top_k < 1.
-        Scores are ranked after rounding to nine digits, since sums of doubles depend on their order.
+        Queries travel in lists of bounded size to the blocks, whose postings don't move. A query without a known term gives no rows; so
+        does top_k < 1. Scores are ranked after rounding to nine digits, since sums of doubles depend on their order.
         """
         doc, tie = self.manifest["key"], self.manifest["tie"]
         ties = [doc] if tie == doc else [tie, doc]
         same = F.md5(F.array_join(X.index_tokens(text), " ")).alias("_same")  # equal token lists share one search
         asked = queries.select(key, same, *([F.col(exclude).alias("own")] if exclude else []))
-        q = self._weights(terms(queries.select(same, text).dropDuplicates(["_same"]), "_same", text, self.manifest["ngrams"]), self.vocabulary, ["_same"])
-        s = q.withColumnRenamed("weight", "qw").join(self.postings, "term").groupBy("_same", *ties)
-        s = s.agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score")).where(F.col("score") > min_score)
+        counted = terms(queries.select(same, text).dropDuplicates(["_same"]), "_same", text, self.manifest["ngrams"])
         # a query leaves out one document at most, so one more than top_k is enough
         most = top_k + 1 if exclude else top_k
+        wanted = self._vectors(counted, self.vocabulary, ["_same"])
+        wanted = self._scratch.write(wanted if top_k > 0 else wanted.limit(0), "queries")
+        s = blocks.search(self.blocks, wanted, "_same", max(most, 1), min_score, lambda found: self._scratch.write(found, "found"))
+        s = s.select("_same", F.col("doc").alias(doc), *([F.col("tie").alias(tie)] if tie != doc else []), "score")
         s = _best(s, "_same", ties, most).join(asked, "_same")
         if exclude:
             s = s.where(~F.coalesce(F.col("own") == F.col(doc), F.lit(False)))
@@ -121,35 +168,51 @@ class TfidfIndex:
 
     def counts(self) -> dict[str, int]:
         """Rows of the index, documents with a term, and the size of the vocabulary."""
-        return {
-            "documents": self.metadata.count(), "documents_with_terms": self.postings.select(self.manifest["key"]).distinct().count(),
-            "vocabulary_size": self.vocabulary.count(),
-        }
+        with_terms = self.blocks.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()[0]
+        return {"documents": self.metadata.count(), "documents_with_terms": with_terms, "vocabulary_size": self.vocabulary.count()}
 
     def save(self, path: str) -> None:
-        """The three tables, and the manifest with settings, rules and row counts, written last."""
-        for name in ("vocabulary", "postings", "metadata"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """The tables of one version, and the manifest with settings, rules and row counts, written last.
+
+        An index that was loaded from ``path`` and has grown is written beside the version that is read, which stays valid until
+        the manifest names the new one; counted terms and metadata of earlier segments stay where they are.
+        """
         spark = self.metadata.sparkSession
-        manifest = self.manifest | {"counts": self.counts(), "generated_at": generated_at()}
-        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+        old = _manifest(spark, path)
+        grows = self.manifest.get("path") == path and old.get("version") == self.manifest.get("version") is not None
+        segments = list(old["segments"]) if grows else []
+        version = uuid.uuid4().hex[:12]
+        for name in ("frequencies", "vocabulary", "blocks"):
+            getattr(self, name).write.parquet(f"{path}/{name}-{version}")
+        for name in ("counted", "metadata"):
+            rows = getattr(self, name)
+            if grows:  # what the last version doesn't have
+                key = self.manifest["key"]
+                had = spark.read.parquet(*(f"{path}/metadata/{s}" for s in segments)).select(key)
+                rows = rows.join(had, key, "left_anti")
+            rows.write.parquet(f"{path}/{name}/{version}")
+        said = {k: v for k, v in self.manifest.items() if k not in ("counts", "generated_at", "path")}
+        said |= {"version": version, "segments": [*segments, version], "counts": self.counts(), "generated_at": generated_at()}
+        spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "TfidfIndex":
         """The saved index; FileNotFoundError without a table, ValueError where columns or row counts are not those of the manifest."""
-        for name in ("vocabulary", "postings", "metadata"):
-            if not exists(spark, f"{path}/{name}"):
-                raise FileNotFoundError(f"{path}/{name}")
-        manifest = json.loads(spark.read.text(f"{path}/manifest").first().value) if exists(spark, f"{path}/manifest") else {}
-        tables = [spark.read.parquet(f"{path}/{name}") for name in ("vocabulary", "postings", "metadata")]
-        manifest = {"key": "interaction_id", "ngrams": V.NGRAMS} | manifest
-        manifest.setdefault("tie", manifest["key"])
-        require(tables[0], ["term", "df", "idf"], "index vocabulary")
-        require(tables[1], [manifest["key"], manifest["tie"], "term", "weight"], "index postings")
+        manifest = _manifest(spark, path)
+        if not manifest:
+            raise FileNotFoundError(f"{path}/manifest")
+        places = {name: [f"{path}/{name}-{manifest['version']}"] for name in ("frequencies", "vocabulary", "blocks")}
+        places |= {name: [f"{path}/{name}/{s}" for s in manifest["segments"]] for name in ("counted", "metadata")}
+        for p in (p for ps in places.values() for p in ps):
+            if not exists(spark, p):
+                raise FileNotFoundError(p)
+        tables = {name: spark.read.parquet(*ps) for name, ps in places.items()}
+        require(tables["vocabulary"], ["term", "df", "idf"], "index vocabulary")
+        require(tables["counted"], [manifest["key"], manifest["tie"], "term", "tf"], "index terms")
         # an index of conversations needs all that its readers show; one of other documents its key only
-        require(tables[2], METADATA if manifest["key"] == "interaction_id" else [manifest["key"]], "index metadata")
-        out = cls(*tables, manifest)
-        if "counts" in manifest and (counts := out.counts()) != manifest["counts"]:
+        require(tables["metadata"], METADATA if manifest["key"] == "interaction_id" else [manifest["key"]], "index metadata")
+        out = cls(*(tables[k] for k in ("counted", "frequencies", "vocabulary", "metadata")), manifest | {"path": path}, tables["blocks"])
+        if (counts := out.counts()) != manifest["counts"]:
             raise ValueError(f"the index at {path} has {counts}, its manifest says {manifest['counts']}")
         return out
 
