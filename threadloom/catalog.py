@@ -755,17 +755,29 @@ def labelled_documents(spark, d):
 
 
 # ---- sources and sinks ----
+def _in_eight(spark, dump: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The dump written as one CSV file and read again in eight splits or more."""
+    path = f"{Scratch(spark, 'csv').root}/messages"
+    io.write_table(dump.repartition(1), path)
+    return io.read_messages(spark, f"{path}.csv", columns, max(1, io.size_in_bytes(spark, f"{path}.csv") // 8))[0]
+
+
 @query("SELECT * FROM messages", "messages")
 def csv_round_trip(spark, d):
     """The dump written as CSV and scanned again, all columns as strings."""
-    path = f"{Scratch(spark, 'csv').root}/messages"
-    io.write_table(_raw(spark, d), path)
-    return io.read_messages(spark, f"{path}.csv")[0]
+    return _in_eight(spark, _raw(spark, d))
+
+
+@query(r"""SELECT tweet_id, coalesce(text, '') || chr(10) || '"' || tweet_id || '",' || chr(10) || chr(10) || text AS text FROM messages""", "messages")
+def csv_line_breaks(spark, d):
+    """Texts with line breaks, quotes and commas, written and scanned again."""
+    broken = F.concat(F.coalesce("text", F.lit("")), F.lit('\n"'), "tweet_id", F.lit('",\n\n'), "text")
+    return _in_eight(spark, _raw(spark, d).withColumn("text", broken), ["tweet_id", "text"])
 
 
 @query("SELECT tweet_id, text FROM messages", "messages")
 def csv_columns(spark, d):
-    """Two columns of the dump written as CSV."""
+    """Two columns of the dump written as CSV, in many files."""
     path = f"{Scratch(spark, 'csv').root}/messages"
     io.write_table(_raw(spark, d), path)
     return io.read_messages(spark, f"{path}.csv", ["tweet_id", "text"])[0]

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values as V
+from ..plans.staging import Scratch
+from . import quoted
 from .messages import RAW_COLUMNS
 
 CORRUPT = "_corrupt"
@@ -46,23 +48,26 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def read_messages(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(messages, malformed lines) of a CSV dump with a header; all columns are strings.
+def read_messages(spark: SparkSession, path: str, columns: list[str] | None = None, split_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(messages, malformed records) of a CSV dump with a header; all columns are strings.
 
-    A quoted field may hold line breaks, so a file is not split; dumps should come in many files.
+    A quoted field may hold line breaks; files are split all the same. The dump is read and parsed once, into a scratch
+    table that both results read. A header with other columns raises MissingColumns.
     """
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*RAW_COLUMNS, CORRUPT]])
-    raw = (
-        spark.read.schema(schema)
-        .options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=False)
-        .csv(path)
-    )
-    # Spark refuses scans of nothing but the corrupt-record column, as in count(): an id is always read too
-    read = F.coalesce(F.length(RAW_COLUMNS[0]), F.lit(0)) >= 0
-    good = missing_to_null(raw.where(F.col(CORRUPT).isNull() & read).drop(CORRUPT))
-    return good.select(*(columns or RAW_COLUMNS)), raw.where(F.col(CORRUPT).isNotNull() & read).select(CORRUPT)
+    scratch = Scratch(spark, "messages")
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in [*RAW_COLUMNS, CORRUPT]])
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    record = F.from_csv("value", ", ".join(f"{f.name} string" for f in fields), options)
+    rows = quoted.records(spark, path, split_bytes).select(quoted.first_of_file().alias("header"), record.alias("r"))
+    parsed = scratch.write(rows.select("header", "r.*"), "parsed")
+    for header in parsed.where("header").drop("header").distinct().limit(2).collect():
+        if list(header)[:-1] != RAW_COLUMNS or header[CORRUPT]:
+            raise MissingColumns(f"the header of {path} isn't {', '.join(RAW_COLUMNS)}")
+    rows = parsed.where("not header")
+    good = missing_to_null(rows.where(F.col(CORRUPT).isNull()).select(*RAW_COLUMNS))
+    return good.select(*(columns or RAW_COLUMNS)), rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 _TYPES = ["int", "bigint", "double", "timestamp", "boolean"]
