@@ -2,18 +2,18 @@
 
 A word goes if a window of ``window`` words around it, by sequence, also starts earlier in the corpus.
 
-1. Each window is known by an anchor, the least hash among its short word sequences; equal windows have equal anchors, and
-   neighbouring windows mostly share one. Only windows whose anchor is found at two places can repeat. Of the others
-   nothing but the anchor's hash shuffles.
-2. Runs of such windows are segments. Identical segments collapse to the first, so do then the pieces of a segment that share an
-   anchor; the copies go whole. What is left, the reference, is cut into shards by anchor.
+1. Each window is known by an anchor, the least hash among its short word sequences. Equal windows have equal anchors at the same
+   place within, and neighbouring windows mostly share one; the words of windows that share one are a piece. Only
+   windows whose anchor is found at two places can repeat; a Bloom filter of such anchors lets the others go without a shuffle.
+2. Equal pieces collapse to the first; the others go whole. Where an anchor has different pieces, as around an edit, these are the
+   reference. It is cut into shards by anchor, of about SHARD_WORDS words.
 3. A shard's suffix automaton over words grows with its pieces in the order of the corpus, and each piece streams through it: the
    length of the suffix link at each word is the matching statistic, the longest stretch up to there that has
    been seen before. Where it reaches the window the window goes.
 
 The automata aren't sent to all documents, since each document would then run through every shard; equal windows meet in one
-shard, and only pieces that can match come to it. A shard has about SHARD_WORDS words. An anchor with more than HEAVY different
-pieces (a template whose words around it change) is cut into single windows, which meet by their hash alone.
+shard, and only pieces that can match come to it. An anchor with more than HEAVY different pieces (a template whose words
+around it change) is cut into single windows, which meet by their hash alone.
 
 Words compare by 64-bit hashes, so two different windows would have to agree in all of their words' hashes to be taken for equal.
 """
@@ -74,8 +74,8 @@ def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) index of each run of equal values."""
-    head = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return head, np.append(head[1:], len(x)) - 1
+    head = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+    return head, np.append(head[1:], len(x))[: len(head)] - 1
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -91,77 +91,67 @@ def _emit(rows: list[tuple], arrow: pa.Schema):
         yield from as_batches(dict(zip(arrow.names, map(list, zip(*rows)))), arrow, 2048)
 
 
-def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """v, d, t, p: each place of an anchor. docs: d, t, text."""
-    target, arrow = arrow_schema(docs.sparkSession, f"v long, d {_kind(docs)}, t long, p int")
+def range_hashes(words: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of the words from each ``first`` up to ``stop``: a polynomial over the words' hashes, modulo 2^64."""
+    base, inverse = np.uint64(_MIX[0]), np.uint64(pow(_MIX[0], -1, 1 << 64))
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), base)]))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), inverse)]))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(words * power[:-1])])
+    return _mixed((total[stop] - total[first]) * back[first] + (stop - first).astype(np.uint64))
 
-    def run(batches):
-        for b in batches:
-            values, places, rows = [], [], []
-            for k, text in enumerate(b.column(2).to_pylist()):
-                v, at = anchors(hashed(_words(text)), window)
-                first, _ = runs_of(at)  # the place never falls
-                values.append(v[first])
-                places.append(at[first])
-                rows.append(np.full(len(first), k))
-            row = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
-            if len(row):
-                v = pa.array(np.concatenate(values).view(np.int64))
-                yield from as_batches({"v": v, "d": b.column(0).take(row), "t": b.column(1).take(row), "p": pa.array(np.concatenate(places).astype(np.int32))}, arrow)
-        trim()
 
-    return docs.mapInArrow(run, target)
+def pieces_of(words: np.ndarray, window: int, single: bool = False) -> tuple[np.ndarray, ...]:
+    """(anchor, key, start, n) of each piece, or with ``single`` of each window."""
+    v, at = anchors(words, window)
+    first, last = (np.arange(len(at)),) * 2 if single else runs_of(at)  # the place never falls
+    return v[first].view(np.int64), range_hashes(words, first, last + window).view(np.int64), first.astype(np.int32), (last - first + window).astype(np.int32)
 
 
-def segment_rows(marked: DataFrame, window: int) -> DataFrame:
-    """d, t, start, n, key, ids: runs of windows whose anchor repeats, as words. marked: d, t, text, at (places of such anchors)."""
-    target, arrow = arrow_schema(marked.sparkSession, f"d {_kind(marked)}, t long, start int, n int, key binary, ids binary")
+def piece_rows(docs: DataFrame, window: int) -> DataFrame:
+    """v, key, d, t, start, n: the pieces of all documents. docs: d, t, text."""
+    target, arrow = arrow_schema(docs.sparkSession, f"v long, key long, d {_kind(docs)}, t long, start int, n int")
 
     def run(batches):
         for b in batches:
-            rows = []
-            for d, t, text, marks in zip(*(b.column(k).to_pylist() for k in range(4))):
-                words = hashed(_words(text))
-                _, at = anchors(words, window)
-                open_ = np.isin(at, marks)
-                for first, last in zip(*runs_of(open_)):
-                    if open_[first]:
-                        ids = words[first : last + window].tobytes()
-                        rows.append((d, t, int(first), int(last - first) + window, xxhash.xxh3_128_digest(ids), ids))
-            yield from _emit(rows, arrow)
+            found = [pieces_of(hashed(_words(text)), window) for text in b.column(2).to_pylist()]
+            row = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+            if len(row):
+                v, key, start, n = (pa.array(np.concatenate(x)) for x in zip(*found))
+                take = pa.array(row)
+                yield from as_batches({"v": v, "key": key, "d": b.column(0).take(take), "t": b.column(1).take(take), "start": start, "n": n}, arrow)
         trim()
 
-    return marked.mapInArrow(run, target)
+    return docs.mapInArrow(run, target)
 
 
-def piece_rows(pool: DataFrame, window: int, single: bool = False) -> DataFrame:
-    """v, d, t, start, n, key, ids: the words of the windows that share an anchor; with ``single`` of each window on its own."""
-    target, arrow = arrow_schema(pool.sparkSession, f"v long, d {_kind(pool)}, t long, start int, n int, key binary, ids binary")
+def wanted_rows(docs: DataFrame, window: int, single: bool) -> DataFrame:
+    """v, key, d, t, start, n, ids of the pieces asked for; with ``single`` of their windows, without ids. docs: d, t, text, asked (start, n, v)."""
+    target, arrow = arrow_schema(docs.sparkSession, f"v long, key long, d {_kind(docs)}, t long, start int, n int, ids binary")
 
     def run(batches):
         for b in batches:
             rows = []
-            for d, t, start, ids in zip(*(b.column(k).to_pylist() for k in range(4))):
-                words = np.frombuffer(ids, np.uint64)
-                v, at = anchors(words, window)
-                first, last = (np.arange(len(at)),) * 2 if single else runs_of(at)
-                values = v[first].view(np.int64).tolist()
-                for value, i, j in zip(values, first.tolist(), last.tolist()):
-                    part = ids[8 * i : 8 * (j + window)]
-                    rows.append((value, d, t, start + i, j - i + window, xxhash.xxh3_128_digest(part), part))
+            for d, t, text, asked in zip(*(b.column(k).to_pylist() for k in range(4))):
+                words = hashed(_words(text))
+                for x in asked:
+                    part = words[x["start"] : x["start"] + x["n"]]
+                    if single:
+                        v, key, start, n = (c.tolist() for c in pieces_of(part, window, True))
+                        rows += [(*z[:2], d, t, x["start"] + z[2], z[3], None) for z in zip(v, key, start, n)]
+                    else:
+                        rows.append((x["v"], 0, d, t, x["start"], x["n"], part.tobytes()))
             yield from _emit(rows, arrow)
         trim()
 
-    return pool.select("d", "t", "start", "ids").mapInArrow(run, target)
+    return docs.mapInArrow(run, target)
 
 
 def collapsed(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that are the first of their key, places d, t, start, n of the others). A hot key is a combined minimum and a split join."""
+    """(v, key, n, p of the first of equal pieces, d, t, start, n of the others). A hot piece is a combined minimum and a split join."""
     place = F.struct("d", "t", "start")
-    firsts = scratch.write(rows.groupBy("key").agg(F.min(place).alias("p")), "firsts")
-    copies = rows.select("d", "t", "start", "n", "key").join(firsts, "key").where(place != F.col("p")).select("d", "t", "start", "n")
-    kept = firsts.select("p.*").join(rows, ["d", "t", "start"]).dropDuplicates(["d", "t", "start"])  # rows of `documents` may repeat
-    return scratch.write(kept, "kept"), scratch.write(copies, "copies")
+    firsts = scratch.write(rows.groupBy("v", "key").agg(F.min(place).alias("p"), F.max("n").alias("n")), "firsts")
+    copies = rows.join(firsts.select("v", "key", "p"), ["v", "key"]).where(place != F.col("p")).select("d", "t", "start", "n")
+    return firsts, scratch.write(copies, "copies")
 
 
 class Automaton:
@@ -264,29 +254,34 @@ def repeated_spans(docs: DataFrame, window: int = 20, shard_words: int = SHARD_W
     """d, t, start, n: stretches of words to remove; they may overlap. docs: d (not null), t, text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    places = scratch.write(anchor_rows(docs, window), "anchors")
-    twice = scratch.write(places.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v"), "twice")
-    marks = scratch.write(places.join(twice, "v").groupBy("d", "t").agg(F.collect_set("p").alias("at")), "marks")
-    scratch.drop(places, twice)
-    _, maybe = split_by(docs, F.xxhash64("d", "t"), marks.select(F.xxhash64("d", "t").alias("h")))
-    segments = scratch.write(segment_rows(maybe.join(marks, ["d", "t"]).select("d", "t", "text", "at"), window), "segments")
-    scratch.drop(marks)
-    pool, found = collapsed(scratch, segments)
-    scratch.drop(segments)
-    pieces = scratch.write(piece_rows(pool, window), "pieces")
-    scratch.drop(pool)
-    reference, copies = collapsed(scratch, pieces)
-    scratch.drop(pieces)
-    found = found.unionByName(copies)
-    many = scratch.write(reference.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > heavy).select("v"), "many")
-    loose = piece_rows(reference.join(many, "v", "left_semi"), window, single=True)
-    _, copies = collapsed(scratch, scratch.write(loose, "windows"))
-    shards = max(1, math.ceil((reference.agg(F.sum("n")).first()[0] or 0) / shard_words))
-    light = reference.join(many, "v", "left_anti").withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
-    light = light.repartition("shard").sortWithinPartitions("shard", "d", "t", "start")
-    matched = scratch.write(matched_rows(light, window), "matched")
-    scratch.drop(reference)
-    return found.unionByName(copies).unionByName(matched)
+    pieces = scratch.write(piece_rows(docs, window), "pieces")
+    twice = scratch.write(pieces.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("v").alias("h")), "twice")
+    _, maybe = split_by(pieces, F.xxhash64("v"), twice)  # an anchor that the filter lets through by mistake has one piece
+    maybe = scratch.write(maybe, "maybe")
+    scratch.drop(pieces, twice)
+    firsts, found = collapsed(scratch, maybe)
+    scratch.drop(maybe)
+    several = firsts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    asked = F.collect_list(F.struct("start", "n", "v"))
+    reference = scratch.write(firsts.join(several, "v").select("v", "c", "p.d", "p.t", "p.start", "n"), "reference")
+    scratch.drop(firsts)
+
+    def rows(part: DataFrame, single: bool) -> DataFrame:
+        of_doc = scratch.write(part.groupBy("d", "t").agg(asked.alias("asked")), "asked")
+        _, texts = split_by(docs, F.xxhash64("d", "t"), of_doc.select(F.xxhash64("d", "t").alias("h")))
+        once = texts.join(of_doc, ["d", "t"]).dropDuplicates(["d", "t"])  # rows of `documents` may repeat
+        return wanted_rows(once.select("d", "t", "text", "asked"), window, single)
+
+    many = reference.where(F.col("c") > heavy)
+    if many.limit(1).count():
+        _, copies = collapsed(scratch, scratch.write(rows(many, True).drop("ids"), "windows"))
+        found = found.unionByName(copies)
+    light = reference.where(F.col("c") <= heavy)
+    shards = max(1, math.ceil((light.agg(F.sum("n")).first()[0] or 0) / shard_words))
+    streams = rows(light, False).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
+    streams = streams.repartition("shard").sortWithinPartitions("shard", "d", "t", "start")
+    matched = scratch.write(matched_rows(streams, window), "matched")
+    return found.unionByName(matched)
 
 
 def dedup_substrings(
