@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.shipping import ship
 from ..plans.staging import Scratch
 
-__all__ = ["ASCII_SPACE", "Scratch", "arrow_schema", "as_batches", "column", "map_batches", "split_by", "text_of", "trim", "tune"]
+__all__ = ["ASCII_SPACE", "Scratch", "arrow_schema", "as_batches", "beside_text", "column", "map_batches", "split_by", "text_of", "trim", "tune", "with_text"]
 
 #: Deleted by ``bytes.split()`` and by the contracts' class ``[\x20\x09-\x0D]`` alike.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -30,8 +30,10 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
-def column(name: str) -> Column:
-    return F.col(f"`{name}`")
+def column(name: str, of: str = "") -> Column:
+    """A column, or a field of the struct ``of``, whatever its name."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
 
 
 def trim() -> None:
@@ -43,6 +45,16 @@ def trim() -> None:
         pass
 
 
+def beside_text(docs: DataFrame, text_col: str) -> DataFrame:
+    """row (a struct of all other columns, whatever their names) and text, for functions that filter Arrow batches."""
+    return docs.select(F.struct(*(column(c) for c in docs.columns if c != text_col)).alias("row"), column(text_col).alias("text"))
+
+
+def with_text(rows: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+    """The documents again from ``beside_text``'s rows."""
+    return rows.select(*((F.col("text") if c == text_col else column(c, "row")).alias(c) for c in columns))
+
+
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """``function`` maps one Arrow batch to a dict of columns (or None); whole batches stay in Arrow."""
     spark = df.sparkSession
@@ -85,14 +97,16 @@ FILTER_WORDS = 1 << 20
 def split_by(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is certainly not among ``keys``, all other rows), without a shuffle of rows. keys: h (long), a scratch table.
 
-    A Bloom filter of 32 bits a key, of FILTER_WORDS words at most, travels to the rows. Beyond what that holds
-    more rows than necessary are among the others, which no result depends on.
+    A Bloom filter of 32 bits a key, of FILTER_WORDS words at most, travels to the rows. Beyond what that holds (some
+    ten million keys) more rows than necessary are among the others, all of them in the end, which no result depends on.
+    Columns may have any names.
     """
     words = min(FILTER_WORDS, max(1, keys.count() // 2))
     bit = lambda h, k: F.expr("shiftleft(1L, cast(shiftrightunsigned({h}, {k}) & 63 as int))".format(h=h, k=k))
     mask = lambda h: bit(h, 40).bitwiseOR(bit(h, 46)).bitwiseOR(bit(h, 52))
     word = lambda h: F.expr(f"pmod({h}, {words}L)")
-    table = keys.groupBy(word("h").alias("__word")).agg(F.bit_or(mask("h")).alias("__bits"))
-    at = rows.withColumn("__h", key).withColumn("__word", word("__h")).join(F.broadcast(table), "__word", "left")
-    may = F.coalesce(F.col("__bits").bitwiseAND(mask("__h")) == mask("__h"), F.lit(False))
-    return tuple(at.where(c).select(*rows.columns) for c in (~may, may))
+    table = keys.groupBy(word("h").alias("word")).agg(F.bit_or(mask("h")).alias("bits"))
+    at = rows.select(F.struct(*map(column, rows.columns)).alias("row"), key.alias("h"))
+    at = at.withColumn("word", word("h")).join(F.broadcast(table), "word", "left")
+    may = F.coalesce(F.col("bits").bitwiseAND(mask("h")) == mask("h"), F.lit(False))
+    return tuple(at.where(c).select("row.*") for c in (~may, may))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batches, column, text_of, trim, tune
+from .common import arrow_schema, as_batches, beside_text, column, text_of, trim, tune, with_text
 
 _PUNCTUATION = bytes(32 if b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) else b for b in range(256))
 BYTES_A_WORD = 250  # of an item's word in a Matcher, about
@@ -340,11 +340,11 @@ def drop_leaks(
 ) -> DataFrame:
     """``docs`` with all its columns, without the documents in which an item is found, as by ``find_leaks``.
 
-    Null and empty texts stay. Each row counts on its own, whatever its id. No items: all documents stay.
+    Null and empty texts stay. Each row counts on its own, whatever its id. No items: all documents stay. Columns may have any names.
     """
     spark = docs.sparkSession
     tune(spark)
-    at = docs.columns.index(text_col)
+    rows = beside_text(docs, text_col)
     for items in blocks(benchmark, item_col, item_text_col, block_bytes):
         sent = spark.sparkContext.broadcast(Matcher(items, similarity, recall))
 
@@ -352,9 +352,9 @@ def drop_leaks(
             for b in batches:
                 if b.num_rows:
                     keep = np.ones(b.num_rows, bool)
-                    keep[[m[0] for m in sent.value.matches([t or "" for t in b.column(at).to_pylist()])]] = False
+                    keep[[m[0] for m in sent.value.matches([t or "" for t in b.column(1).to_pylist()])]] = False
                     yield b.filter(pa.array(keep))
             trim()
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        rows = rows.mapInArrow(run, rows.schema)
+    return with_text(rows, docs.columns, text_col)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batches, column, text_of, trim, tune
+from .common import arrow_schema, as_batches, beside_text, column, text_of, trim, tune, with_text
 
 HASH_BITS = 17
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -195,18 +195,17 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with all its columns, without the documents whose language is ``und``.
 
     If nothing can be learnt, only null texts and texts without a letter go. Rows that repeat an id count each on
-    its own; an empty table stays empty.
+    its own; an empty table stays empty. Other columns may have any names.
     """
     spark = docs.sparkSession
     tune(spark)
     sent = spark.sparkContext.broadcast(train(docs, id_col, text_col, lang_col, **bounds))
-    at = docs.columns.index(text_col)
 
     def run(batches):
         grams = Grams()
         for b in batches:
             if b.num_rows:
-                texts = b.column(at).to_pylist()
+                texts = b.column(1).to_pylist()
                 if sent.value is None:
                     keep = [has_letter(t) for t in texts]
                 else:
@@ -214,4 +213,5 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield b.filter(pa.array(keep))
         trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = beside_text(docs, text_col)
+    return with_text(rows.mapInArrow(run, rows.schema), docs.columns, text_col)

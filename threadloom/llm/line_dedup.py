@@ -209,8 +209,8 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     return copies
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """``docs`` with all its columns, plus __n_lines, __removed (sorted line numbers) and __clean (the text that stays).
+def line_results(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
+    """row (a struct of all columns, whatever their names), n_lines, removed (sorted line numbers), clean (the text that stays).
 
     Lines are what "\\n" separates, compared without ASCII white space at either end. Documents come
     in the order of doc_id; rows that repeat an id come in the order of a hash of their text, and
@@ -221,27 +221,33 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     tune(spark)
     text = column(text_col).cast("string")
-    d, t = column(id_col), F.xxhash64(text)
-    compared = docs.where(d.isNotNull() & text.isNotNull()).select(d.alias("d"), t.alias("t"), text.alias("text"))
-    copies = later_copies(compared, min_words)
+    row = F.struct(*map(column, docs.columns))
+    keyed = docs.select(row.alias("row"), column(id_col).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    copies = later_copies(keyed.where("d is not null and text is not null").select("d", "t", "text"), min_words)
     numbers = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("n") - 1)))))
-    removed = copies.groupBy("d", "t").agg(numbers.alias("__removed"))
-    removed = removed.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "__removed")
-    removed = Scratch(spark, "lines").write(removed, "removed")
-    keyed = docs.withColumn("__d", d).withColumn("__t", t)
+    removed = Scratch(spark, "lines").write(copies.groupBy("d", "t").agg(numbers.alias("removed")), "removed")
     # texts without a removal, most of them, don't shuffle
-    plain, maybe = split_by(keyed, F.xxhash64("__d", "__t"), removed.select(F.xxhash64("__d", "__t").alias("h")))
+    plain, maybe = split_by(keyed, F.xxhash64("d", "t"), removed.select(F.xxhash64("d", "t").alias("h")))
     none = F.expr("cast(array() as array<int>)")
-    met = maybe.join(removed, ["__d", "__t"], "left").withColumn("__removed", F.coalesce("__removed", none))
-    out = plain.withColumn("__removed", none).unionByName(met).drop("__d", "__t")
-    lines = F.split(text, "\n", -1)
-    out = out.withColumn("__n_lines", F.size(F.when(text.isNotNull(), lines).otherwise(F.array())))
+    met = maybe.join(removed, ["d", "t"], "left").withColumn("removed", F.coalesce("removed", none))
+    out = plain.withColumn("removed", none).unionByName(met)
+    lines = F.split("text", "\n", -1)
+    out = out.withColumn("lines", lines).withColumn("n_lines", F.size(F.when(F.col("text").isNotNull(), F.col("lines")).otherwise(F.array())))
     # a removed line becomes null in an indexed pass over the lines; array_except keeps it linear
-    left = F.array_except(F.sequence(F.lit(0), F.col("__n_lines") - 1), F.col("__removed"))
-    joined = F.array_join(F.transform(left, lambda i: F.element_at(F.col("__lines"), i + 1)), "\n")
-    out = out.withColumn("__lines", lines)
-    clean = F.when(F.size("__removed") == 0, text).otherwise(joined)
-    return out.withColumn("__clean", clean).drop("__lines")
+    left = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("removed"))
+    joined = F.array_join(F.transform(left, lambda i: F.element_at(F.col("lines"), i + 1)), "\n")
+    return out.select("row", "n_lines", "removed", F.when(F.size("removed") == 0, F.col("text")).otherwise(joined).alias("clean"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
+    """``docs`` with all its columns, plus __n_lines, __removed and __clean, as ``line_results`` has them.
+
+    Columns of ``docs`` with one of these three names are replaced; others may have any name. Nulls, empty texts, repeated rows and
+    empty tables are as in ``line_results``.
+    """
+    results = {"__n_lines": "n_lines", "__removed": "removed", "__clean": "clean"}
+    own = [column(c, "row") for c in docs.columns if c not in results]
+    return line_results(docs, id_col, text_col, min_words).select(*own, *(F.col(c).alias(name) for name, c in results.items()))
 
 
 def ranges(numbers) -> "F.Column":

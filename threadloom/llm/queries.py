@@ -17,14 +17,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    out = line_dedup.line_results(_read(spark, sf_dir, "documents"))
     return out.select(
-        "doc_id",
-        F.col("__n_lines").alias("n_lines"),
-        F.size("__removed").alias("n_removed"),
-        line_dedup.ranges(F.col("__removed")).alias("removed"),
-        F.sha2(F.col("__clean").cast("binary"), 256).alias("clean_sha256"),
-    )
+        "row.doc_id", "n_lines", F.size("removed").alias("n_removed"), line_dedup.ranges(F.col("removed")).alias("removed"),
+        F.sha2(F.col("clean").cast("binary"), 256).alias("clean_sha256"),
+    )
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
