@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontamination, language_id, line_dedup, packing, simhash
-from threadloom.llm.common import Scratch, split_by
+from threadloom.llm.common import Scratch, column, split_by
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +21,16 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Later copies of repeated runs of lines go; so do documents of which nothing else is left.
 
     Rows with a null id or text stay as they are. Rows that repeat id and text count as one document, each with its
-    result. n_chars follows the text where lines went. An empty table stays empty.
+    result. n_chars follows the text where lines went. Other columns stay, whatever their names. An empty table stays empty.
     """
-    out = line_dedup.dedup_lines(docs)
-    emptied = (F.size("__removed") > 0) & (F.trim(F.translate("__clean", "\t\n\x0b\x0c\r", "")) == "")
+    out = line_dedup.line_results(docs)
+    changed = F.size("removed") > 0
+    emptied = changed & (F.trim(F.translate("clean", "\t\n\x0b\x0c\r", "")) == "")
     out = out.where(~F.coalesce(emptied, F.lit(False)))
-    n_chars = F.when(F.size("__removed") > 0, F.length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).withColumn("text", F.col("__clean")).select(*docs.columns)
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*(new.get(c, column(c, "row")).alias(c) for c in docs.columns))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,17 +38,20 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Null and empty texts are near copies of one another. Of rows that repeat a doc_id all stay or all go;
     those with a null id stay. An empty table stays empty. Texts of documents that stay for certain don't shuffle.
+    Other columns stay, whatever their names.
     """
     labels = simhash.simhash_components(docs)
     gone = Scratch(spark, "pipeline").write(labels.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    columns = [column(c) for c in docs.columns]
     plain, maybe = split_by(docs, F.xxhash64("doc_id"), gone.select(F.xxhash64("doc_id").alias("h")))
-    return plain.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    return plain.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*columns))
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go.
 
     Null and empty texts hold none. Each row counts on its own, whatever its id. Without items all documents stay.
+    Other columns stay, whatever their names.
     """
     return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
