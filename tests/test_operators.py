@@ -8,8 +8,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import agent, blocks, pairs, profile, retrieval, sampling, threads
+from threadloom.functions import text as X
+from threadloom.operators import agent, blocks, labels, pairs, profile, retrieval, sampling, threads
 from threadloom.operators.typed import typed
+from threadloom.plans.filters import marked
+from threadloom.plans.staging import Scratch
 from threadloom.sources import io, messages
 from threadloom.streaming.labelling import label_stream
 
@@ -262,6 +265,44 @@ def test_grown_index(spark, tmp_path):
     assert rows(retrieval.TfidfIndex.load(spark, path)) == rows(whole)
 
 
+def _pairs_of(spark, t):
+    return labels.label(pairs.interactions(t, messages.BRANDS).withColumn("clean", X.clean("customer_text")))
+
+
+def test_audit_in_one_pass(spark):
+    """The counts observed while the rows are written equal separate ones; the plan reads the pairs once."""
+    p = Scratch(spark, "t").write(_pairs_of(spark, typed(messages.read(spark, SF))))
+    audit = retrieval.Audit()
+    rows = retrieval.index_rows(p, audit)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    kept = Scratch(spark, "t").write(rows)
+    assert audit.counts() == retrieval.stage_counts(p).first().asDict() and audit.counts()["rows_after_dedupe"] == kept.count()
+    index = retrieval.TfidfIndex.fit(kept.where("brand_tweet_id % 2 = 0"), "interaction_id", "customer_normalized_text", tie="brand_tweet_id")
+    assert retrieval.new_rows(kept, index).where("brand_tweet_id % 2 = 0").count() == 0 and retrieval.new_rows(kept.limit(0), index).count() == 0
+
+
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_marked(spark, most):
+    """Bitmaps, and the join beyond their bound: keys at the ends of ranges, repeats, nulls, none at all."""
+    rng = random.Random(11)
+    values = [1, 2, 8, 9, 32767, 32768, 32769, 65536, 65537, 1 << 40, *(rng.randrange(1, 200_000) for _ in range(400))]
+    asked = [*values[::2], 1, 1, None, 999_999_999_999]
+    rows = spark.createDataFrame([(k, v, "x") for k, v in enumerate([*values, *values[:5], None, 3])], "n long, id long, mark string")
+    got = marked(rows, "id", spark.createDataFrame([(x,) for x in asked], "k long"), "there", most)
+    assert got.columns == ["n", "id", "mark", "there"] and {(r.n, r.there) for r in got.collect()} == {(r.n, r.id is not None and r.id in asked) for r in rows.collect()}
+    assert not marked(rows, "id", spark.createDataFrame([], "k long"), "there", most).where("there").count()
+
+
+def test_parents(spark):
+    """Repeated ids count once, with the largest row; texts of other messages are neither joined nor aggregated."""
+    rows = [(1, "c", "True", "one", None), (2, "c", "False", "b", None), (2, "c", "True", "a", None), (3, "Brand00", "False", "r", 1), (4, "brand00", "False", "r", 2), (5, "c", "True", "five", None)]
+    t = Scratch(spark, "t").write(typed(raw(spark, rows)))
+    there = pairs.parents(t, spark.createDataFrame([(1,), (2,), (2,), (77,)], "p long"))
+    assert sorted((r.parent, r.p_inbound, r.p_text) for r in there.collect()) == [(1, True, "one"), (2, True, "b")]
+    o = pairs.outcomes(t, pairs.brand_replies(t, ["Brand00"]))
+    assert sorted((r.id, r.p_text, r.outcome) for r in o.collect()) == [(3, "one", "candidate"), (4, "b", "candidate")]
+
+
 class Client:
     model_name = "fake"
 

@@ -65,10 +65,11 @@ def _graph(t: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _interactions(spark: SparkSession, d: str) -> DataFrame:
-    """Written once: several branches of a plan read it."""
-    t = _typed(spark, d)
+    """Messages and pairs are written once each: several branches of a plan read them."""
+    scratch = Scratch(spark, "interactions")
+    t = scratch.write(_typed(spark, d), "typed")
     _, r, s = _graph(t)
-    return Scratch(spark, "interactions").write(pairs.interactions(t, BRANDS, r, s), "interactions")
+    return scratch.write(pairs.interactions(t, BRANDS, r, s), "interactions")
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -523,8 +524,10 @@ def _index_of(spark, pairs_) -> retrieval.TfidfIndex:
     "interactions",
 )
 def index_stages(spark, d):
-    """How many pairs each stage before the index leaves."""
-    return retrieval.stage_counts(_interactions(spark, d))
+    """How many pairs each stage before the index leaves, observed in the pass that writes the rows to index."""
+    audit = retrieval.Audit()
+    Scratch(spark, "index").write(retrieval.index_rows(_pairs(spark, d), audit), "rows")
+    return spark.createDataFrame([audit.counts()], ", ".join(f"{k} long" for k in audit.counts()))
 
 
 @query("SELECT pair_id AS interaction_id, customer_normalized_text FROM indexed", "indexed")

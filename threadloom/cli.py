@@ -42,7 +42,7 @@ def _parser() -> argparse.ArgumentParser:
     add("label", ("--pairs", {"required": True}), out, help="label distribution, words and examples")
     add("golden", ("--pairs", {"required": True}), out, ("--seed", {"type": int, "default": 42}), help="the stratified golden set")
     add("index", ("--pairs", {"required": True}), out, ("--min-df", {"type": int, "default": V.MIN_DF}), ("--max-df", {"type": float, "default": V.MAX_DF}),
-        ("--ngram-max", {"type": int, "default": V.NGRAMS}), help="the TF-IDF index")
+        ("--ngram-max", {"type": int, "default": V.NGRAMS}), ("--grow", {"action": "store_true", "help": "add what the index there lacks"}), help="the TF-IDF index")
     add("search", index, ("--query", {"required": True}), top_k, help="one query against an index")
     add("evaluate", index, ("--golden", {"required": True}), top_k, *model, ("--output", {"help": "where to write the row of each golden message"}), help="retrieval and agent metrics on a golden set")
     add("agent", index, ("--message", {}), ("--interactive", {"action": "store_true"}), ("--json", {"action": "store_true"}), top_k, *model, help="answer messages")
@@ -99,11 +99,17 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.command == "index":
         p = _labelled(spark, a.pairs)
         p = p if "brand" in p.columns else p.withColumn("brand", F.lit(""))
-        stages = retrieval.stage_counts(p).first().asDict()
-        built = retrieval.TfidfIndex.fit(
-            retrieval.index_rows(p), "interaction_id", "customer_normalized_text", a.min_df, a.max_df, a.ngram_max, "brand_tweet_id",
-            retrieval.RULES | {"stages": stages},
-        )
+        audit = retrieval.Audit()
+        rows = Scratch(spark, "index").write(retrieval.index_rows(p, audit), "rows")
+        stages = audit.counts()
+        if a.grow:
+            built = retrieval.TfidfIndex.load(spark, a.output)
+            built = built.add(retrieval.new_rows(rows, built))
+        else:
+            built = retrieval.TfidfIndex.fit(
+                rows, "interaction_id", "customer_normalized_text", a.min_df, a.max_df, a.ngram_max, "brand_tweet_id",
+                retrieval.RULES | {"stages": stages},
+            )
         built.save(a.output)
         _sum_up(spark, a, "Index", lambda: reports.index(built, stages))
     else:

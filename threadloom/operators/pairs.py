@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.filters import marked
 from . import threads
 
 
@@ -15,16 +16,25 @@ def brand_replies(t: DataFrame, brands: list[str]) -> DataFrame:
     return t.where(~F.col("inbound") & (F.col("id") > 0) & low.isin([b.lower() for b in brands])).withColumn("brand", low)
 
 
+def parents(t: DataFrame, asked: DataFrame) -> DataFrame:
+    """parent, p_inbound and p_* of the messages that are asked for, one row per id. asked: one column of ids.
+
+    Only these messages go on, and of those only rows that repeat an id are aggregated: inbound if any is, and the largest row.
+    """
+    fields = ["text", "author", "created_at", "clean"]
+    twice = t.where("id > 0").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    mine = marked(t.where("id > 0").select("id", "inbound", *fields), "id", asked, "_asked").where("_asked")
+    mine = marked(mine.drop("_asked"), "id", twice, "_twice")
+    one = mine.where("not _twice").select(F.col("id").alias("parent"), F.col("inbound").alias("p_inbound"), *(F.col(c).alias(f"p_{c}") for c in fields))
+    many = mine.where("_twice").groupBy("id").agg(F.max("inbound").alias("p_inbound"), F.max(F.struct(*fields)).alias("m"))
+    return one.unionByName(many.select(F.col("id").alias("parent"), "p_inbound", *(F.col(f"m.{c}").alias(f"p_{c}") for c in fields)))
+
+
 def outcomes(t: DataFrame, replies: DataFrame) -> DataFrame:
     """Replies with their parent's columns (p_*) and ``outcome``: why there is no pair, or "candidate"."""
     top = t.agg(F.max("id").alias("top"))
-    there = (
-        t.where("id > 0")
-        .groupBy("id")
-        .agg(F.max("inbound").alias("p_inbound"), F.max(F.struct("text", "author", "created_at", "clean")).alias("m"))
-        .select(F.col("id").alias("parent"), "p_inbound", *(F.col(f"m.{c}").alias(f"p_{c}") for c in ("text", "author", "created_at", "clean")))
-    )
-    joined = replies.crossJoin(F.broadcast(top)).join(there, "parent", "left")
+    asked = replies.crossJoin(F.broadcast(top)).where(F.col("parent").between(1, F.col("top"))).select("parent")
+    joined = replies.crossJoin(F.broadcast(top)).join(parents(t, asked), "parent", "left")
     outcome = (
         F.when(~F.col("parent").between(1, F.col("top")), "no_parent_id")
         .when(F.col("p_inbound").isNull(), "parent_not_in_data")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -18,19 +18,45 @@ METADATA = ["interaction_id", "conversation_id", "brand_tweet_id", "customer_tex
             "brand_text", "brand_redacted_text", "intent"]
 
 
-def index_rows(pairs: DataFrame) -> DataFrame:
-    """The pairs to be indexed: usable, not empty, and of equal texts (with case) the one with the smallest reply id."""
+class Audit:
+    """How many pairs each stage before the index leaves, observed while they pass; ``counts`` once the rows have been written.
+
+    Where an executor is lost meanwhile, rows that pass twice may count twice; ``stage_counts`` counts in a pass of its own.
+    """
+
+    def __init__(self):
+        self.before, self.after = Observation(), Observation()
+
+    def counts(self) -> dict[str, int]:
+        out = self.before.get | self.after.get
+        return out | {"duplicate_text_rows_removed": out["rows_nonempty_text"] - out["rows_after_dedupe"]}
+
+
+def index_rows(pairs: DataFrame, audit: Audit | None = None) -> DataFrame:
+    """The pairs to be indexed: usable, not empty, and of equal texts (with case) the one with the smallest reply id. One pass, one shuffle."""
     t = F.col("customer_normalized_text")
-    usable = pairs.where(F.col("is_usable") & (F.length(F.trim(F.coalesce(t, F.lit("")))) > 0))
-    low = usable.groupBy("customer_normalized_text").agg(F.min(F.struct("brand_tweet_id", "pair_id")).alias("first"))
-    low = low.select("customer_normalized_text", F.col("first.pair_id").alias("pair_id"))
-    return usable.join(low, ["customer_normalized_text", "pair_id"]).select(
+    usable = F.coalesce("is_usable", F.lit(False))
+    named = usable & (F.length(F.trim(F.coalesce(t, F.lit("")))) > 0)
+    if audit:
+        pairs = pairs.observe(
+            audit.before, F.count(F.lit(1)).alias("rows_total"), F.count_if(usable).alias("rows_usable"), F.count_if(named).alias("rows_nonempty_text")
+        )
+    rest = ["conversation_id", "customer_text", "customer_redacted_text", "brand_text", "brand_redacted_text", "intent", "is_generic_reply", "turn_in_conversation", "brand"]
+    low = pairs.where(named).groupBy("customer_normalized_text").agg(F.min(F.struct("brand_tweet_id", "pair_id", *rest)).alias("first"))
+    if audit:
+        low = low.observe(audit.after, F.count(F.lit(1)).alias("rows_after_dedupe"))
+    return low.select("customer_normalized_text", "first.*").select(
         F.col("pair_id").alias("interaction_id"), "conversation_id", "brand_tweet_id", "customer_text", "customer_redacted_text",
-        "customer_normalized_text", "brand_text", "brand_redacted_text", "intent", "is_generic_reply", "turn_in_conversation",
-        F.col("brand").alias("brand"),
+        "customer_normalized_text", "brand_text", "brand_redacted_text", "intent", "is_generic_reply", "turn_in_conversation", "brand",
     )
 
 
+def new_rows(rows: DataFrame, index: "TfidfIndex") -> DataFrame:
+    """Of the rows to be indexed those that an index of earlier ones lacks: neither key nor text is there."""
+    key, text = index.manifest["key"], index.manifest["text"]
+    return rows.join(index.metadata.select(key), key, "left_anti").join(index.metadata.select(text), text, "left_anti").select(*rows.columns)
+
+
 RULES = {"usable": "is_usable", "text": "customer_normalized_text is not blank", "duplicates": "of equal texts, with case, the smallest brand_tweet_id stays"}
 
 
