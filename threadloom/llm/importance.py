@@ -5,8 +5,9 @@ over the target documents, one over the raw corpus. A document's weight is the l
 its likelihoods, and Gumbel top-k draws k documents without replacement in proportion to the
 weights. The noise is a hash of the id, so a rerun draws the same documents.
 
-The number of buckets grows with the corpus, so that rare wording counts in a large one too, while
-each bucket holds enough n-grams for a ratio.
+The number of buckets grows as the square root of the corpus, about as its vocabulary does, so that rare wording counts in a
+large one too, while each bucket holds ever more n-grams. 100 TB of text have 4.5 million buckets, a table of 36 MB; a
+table never exceeds MOST_BUCKETS, 64 MB, which 350 TB reach.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_schema, as_batches, column, split_by, text_of, tune
 
 BUCKETS = 10_000  # at least
-BYTES_A_BUCKET = 50_000  # of text, about 17,000 words and pairs
+MOST_BUCKETS = 1 << 23  # of the table that travels to the tasks
+BYTES_A_BUCKET = 50_000  # of text, about 17,000 words and pairs, in a corpus for which BUCKETS are enough
 _CACHE_WORDS = 250_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -42,8 +44,9 @@ _hashes = _Hashes()  # of this worker process
 
 
 def bucket_count(texts: DataFrame) -> int:
-    """Buckets for a corpus: one for BYTES_A_BUCKET bytes of text, BUCKETS at least."""
-    return max(BUCKETS, math.ceil((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BYTES_A_BUCKET))
+    """Buckets for a corpus: as the square root of its bytes, BUCKETS at least and MOST_BUCKETS at most."""
+    size = texts.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(BUCKETS, math.ceil(math.sqrt(BUCKETS * size / BYTES_A_BUCKET))))
 
 
 def gram_buckets(text: str, buckets: int = BUCKETS) -> np.ndarray:
@@ -120,7 +123,7 @@ def importance_resample(
     ceil(fraction x rows) largest keys; None takes the share of target documents among the
     labelled ones. Rows whose keys tie at the limit are all kept. Null and empty texts have
     weight 0. Without labels both models are equal, every weight is 0 and the draw is uniform.
-    ``buckets`` is the size of the models' tables; None takes one for BYTES_A_BUCKET bytes of text.
+    ``buckets`` is the size of the models' tables; None takes ``bucket_count`` of the texts.
     Weights add up over a text's words, so that long documents differ more than the noise reaches; a
     ``temperature`` above 1 divides them and gives the draw more room. Labels that repeat an id count as target if
     any of them is. Rows that repeat an id share their noise, and so do rows without one whose texts are equal. An
