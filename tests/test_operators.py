@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
-from threadloom.operators import agent, blocks, labels, pairs, profile, retrieval, sampling, threads
+from threadloom.operators import agent, blocks, brands, labels, pairs, profile, quantiles, retrieval, sampling, threads
 from threadloom.operators.typed import typed
 from threadloom.plans.filters import marked
 from threadloom.plans.staging import Scratch
@@ -303,6 +303,47 @@ def test_parents(spark):
     assert sorted((r.id, r.p_text, r.outcome) for r in o.collect()) == [(3, "one", "candidate"), (4, "b", "candidate")]
 
 
+def test_cycles_have_one_root(spark):
+    """Cycles of every length to 100, with tails: the smallest id on the cycle, for all that lead into it."""
+    rows, want, at = [], {}, 1
+    for length in range(2, 101):
+        ids = list(range(at + 3, at + 3 + length))
+        rng = random.Random(length)
+        rng.shuffle(ids)
+        ring = dict(zip(ids, ids[1:] + ids[:1]))
+        tail = {at: at + 1, at + 1: at + 2, at + 2: ids[length // 2]}  # smaller ids, which aren't on the cycle
+        for i, up in (ring | tail).items():
+            rows.append((i, up, True))
+            want[i] = min(ring)
+        at += 3 + length
+    rows += [(at + k, at + max(0, k - 1), False) for k in range(70)]  # a chain to a root
+    want |= {at + k: at for k in range(70)}
+    n = spark.createDataFrame(rows, "id long, up long, inbound boolean")
+    assert dict(threads.roots(n).collect()) == want
+
+
+@pytest.mark.parametrize("bins", [4, 4096])
+def test_percentiles(spark, monkeypatch, bins):
+    """Against the built-in function: hot values, one value, nulls, halves, very large and close doubles; and no table at all."""
+    monkeypatch.setattr(quantiles, "BINS", bins)
+    rng = random.Random(12)
+    rows = [("a", rng.choice([1.0, 2.0, 2.5, 1e9, -3.0])) for _ in range(500)] + [("b", 7.0)] * 40 + [("c", 1.0), ("c", 2.0), (None, 5.0), (None, 6.0), ("d", None)]
+    rows += [("e", 1.0 + k * 2.0**-52) for k in range(30)] + [("f", rng.random() * 10 ** rng.randrange(-3, 12)) for _ in range(700)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    shares = {"p0": 0.0, "p10": 0.1, "median": 0.5, "p95": 0.95, "p100": 1.0}
+    want = df.groupBy("g").agg(*(F.percentile("v", p).alias(k) for k, p in shares.items()))
+    assert sorted(map(tuple, quantiles.percentiles(df, ["g"], "v", shares).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    whole = df.agg(*(F.percentile("v", p).alias(k) for k, p in shares.items())).first()
+    assert quantiles.percentiles(df, [], "v", shares).first() == whole
+    assert quantiles.percentiles(df.limit(0), [], "v", shares).collect() == [(None,) * 5] and quantiles.percentiles(df.limit(0), ["g"], "v", shares).count() == 0
+
+
+def test_distinct_counts_without_expand(spark):
+    t = Scratch(spark, "t").write(typed(messages.read(spark, SF)))
+    for metrics in (brands.customer_metrics, brands.reply_metrics):
+        assert "Expand" not in metrics(t, messages.BRANDS)._jdf.queryExecution().toString()
+
+
 class Client:
     model_name = "fake"
 

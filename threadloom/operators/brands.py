@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from ..plans.staging import Scratch
+from .quantiles import percentiles
 
 _n = F.count_if
 
@@ -21,15 +23,34 @@ def first_handle(brands: list[str]):
     return F.when(found != "", found)
 
 
+def _by_brand(rows: DataFrame, flags: list[str], texts: str, distinct: dict[str, tuple[str, str]]) -> DataFrame:
+    """brand, rows, the sums of ``flags``, ``texts`` (distinct clean texts with a flag of that name, or all), and distinct counts.
+
+    distinct: name -> (column, flag). Counts add up over (brand, text) first, so that no row is multiplied for a distinct count.
+    """
+    rows = Scratch(rows.sparkSession, "brands").write(rows, "rows")
+    any_ = F.max(texts) if texts in rows.columns else F.lit(True)
+    per = rows.groupBy("brand", "clean").agg(F.count(F.lit(1)).alias("_rows"), *(_n(f).alias(f) for f in flags), any_.alias("_counts"))
+    out = per.groupBy("brand").agg(
+        F.sum("_rows").alias("_rows"), *(F.sum(f).alias(f) for f in flags), _n(F.col("_counts") & F.col("clean").isNotNull()).alias("_texts")
+    )
+    for name, (column, flag) in distinct.items():
+        seen = (rows.where(flag) if flag else rows).where(F.col(column).isNotNull()).select("brand", column).distinct()
+        out = out.join(seen.groupBy("brand").agg(F.count(F.lit(1)).alias(name)), "brand", "left").fillna(0, [name])
+    return out
+
+
 def customer_metrics(t: DataFrame, brands: list[str]) -> DataFrame:
     """brand and counts over the inbound messages that mention it first; c_<category> counts the hits of each issue category."""
     mine = t.where("inbound").withColumn("brand", first_handle(brands)).where("brand is not null")
     c = F.col("clean")
-    return mine.groupBy("brand").agg(
-        F.count(F.lit(1)).alias("customer_messages"), F.count_distinct("author").alias("unique_customers"), F.count_distinct("clean").alias("distinct_texts"),
-        _n(F.col("text").rlike(X.URL)).alias("url_messages"), _n(F.col("text").rlike(X.MENTION)).alias("mention_messages"),
-        _n(c.rlike(V.ENGLISH)).alias("english_messages"), *(_n(c.rlike(p)).alias(f"c_{k}") for k, p in V.CATEGORIES.items()),
-    )
+    flags = {
+        "url_messages": F.col("text").rlike(X.URL), "mention_messages": F.col("text").rlike(X.MENTION), "english_messages": c.rlike(V.ENGLISH),
+        **{f"c_{k}": c.rlike(p) for k, p in V.CATEGORIES.items()},
+    }
+    rows = mine.select("brand", "author", "clean", *(f.alias(k) for k, f in flags.items()))
+    out = _by_brand(rows, list(flags), "", {"unique_customers": ("author", "")})
+    return out.select("brand", F.col("_rows").alias("customer_messages"), "unique_customers", F.col("_texts").alias("distinct_texts"), *flags)
 
 
 def reply_metrics(t: DataFrame, brands: list[str]) -> DataFrame:
@@ -41,13 +62,17 @@ def reply_metrics(t: DataFrame, brands: list[str]) -> DataFrame:
     r = r.withColumn("s", X.reply_signals("text", "clean")).crossJoin(F.broadcast(top))
     r = r.join(there.withColumnRenamed("id", "parent"), "parent", "left")
     exists = F.col("p_inbound").isNotNull() & F.col("parent").between(1, F.col("top"))
-    usable = F.coalesce(F.col("s.valid") & exists & F.col("p_inbound") & F.col("p_text"), F.lit(False))
     valid, generic = F.col("s.valid"), F.col("s.is_generic")
-    return r.groupBy("brand").agg(
-        F.count(F.lit(1)).alias("replies"), _n(valid).alias("valid_replies"), _n(generic).alias("generic_replies"), _n(valid & ~generic).alias("meaningful_replies"),
-        _n(F.col("s.is_short")).alias("short_replies"), _n(F.col("s.has_url")).alias("url_replies"),
-        F.greatest(_n(valid) - F.count_distinct(F.when(valid, F.col("clean"))), F.lit(0)).cast("long").alias("duplicate_replies"),
-        _n(exists).alias("connected_pairs"), _n(usable).alias("usable_pairs"), F.count_distinct(F.when(usable, F.col("parent"))).alias("answered_messages"),
+    flags = {
+        "valid_replies": valid, "generic_replies": generic, "meaningful_replies": valid & ~generic, "short_replies": F.col("s.is_short"), "url_replies": F.col("s.has_url"),
+        "connected_pairs": exists, "usable_pairs": F.coalesce(valid & exists & F.col("p_inbound") & F.col("p_text"), F.lit(False)),
+    }
+    rows = r.select("brand", "parent", "clean", *(f.alias(k) for k, f in flags.items()))
+    out = _by_brand(rows, list(flags), "valid_replies", {"answered_messages": ("parent", "usable_pairs")})
+    duplicates = F.greatest(F.col("valid_replies") - F.col("_texts"), F.lit(0)).cast("long").alias("duplicate_replies")
+    return out.select(
+        "brand", F.col("_rows").alias("replies"), "valid_replies", "generic_replies", "meaningful_replies", "short_replies", "url_replies", duplicates,
+        "connected_pairs", "usable_pairs", "answered_messages",
     )
 
 
@@ -56,10 +81,12 @@ def conversation_metrics(t: DataFrame, brands: list[str], roots: DataFrame, size
     low = F.lower("author")
     own = t.where(~F.col("inbound") & (F.col("id") > 0) & low.isin([b.lower() for b in brands])).select(low.alias("brand"), "id")
     each = own.join(roots, "id").select("brand", "root").distinct().join(sizes, "root")
-    return each.groupBy("brand").agg(
-        F.count(F.lit(1)).alias("conversations"), _n("is_multi_turn").alias("multi_turn"),
-        X.rounded(F.avg("size"), 3).alias("average_length"), X.rounded(F.percentile("size", 0.5), 3).alias("median_length"),
-    )
+    each = Scratch(t.sparkSession, "conversations").write(each.select("brand", "size", "is_multi_turn"), "each")
+    figures = each.groupBy("brand").agg(
+        F.count(F.lit(1)).alias("conversations"), _n("is_multi_turn").alias("multi_turn"), X.rounded(F.avg("size"), 3).alias("average_length")
+    )
+    medians = percentiles(each, ["brand"], "size", {"median": 0.5}).select("brand", X.rounded("median", 3).alias("median_length"))
+    return figures.join(medians, "brand")
 
 
 def entropy(customers: DataFrame) -> DataFrame:

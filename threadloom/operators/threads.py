@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.staging import Scratch
+from .quantiles import percentiles
 
 
 def nodes(t: DataFrame) -> DataFrame:
@@ -19,22 +20,35 @@ def nodes(t: DataFrame) -> DataFrame:
     return ranged.groupBy("id").agg(F.coalesce(F.max("up"), F.col("id")).alias("up"), F.max("inbound").alias("inbound"))
 
 
-def roots(n: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """id, root. A parent that is in range but not in the data is a root too (a ghost).
+def roots(n: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """id, root. A parent that is in range but not in the data is a root too (a ghost); of a cycle the smallest id on it is.
 
-    Each round doubles the length of the pointers, so a chain of n needs about log2(n) rounds; every
-    round is a scratch table. Cycles stop after ``most_rounds`` with one of their members as root.
+    Each round doubles the length of the pointers, so a chain of n needs about log2(n) rounds; every round is a scratch
+    table. A pointer carries the smallest id on its way. Once a round settles no more, those left lead into cycles, and pointers
+    longer than they are many have gone all around; 64 rounds do for any number.
     """
     scratch = Scratch(n.sparkSession, "roots")
-    p = scratch.write(n.select("id", "up"), "pointers")
+    p = scratch.write(n.select("id", "up", F.least("id", "up").alias("low"), (F.col("id") == F.col("up")).alias("settled")), "pointers")
+    steps, before = 1, None
     for _ in range(most_rounds):
-        q = p.select(F.col("id").alias("up"), F.col("up").alias("next"))
-        stepped = scratch.write(p.join(q, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "pointers")
+        q = p.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("low").alias("on"), F.col("settled").alias("there"))
+        ghost = F.col("next").isNull()
+        stepped = p.join(q, "up", "left").select(
+            "id", F.when(F.col("settled") | ghost, F.col("up")).otherwise(F.col("next")).alias("up"),
+            F.least("low", "on").alias("low"), (F.col("settled") | ghost | F.col("there")).alias("settled"),
+        )
+        stepped = scratch.write(stepped, "pointers")
         scratch.drop(p)
-        p = stepped
-        if not p.where("moved").limit(1).count():
+        p, steps = stepped, 2 * steps
+        left = p.where("not settled").count()
+        if not left or (left == before and steps >= left):
             break
-    return p.select("id", F.col("up").alias("root"))
+        before = left
+    if not left:
+        return p.select("id", F.col("up").alias("root"))
+    around = p.where("not settled").select(F.col("id").alias("up"), F.col("low").alias("least"))
+    least = F.when(F.col("settled"), F.col("up")).otherwise(F.col("least"))
+    return p.join(around, "up", "left").select("id", least.alias("root"))
 
 
 def sizes(n: DataFrame, r: DataFrame) -> DataFrame:
@@ -46,12 +60,14 @@ def sizes(n: DataFrame, r: DataFrame) -> DataFrame:
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, min, p10, p25, median, p75, p90, p95, max; percentiles exact, cut to integers."""
-    at = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
-    c = F.col(column).cast("double")
-    return df.agg(
-        F.count(c).alias("count"), X.rounded(F.avg(c), 3).alias("mean"), F.min(c).cast("long").alias("min"),
-        *(F.percentile(c, v).cast("long").alias(k) for k, v in at.items()), F.max(c).cast("long").alias("max"),
-    )
+    shares = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+    df = Scratch(df.sparkSession, "distribution").write(df.select(F.col(column).cast("double").alias("c")), "values")
+    figures = df.agg(
+        F.count("c").alias("count"), X.rounded(F.avg("c"), 3).alias("mean"), F.min("c").cast("long").alias("min"), F.max("c").cast("long").alias("max")
+    )
+    p = percentiles(df, [], "c", shares)
+    both = figures.crossJoin(F.broadcast(p))  # one row each
+    return both.select("count", "mean", "min", *(F.col(k).cast("long").alias(k) for k in shares), "max")
 
 
 BUCKETS = ["1", "2", "3", "4", "5", "6-10", "11+"]
