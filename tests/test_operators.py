@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import re
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
-from threadloom.operators import agent, blocks, brands, labels, pairs, profile, quantiles, retrieval, sampling, threads
+from threadloom.operators import agent, asking, blocks, brands, labels, pairs, profile, quantiles, retrieval, sampling, threads
 from threadloom.operators.typed import typed
 from threadloom.plans.filters import marked
 from threadloom.plans.staging import Scratch
@@ -366,6 +367,44 @@ def test_agent(spark, index):
             a.handle(bad)
 
 
+class Counting:
+    """Notes each prompt that it answers; at ``deadly`` its process ends, the first time."""
+
+    model_name = "counting"
+
+    def __init__(self, path, deadly=None):
+        self.path, self.deadly = str(path), deadly
+
+    def generate(self, system, user):
+        if user == "fails":
+            raise RuntimeError("down")
+        if user == self.deadly and not os.path.exists(self.path + ".died"):
+            open(self.path + ".died", "w").close()
+            os._exit(1)
+        with open(self.path, "a") as f:
+            f.write(user + "\n")
+        return f"{system}/{user}"
+
+
+def test_each_prompt_is_asked_once(spark, tmp_path):
+    """Equal prompts are one call; a task that dies costs its wave only, and answers that are kept aren't asked for again."""
+    client = Counting(tmp_path / "log", "p3")
+    rows = [("s", f"p{k % 4}") for k in range(20)] + [("s", None), (None, "p1"), ("s", "fails"), ("s", "fails")]
+    prompts = spark.createDataFrame(rows, "a string, b string").repartition(3)
+    ask = lambda: {(r.answer, r.error) for r in asking.answers(prompts, client, "a", "b", f"{tmp_path}/store", wave=1).collect()}
+    with pytest.raises(Exception):  # the dead task
+        ask()
+    want = {(f"s/p{k}", None) for k in range(4)} | {(None, "llm_error")}
+    assert ask() == ask() == want
+    key = asking.prompt_key("counting", "a", "b")  # what shares the dead task's wave may be asked twice
+    wave = dict(prompts.where(key.isNotNull()).select("b", F.pmod(F.xxhash64(key), F.lit(5))).distinct().collect())
+    calls = collections.Counter((tmp_path / "log").read_text().split())
+    assert set(calls) == {f"p{k}" for k in range(4)} and all(n == 1 for p, n in calls.items() if wave[p] != wave["p3"]) and max(calls.values()) <= 2
+    r = agent.generate(spark.createDataFrame([(1, "s", "p1"), (2, "s", None), (3, "s", "fails")], "id long, system_prompt string, user_prompt string"), client, f"{tmp_path}/store")
+    assert sorted((x.id, x.generated_response, x.error_type) for x in r.collect()) == [(1, "s/p1", None), (2, agent.FALLBACK, "prompt_error"), (3, agent.FALLBACK, "llm_error")]
+    assert len((tmp_path / "log").read_text().split()) == sum(calls.values())
+
+
 def test_agent_degrades(spark, index):
     for answer, error in ((None, "llm_error"), ("  ", "empty_response")):
         r = agent.SupportAgent(index, Client(answer)).handle("refund please")

@@ -14,6 +14,7 @@ SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 URL = "(?i)" + V.URL.replace(r"\S", r"[^\s\x1c-\x1f\x85\p{Z}]")
 MENTION = f"@{WORD}+"
+# What counts as an address, a phone number and a long number.
 # The local part only starts where a run of its characters starts, so long runs cost linear time.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?<!\d)(?:\+?\d[\d\s().\-]{8,}\d)(?!\d)"
