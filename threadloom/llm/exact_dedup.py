@@ -8,7 +8,7 @@ the rest pass straight through. Texts never shuffle: only ids, lengths and diges
 
 The filter is as large as the corpus wants (``bits_per_row``) and travels in blocks of fixed size, each a
 range of hashes. The digests lie sorted by hash within each task's file, so that the narrow pass of a
-block skips what lies outside its range; all blocks together read the digests once.
+block skips the Parquet pages outside its range: in files of many pages all but its share, in files of few pages little.
 """
 
 from __future__ import annotations

@@ -13,10 +13,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents; nulls, ties and repeated rows as in ``decontamination.find_leaks``."""
     return decontamination.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers removed from each document and the digest of what stays; nulls, ties and repeated rows as in ``line_dedup.line_results``."""
     out = line_dedup.line_results(_read(spark, sf_dir, "documents"))
     return out.select(
         "row.doc_id", "n_lines", F.size("removed").alias("n_removed"), line_dedup.ranges(F.col("removed")).alias("removed"),
@@ -25,10 +27,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; nulls, ties and repeated rows as in ``exact_dedup.exact_dedup``."""
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets; nulls and repeated rows as in ``secrets.find_secrets``."""
     return secrets.secret_digest(secrets.find_secrets(_read(spark, sf_dir, "documents")))
 
 
@@ -46,6 +50,7 @@ def replica_of(records: DataFrame) -> DataFrame:
 
 
 def op5_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of the pages' records against ``replica_of`` them; nulls and repeated rows as in ``fixity.audit``."""
     records = fixity.warc_records(_read(spark, sf_dir, "pages"))
     return fixity.audit(records, replica_of(records))
 
@@ -74,22 +79,27 @@ SELECT *, status = 'intact' AS intact FROM all_rows
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components; nulls, ties and repeated rows as in ``simhash.simhash_components``."""
     return simhash.simhash_components(_read(spark, sf_dir, "documents"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data; nulls and repeated rows as in ``pii.find_pii``."""
     return pii.pii_digest(pii.find_pii(_read(spark, sf_dir, "documents")))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences; nulls and repeated rows as in ``packing.pack``."""
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights and the draw; nulls, ties and repeated rows as in ``importance.importance_resample``."""
     return importance.importance_resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages and scores; nulls and repeated rows as in ``language_id.identify``."""
     return language_id.identify(_read(spark, sf_dir, "documents"))
 
 

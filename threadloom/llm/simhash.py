@@ -4,8 +4,8 @@ Fingerprints that differ in at most ``d`` bits are cut into ``d // 2 + 1`` segme
 at least one segment differs by at most one bit. Every segment is indexed with each of its
 bits replaced by a wildcard; fingerprints that share such a variant meet by an equality key
 and are verified on all 64 bits. Only distinct fingerprints are indexed (copies collapse
-first), and the members of one variant are linked by a search that leaves a spanning forest,
-never all pairs: a bucket of m fingerprints gives at most m - 1 links.
+first), and the members of a variant with many of them are linked by a search that leaves a spanning forest: a bucket of m
+fingerprints gives at most m - 1 links. Buckets of at most 48 are compared pair by pair.
 """
 
 from __future__ import annotations
