@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import values as V
-from .operators import agent, brands, labels, pairs, profile, retrieval, sampling, threads
+from .operators import agent, brands, labels, pairs, profile, quantiles, retrieval, sampling, threads
 from .operators.typed import typed
 from .plans import oracle as O
 from .plans.oracle import sql
@@ -570,6 +570,17 @@ def index_grown(spark, d):
     return retrieval.TfidfIndex.load(spark, path).search(q, "id", "text")
 
 
+@query(
+    "SELECT (SELECT count(*) FROM indexed) AS documents, (SELECT count(DISTINCT pair_id) FROM postings) AS documents_with_terms, (SELECT count(*) FROM df) AS vocabulary_size",
+    "indexed", "df", "postings",
+)
+def index_manifest(spark, d):
+    """The row counts that a saved index states, and that loading it has compared with its tables."""
+    path = f"{Scratch(spark, 'saved').root}/index"
+    _index(spark, d).save(path)
+    return spark.createDataFrame([retrieval.TfidfIndex.load(spark, path).manifest["counts"]], "documents long, documents_with_terms long, vocabulary_size long")
+
+
 def _document_index(spark, d):
     docs = _documents(spark, d).select("doc_id", "text")
     return retrieval.TfidfIndex.fit(docs, "doc_id", "text", ngrams=1)
@@ -757,6 +768,17 @@ def labelled_documents(spark, d):
     return j.groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"), X.rounded(F.avg("n_chars"), 3).alias("mean_chars"))
 
 
+# ---- order statistics ----
+_SHARES = {"p1": 0.01, "p10": 0.1, "median": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+@query("SELECT source, " + ", ".join(f"round(1e-9 + quantile_cont(length(coalesce(text, ''))::DOUBLE, {p}), 3) AS {k}" for k, p in _SHARES.items()) + " FROM documents GROUP BY source")
+def document_length_percentiles(spark, d):
+    """Exact percentiles of the documents' lengths by source."""
+    lengths = _documents(spark, d).select("source", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    return quantiles.percentiles(lengths, ["source"], "n", _SHARES).select("source", *(X.rounded(k, 3).alias(k) for k in _SHARES))
+
+
 # ---- sources and sinks ----
 def _in_eight(spark, dump: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The dump written as one CSV file and read again in eight splits or more."""
@@ -778,6 +800,18 @@ def csv_line_breaks(spark, d):
     return _in_eight(spark, _raw(spark, d).withColumn("text", broken), ["tweet_id", "text"])
 
 
+@query("SELECT tweet_id || ',too,short' AS record FROM messages WHERE CAST(tweet_id AS BIGINT) % 10 = 0", "messages")
+def csv_malformed(spark, d):
+    """The malformed records of a dump of good files and one with records that are too short."""
+    path = f"{Scratch(spark, 'csv').root}/messages"
+    dump = Scratch(spark, "csv").write(_raw(spark, d), "dump")
+    io.write_table(dump, path)
+    short = dump.where("cast(tweet_id as long) % 10 = 0").select(F.concat("tweet_id", F.lit(",too,short")).alias("value"))
+    header = spark.createDataFrame([(",".join(messages.RAW_COLUMNS),)], "value string").coalesce(1)
+    header.unionByName(short).coalesce(1).write.mode("append").text(f"{path}.csv")
+    return io.read_messages(spark, f"{path}.csv")[1].select(F.col(io.CORRUPT).alias("record"))
+
+
 @query("SELECT tweet_id, text FROM messages", "messages")
 def csv_columns(spark, d):
     """Two columns of the dump written as CSV, in many files."""
