@@ -648,7 +648,8 @@ def test_importance_draw(spark):
     texts = [f"word{k}" for k in range(50)]
     got = importance.importance_resample(frame(spark, texts, [None] * 50), labels, temperature=4.0).collect()
     assert len({round(r.gumbel_key - r.log_weight / 4, 9) for r in got}) == 50
-    assert [r.gumbel_key for r in got] == [r.gumbel_key for r in importance.importance_resample(frame(spark, texts, [None] * 50), labels, temperature=4.0).collect()]
+    again = importance.importance_resample(frame(spark, texts, [None] * 50), labels, temperature=4.0).collect()
+    assert sorted(r.gumbel_key for r in got) == sorted(r.gumbel_key for r in again)  # rows come in no certain order
 
 
 def test_kth_largest(spark):
