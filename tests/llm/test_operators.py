@@ -395,6 +395,29 @@ def test_secrets_random_tokens(spark):
     assert sum(rate.values()) / len(rate) >= 0.9, rate
 
 
+def test_secrets_ordinary_text_whole(spark):
+    """The statistic's distribution comes from every stretch of every text, for each class of length."""
+    texts = [t.replace("\x00", "") for t in prose(60)] + [None, "", "\u212a" * 30 + "a-_+/B=" * 40, "12 34 " * 50]
+    letters = {0: "0-9", 1: "0-9a-fA-F", 2: "2-7a-zA-Z", 4: "0-9a-zA-Z+/_-"}
+    wanted = [(k, c) for k in letters for c in (0, 3, 8)]
+    want = collections.Counter()
+    for t in texts:
+        bare = re.sub(secrets.TOKEN.replace(r"|\G", ""), " ", t or "")
+        for k, c in wanted:
+            size = secrets.CLASSES[c]
+            for run in re.split(rf"[^{letters[k]}]{{{secrets.GAP},}}", bare):
+                want[k, c] += len(re.sub(f"[^{letters[k]}]", "", run)) // size
+    got = collections.Counter()
+    for r in secrets.ordinary(frame(spark, texts), "text", wanted).collect():
+        got[r.kind, r["class"]] += r.n
+    assert +got == +want and want[4, 0] > 1000 and want[0, 0] > 0
+    rng = random.Random(3)
+    drawn = ["".join(rng.choice("01234567"[: 1 + k % 8]) for _ in range(n)) for k, n in enumerate(secrets.CLASSES * 9)]
+    rows = spark.createDataFrame([(k, d) for k, d in enumerate(drawn)], "class int, d string").coalesce(1)
+    slow = {r["class"]: r.total for r in rows.select("class", secrets.battery(F.col("d"), secrets._shares(2))["total"].alias("total")).collect()}
+    assert {r["class"]: pytest.approx(r.total, abs=1e-9) for r in secrets.totals(rows, 2).collect()} == slow
+
+
 def test_many_spans(spark):
     """Time in the number of matches is far from quadratic, and the places stay right."""
     text = "x " + " ".join(f"a{k}@b.cc" for k in range(50_000))

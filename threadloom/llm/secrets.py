@@ -6,7 +6,7 @@ that alphabet, whose characters stand in the order of their frequency in ordinar
 uniformity over eighths of the alphabet, runs above and below its middle, and lag-one serial
 correlation. Their z-scores add up to one statistic, small for random tokens.
 
-How small it gets by chance in ordinary text is measured on the corpus itself: stretches of all
+How small it gets by chance in ordinary text is measured on the corpus itself: all stretches of all
 texts, written in the same alphabet and as long as the candidates, give the statistic's distribution,
 and thus each candidate's p-value. Benjamini-Hochberg within each encoding and class of length holds
 the rate of false discoveries. Both distributions meet as histograms of bounded size.
@@ -42,9 +42,10 @@ ENCODINGS = [
 _GROUPS = "01234567"
 #: First lengths of the classes.
 CLASSES = [20, 24, 28, 32, 40, 48, 64, 96, 160]
-#: Ordinary text gives one stretch for so many characters, taken from a hashed class of length.
-TILE = 2048
+#: So many characters outside an alphabet end a run of it in ordinary text.
+GAP = 16
 _BINS = 8  # of the statistic, for 1
+_OPEN = "\x01"  # between runs
 
 
 def encoding(token: Column) -> Column:
@@ -143,32 +144,70 @@ def _bin(total: Column) -> Column:
     return F.greatest(F.least(F.floor(total * _BINS), F.lit(200 * _BINS)), F.lit(-20 * _BINS)).cast("int").alias("bin")
 
 
+def totals(stretches: DataFrame, kind: int) -> DataFrame:
+    """class, total: the ``battery``'s statistic of many stretches. stretches: class, d (eighths as digits).
+
+    Twenty-one octal digits make a long, in which products of neighbours and changes of side are counted bits.
+    """
+    ones = F.lit(int("1" * 21, 8))
+    plane = lambda x, k: F.shiftright(x, k).bitwiseAND(ones)
+    packed = F.transform(F.sequence(F.lit(1), F.length("d"), F.lit(20)), lambda i: F.conv(F.substring(F.col("d"), i, F.lit(21)), 8, 10).cast("long"))
+
+    def pairs(x: Column) -> Column:
+        """The sum of neighbours' products, and from 10,000 on how many neighbours both lie above the middle; a long of 160 has 7791 at most."""
+        out = F.lit(0).cast("long")
+        for p in range(3):
+            for q in range(3):
+                out += F.bit_count(plane(x, p + 3).bitwiseAND(plane(x, q))) * ((1 << (p + q)) + (10000 if p == q == 2 else 0))
+        return out
+
+    rows = stretches.select(
+        "class", F.length("d").alias("n"), (F.ascii("d") - 48).alias("first"), (F.ascii(F.right("d", F.lit(1))) - 48).alias("last"),
+        *((F.length("d") - F.length(F.replace("d", F.lit(g), F.lit("")))).alias(f"c{g}") for g in _GROUPS),
+        F.aggregate(packed, F.lit(0).cast("long"), lambda s, x: s + pairs(x)).alias("pairs"),
+    )
+    places, n = _groups(kind), F.col("n").cast("double")
+    share = [places.count(k) / len(places) for k in range(len(_GROUPS))]
+    c = [F.col(f"c{g}") for g in _GROUPS]
+    added = lambda values: sum(values, F.lit(0.0))
+    high = lambda x: (F.col(x) >= 4).cast("int")
+    df = len(_GROUPS) - 1
+    uniform = (added((x - n * e) * (x - n * e) / (n * e) for x, e in zip(c, share)) - df) / (2 * df) ** 0.5
+    changes = 2 * (c[4] + c[5] + c[6] + c[7]) - high("first") - high("last") - 2 * F.floor(F.col("pairs") / 10000)
+    rows = rows.select("*", uniform.alias("uniform"), ((changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)).alias("runs"), (added(x * k for k, x in enumerate(c)) / n).alias("mean"))
+    mean = F.col("mean")
+    rows = rows.withColumn("var", added(x * (k - mean) * (k - mean) for k, x in enumerate(c)))
+    both = F.col("pairs") % 10000 - mean * (2 * n * mean - F.col("first") - F.col("last")) + (n - 1) * mean * mean
+    serial = F.when(F.col("var") > 0, (both / F.col("var") + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
+    return rows.select("class", (F.col("uniform") - F.col("runs") + F.greatest(serial, F.lit(0.0))).alias("total"))
+
+
 def ordinary(docs: DataFrame, text_col: str, wanted: list[tuple[int, int]]) -> DataFrame:
-    """kind, class, bin, n: how the statistic falls in stretches of all texts; of the encodings and classes ``wanted`` only.
+    """kind, class, bin, n: how the statistic falls in all stretches of all texts; of the encodings and classes ``wanted`` only.
 
-    Texts are cut into tiles of TILE characters. For each encoding that is wanted a tile gives, from a place chosen by a
-    hash of the tile on (and around its end), characters of its alphabet, as many as a class of length chosen by another hash
-    begins with, if they lie within four times as many characters after long tokens are taken out.
+    Long tokens are taken out. Characters of an encoding's alphabet with fewer than GAP others between neighbours make a run. For each
+    class of length that is wanted a run is cut, from its start, into stretches as long as the class begins with; what
+    is left at its end is no stretch.
     """
-    tiles = docs.select(F.explode(F.regexp_extract_all(text_of(text_col), F.lit(f"(?s).{{1,{TILE}}}"), F.lit(0))).alias("tile"))
+    bare = docs.select(F.regexp_replace(text_of(text_col), TOKEN, " ").alias("text"))
     out = None
     for kind in sorted({k for k, _ in wanted}):
-        classes = F.array(*(F.lit(c) for k, c in sorted(wanted) if k == kind))
-        chosen = F.element_at(classes, (F.pmod(F.xxhash64("tile"), F.size(classes)) + 1).cast("int"))
-        alphabet = "".join(sorted(ENCODINGS[kind][2])).replace("/", "\\/")
-        place = F.pmod(F.xxhash64("tile", F.lit(kind)), F.length("tile")).cast("int") + 1
-        head = F.regexp_replace(F.substring(F.concat("tile", F.lit(" "), "tile"), place, 4 * F.col("size")), TOKEN, " ")
-        part = (
-            tiles.select("tile", chosen.alias("class"))
-            .select("tile", "class", F.element_at(F.array(*map(F.lit, CLASSES)), F.col("class") + 1).alias("size"))
-            .select("class", "size", F.left(F.regexp_replace(_folded(head, kind), f"[^{alphabet}]", ""), F.col("size")).alias("head"))
-            .where(F.length("head") == F.col("size"))
-            .select(F.lit(kind).alias("kind"), "class", battery(_eighths(F.col("head"), kind), _shares(kind))["total"].alias("total"))
-        )
+        of = {x: _GROUPS[g] for x, g in zip(ENCODINGS[kind][2], _groups(kind))}  # character: the digit of its eighth
+        of = {"-": of["+"], "_": of["/"]} | of if "+" in of else {x.upper(): g for x, g in of.items()} | of
+        others = "[^" + "".join("\\" + x if x in "-+/" else x for x in sorted(of)) + "]"
+        runs = F.regexp_replace(F.regexp_replace("text", f"{others}{{{GAP},}}+", _OPEN), f"{others[:-1]}{_OPEN}]+", "")
+        runs = F.translate(runs, "".join(of), "".join(of.values()))
+        cuts = (F.transform(F.regexp_extract_all("d", F.lit(f"[{_GROUPS}]{{{CLASSES[c]}}}"), F.lit(0)), _beside(c)) for k, c in sorted(wanted) if k == kind)
+        stretches = bare.select(runs.alias("d")).select(F.explode(F.concat(*cuts)).alias("x")).select("x.class", "x.d")
+        part = totals(stretches, kind).select(F.lit(kind).alias("kind"), "class", "total")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("kind", "class", _bin(F.col("total"))).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _beside(c: int):
+    return lambda x: F.struct(F.lit(c).alias("class"), x.alias("d"))
+
+
 def thresholds(scanned: DataFrame, docs: DataFrame, text_col: str, rate: float) -> dict[tuple[int, int], int]:
     """For each encoding and class of length the largest bin of the statistic that Benjamini-Hochberg accepts at this rate."""
     tests = scanned.select(F.explode("candidates").alias("x")).select(
