@@ -38,6 +38,16 @@ def test_one_file_in_many_tasks(spark, tmp_path):
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") != str(size // 8)
 
 
+def test_splits_of_bounded_size(spark, tmp_path, monkeypatch):
+    """However large a split is asked for, none is beyond SPLIT, and those that begin inside a field pass row by row."""
+    monkeypatch.setattr(quoted, "SPLIT", 500)
+    want = _dump(f"{tmp_path}/m.csv", "\n", 8, 400)
+    got = quoted.records(spark, f"{tmp_path}/m.csv", 1 << 30)
+    assert got.select("split").distinct().count() >= io.size_in_bytes(spark, f"{tmp_path}/m.csv") // 1000
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    assert {r.tweet_id: r.text for r in io.read_messages(spark, f"{tmp_path}/m.csv")[0].collect()} == want
+
+
 def test_odd_records(spark, tmp_path):
     """Stray quotes are text; blank lines go; an open quote takes the rest of its file; a wrong header is refused."""
     head = ",".join(messages.RAW_COLUMNS)

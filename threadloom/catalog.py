@@ -781,9 +781,9 @@ def document_length_percentiles(spark, d):
 
 # ---- sources and sinks ----
 def _in_eight(spark, dump: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """The dump written as one CSV file and read again in eight splits or more."""
+    """The dump written as CSV, as its tasks have it, and read again in eight splits or more, of bounded size."""
     path = f"{Scratch(spark, 'csv').root}/messages"
-    io.write_table(dump.repartition(1), path)
+    io.write_table(dump, path)
     return io.read_messages(spark, f"{path}.csv", columns, max(1, io.size_in_bytes(spark, f"{path}.csv") // 8))[0]
 
 

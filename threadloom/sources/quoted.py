@@ -25,6 +25,14 @@ from ..plans.staging import Scratch
 #: a value, how the split ends if it begins outside and if it begins inside a quoted field.
 ROWS = "file long, split long, nth long, value string, open boolean, goes_on boolean, outside boolean, inside boolean"
 
+#: Bytes of a split, at most.
+SPLIT = 16 << 20
+
+
+def _bytes(spark: SparkSession, size: str) -> int:
+    """A setting such as "128m" in bytes."""
+    return spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
+
 
 def ends_inside(line: str, inside: bool) -> bool:
     """Whether a line ends inside a quoted field, by whether it begins inside one. A quote opens only where a field begins."""
@@ -129,17 +137,29 @@ def beginnings(ends: DataFrame) -> DataFrame:
 
 
 def again(rows: DataFrame) -> DataFrame:
-    """The records of splits that begin inside a quoted field. rows: their records as if they began outside; together they are the split's lines."""
+    """The records of splits that begin inside a quoted field. rows: their records as if they began outside; together they are the split's lines.
+
+    A split's rows come in order and pass one by one, so that a task holds no more than the record that it is at.
+    """
     target, arrow = _schema(rows.sparkSession)
 
-    def run(keys: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        held = rows.sort_by("nth").column("value").to_pylist()
-        now = Assembler(keys[0].as_py(), keys[1].as_py(), True)
-        out = [r for value in held for line in value.split("\n") for r in now.line(line)]
-        out += [r for r in now.end() if r[3] is not None]
-        return pa.Table.from_batches([_batch(out, arrow)] if out else [], arrow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for b in batches:
+            out: list[tuple] = []
+            for file, split, value in zip(*(b.column(k).to_pylist() for k in (0, 1, 3))):
+                if now is None or (now.file, now.split) != (file, split):
+                    out += [r for r in now.end() if r[3] is not None] if now else ()
+                    now = Assembler(file, split, True)
+                for line in value.split("\n"):
+                    out += now.line(line)
+            if out:
+                yield _batch(out, arrow)
+        out = [r for r in now.end() if r[3] is not None] if now else []
+        if out:
+            yield _batch(out, arrow)
 
-    return rows.select("file", "split", "nth", "value").groupBy("file", "split").applyInArrow(run, target)
+    return rows.select("file", "split", "nth", "value").repartition("file", "split").sortWithinPartitions("file", "split", "nth").mapInArrow(run, target)
 
 
 def joined(parts: DataFrame) -> DataFrame:
@@ -157,14 +177,13 @@ def records(spark: SparkSession, path: str, split_bytes: int | None = None) -> D
 
     Fields are quoted by double quotes, which are doubled within them; a quote within a field that doesn't begin with one is text, as is what
     follows a closing quote up to the next comma. Lines end in "\\n" or "\\r\\n". An open quote at the end of a file leaves the rest as one record. Blank
-    lines outside fields go. ``split_bytes``: the size of a split, else the session's.
+    lines outside fields go. ``split_bytes``: the size of a split, else the session's; SPLIT at most, since one record may take a whole split.
     """
     ship(spark)
     scratch, setting = Scratch(spark, "csv"), "spark.sql.files.maxPartitionBytes"
     usual = spark.conf.get(setting)
     try:
-        if split_bytes:
-            spark.conf.set(setting, str(split_bytes))
+        spark.conf.set(setting, str(min(SPLIT, split_bytes or _bytes(spark, usual))))
         rows = scratch.write(scanned(spark, path), "records")
     finally:
         spark.conf.set(setting, usual)
