@@ -6,6 +6,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,24 @@ def test_search_moves_no_posting(spark):
     assert asked.scanned < index.blocks.count() > 10
 
 
+def test_search_adds_common_terms_once(spark, monkeypatch):
+    """Queries with the same terms in the same proportion share a block's sum; what is known to be reached elsewhere leaves blocks out."""
+    monkeypatch.setattr(blocks, "RARE", 0)
+    made, sum_ = [], blocks._Sum
+    monkeypatch.setattr(blocks, "_Sum", lambda *a: made.append(1) or sum_(*a))
+    index = retrieval.TfidfIndex.fit(_corpus(spark), "id", "t", tie="place")
+    rows = [{c: b.column(c)[i] for c in b.schema.names} for b in index.blocks.toArrow().to_batches() for i in range(b.num_rows)]
+    asked = blocks.Queries(list(range(50)), [["w1", "w0"]] * 50, [[0.9 / k, 0.3 / k] for k in range(1, 51)], 3, 0.0)
+    asked.begin()
+    for r in rows:
+        asked.meet(blocks._read(r))
+    assert 0 < len(made) <= len(rows) and all([x[1:] for x in b] == [x[1:] for x in asked.best[0]] for b in asked.best)
+    asked.begin(np.full(50, 2.0))
+    for r in rows:
+        asked.meet(blocks._read(r))
+    assert asked.scanned == 0
+
+
 def test_grown_index(spark, tmp_path):
     """An index that grew twice, saved and loaded in between, equals one of all documents; a failed save leaves the old version."""
     corpus = _corpus(spark)

@@ -3,7 +3,8 @@
 A block holds some thousands of documents of similar words as one row: the documents, their terms with the largest
 weight of each, and the postings. A search goes through the blocks of its task one by one, for many queries at once. Each
 query has a bounded heap of its best documents, which lasts from block to block; a block whose terms at their largest
-weights can't lift a document into it is skipped. Only the heaps leave the task.
+weights can't lift a document into it is skipped. The block that promises most comes first, in a pass of its own, so that
+in all others a document must beat what was found there. Only the heaps leave the task.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from ..plans.shipping import ship
+from ..plans.staging import Scratch
 
 #: A block's documents and postings, at most (but for a document that alone has more).
 DOCS, POSTINGS = 8192, 1 << 18
 #: Queries that travel to the tasks at once, and their terms.
 QUERIES, QUERY_TERMS = 16384, 1 << 20
+#: A term of more of a block's documents is added up for many queries at once.
+RARE = 32
 DIGITS = 9  # scores are compared after rounding, since sums of doubles depend on their order
 
 
@@ -82,7 +86,7 @@ def build(vectors: DataFrame, doc: str, tie: str, docs: int = DOCS, postings: in
             yield _block(pa.Table.from_batches(held), arrow)
 
     shaped = vectors.where(F.size("terms") > 0).select(F.col(doc).alias("doc"), F.col(tie).alias("tie"), "terms", "weights")
-    near = F.array_join(F.slice("terms", 1, 8), " ")
+    near = _near()
     return shaped.repartitionByRange(near, "tie", "doc").sortWithinPartitions(near, "tie", "doc").mapInArrow(run, target)
 
 
@@ -97,60 +101,156 @@ class Queries:
         self.weights = np.array([w for x in weights for w in x], float)
         self.first = np.concatenate([[0], np.cumsum([len(x) for x in terms])]).astype(np.int64)
 
-    def begin(self) -> None:
+    def begin(self, least: np.ndarray | None = None) -> None:
+        """``least``: scores that a query's k documents elsewhere reach, NaN where it has fewer."""
         self.best: list[list[tuple]] = [[] for _ in self.names]
-        self.least = np.full(len(self.names), self.min_score)  # what a document must exceed, or equal once the heap is full
+        known = np.full(len(self.names), np.nan) if least is None else least
+        self.full = ~np.isnan(known)
+        self.least = np.where(self.full, known, self.min_score)  # what a document must exceed, or equal once k are known
         self.scanned = 0  # (query, block) pairs that weren't skipped
 
-    def meet(self, block: dict) -> None:
+    def bounds(self, block: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Where each query's terms lie in the block, and what a document of the block scores at most."""
         at = pc.index_in(self.vocabulary, value_set=block["terms"]).fill_null(-1).to_numpy()[self.flat]
         bound = np.where(at >= 0, self.weights * block["most"][at], 0.0)
         bound = np.concatenate([[0.0], np.cumsum(bound)])
-        bound = bound[self.first[1:]] - bound[self.first[:-1]]
+        return at, bound[self.first[1:]] - bound[self.first[:-1]]
+
+    def meet(self, block: dict, mine: np.ndarray | None = None) -> None:
+        """``mine``: the queries that meet this block, else all.
+
+        Terms of many of the block's documents are added up once for all queries that have them in the same proportion; what a
+        query then adds are its rare terms.
+        """
+        at, bound = self.bounds(block)
         slack = 10.0**-DIGITS * len(self.flat) ** 0.5  # rounding, and the running sum
-        for q in np.flatnonzero((bound > 0) & (bound + slack >= self.least)).tolist():
-            self.scanned += 1
+        wanted = (bound > 0) & (bound + slack >= self.least)
+        if mine is not None:
+            wanted &= mine
+        asks = []
+        for q in np.flatnonzero(wanted).tolist():
             a, b = self.first[q], self.first[q + 1]
-            score = np.zeros(len(block["docs"]))
-            for j, w in zip(at[a:b].tolist(), self.weights[a:b].tolist()):
-                if j >= 0:
-                    lo, hi = block["starts"][j], block["starts"][j + 1]
-                    score[block["places"][lo:hi]] += w * block["weights"][lo:hi]
-            score = np.round(score, DIGITS)
-            full = len(self.best[q]) >= self.k
-            found = np.flatnonzero(score >= self.least[q] if full else score > self.min_score)
+            here, weight = at[a:b], self.weights[a:b]
+            here, weight = here[here >= 0], weight[here >= 0]
+            often = block["sizes"][here] > RARE
+            scale = float(weight[often][0]) if often.any() else 1.0
+            key = (here[often].tobytes(), np.round(weight[often] / scale, 12).tobytes())
+            asks.append((key, q, scale, here[~often].tolist(), weight[~often].tolist()))
+        asks.sort(key=lambda x: x[:2])  # so that one sum is held at a time
+        last, common = None, None
+        for key, q, scale, rare, weights in asks:
+            self.scanned += 1
+            if key != last:
+                last, common = key, _Sum(block, np.frombuffer(key[0], at.dtype).tolist(), np.frombuffer(key[1]).tolist()) if key[0] else None
+            found, score = _candidates(block, common, scale, rare, weights, self.k)
+            keep = score >= self.least[q] if self.full[q] else score > self.min_score
+            found, score = found[keep], score[keep]
             if len(found) > self.k:
-                kth = np.partition(score[found], -self.k)[-self.k]
-                above, equal = found[score[found] > kth], found[score[found] == kth]
-                found = np.concatenate([above, equal[: self.k - len(above)]])  # documents are in the order of ties
+                top = np.lexsort((found, -score))[: self.k]  # documents are in the order of ties
+                found, score = found[top], score[top]
             if len(found):
-                docs, ties = block["docs"], block["ties"]
-                new = [(-s, ties[i], docs[i]) for i, s in zip(found.tolist(), score[found].tolist())]
-                self.best[q] = sorted(self.best[q] + new)[: self.k]
+                new = zip((-score).tolist(), block["ties"].take(found).to_pylist(), block["docs"].take(found).to_pylist())
+                self.best[q] = sorted([*self.best[q], *new])[: self.k]
                 if len(self.best[q]) >= self.k:
-                    self.least[q] = -self.best[q][-1][0]
+                    self.full[q], self.least[q] = True, max(-self.best[q][-1][0], self.least[q])
+
+
+class _Sum:
+    """The scores that some terms in fixed proportion give a block's documents, and these documents, best first."""
+
+    def __init__(self, block: dict, at: list[int], parts: list[float]):
+        self.score = np.zeros(len(block["docs"]))
+        for j, w in zip(at, parts):
+            lo, hi = block["starts"][j], block["starts"][j + 1]
+            self.score[block["places"][lo:hi]] += w * block["weights"][lo:hi]
+        level = np.round(self.score, 11)
+        order = np.argsort(-level, kind="stable")
+        self.order = order[: np.count_nonzero(level > 0)]
+        self.down = -level[self.order]
+
+
+def _candidates(block: dict, common: _Sum | None, scale: float, rare: list[int], weights: list[float], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and rounded scores of a block's documents, among them the k best of one query."""
+    if rare:
+        spans = [(block["starts"][j], block["starts"][j + 1]) for j in rare]
+        touched, which = np.unique(np.concatenate([block["places"][lo:hi] for lo, hi in spans]), return_inverse=True)
+        more = np.bincount(which, np.concatenate([w * block["weights"][lo:hi] for w, (lo, hi) in zip(weights, spans)]), len(touched))
+    else:
+        touched, more = np.zeros(0, np.int64), np.zeros(0)
+    if common is None:
+        return touched, np.round(more, DIGITS)
+    n = k + len(touched)
+    if n < len(common.order):
+        last = common.down[n - 1]
+        end = int(np.searchsorted(common.down, last + 4 * 10.0**-DIGITS / scale, side="right"))
+        if common.down[end - 1] != last:  # some score almost as much, and may be equal once they are rounded
+            n = end
+    rest = common.order[:n]
+    if len(touched):
+        rest = rest[~np.isin(rest, touched)]
+    found = np.concatenate([touched, rest])
+    return found, np.round(scale * common.score[found] + np.concatenate([more, np.zeros(len(rest))]), DIGITS)
 
 
 def _read(row: dict) -> dict:
-    starts = np.concatenate([[0], np.cumsum(row["sizes"].values.to_numpy())]).tolist()
-    return {
-        "docs": row["docs"].as_py(), "ties": row["ties"].as_py(), "terms": row["terms"].values, "most": row["most"].values.to_numpy(), "starts": starts,
-        "places": np.frombuffer(row["places"].as_py(), "<i4"), "weights": np.frombuffer(row["weights"].as_py(), "<f8"),
-    }
+    """A block from its columns as Arrow scalars; of the summary only, where it has no more."""
+    out = {"terms": row["terms"].values, "most": row["most"].values.to_numpy()}
+    if "places" in row:
+        sizes = row["sizes"].values.to_numpy()
+        out |= {
+            "docs": row["docs"].values, "ties": row["ties"].values, "sizes": sizes, "starts": np.concatenate([[0], np.cumsum(sizes)]).tolist(),
+            "places": np.frombuffer(row["places"].as_py(), "<i4"), "weights": np.frombuffer(row["weights"].as_py(), "<f8"),
+        }
+    return out
+
+
+def _near(terms: str = "terms"):
+    """What documents and queries are sorted by, so that those of similar words lie together."""
+    return F.array_join(F.slice(terms, 1, 8), " ")
 
 
 def query_blocks(vectors: DataFrame, name: str, most: int = QUERIES, most_terms: int = QUERY_TERMS) -> Iterator[list]:
-    """The queries (name, terms, weights) in lists of about ``most``; more queries are more lists, each of bounded size."""
+    """The queries (name, terms, weights) in lists of about ``most``, similar ones together; more queries are more lists, each of bounded size."""
     count, terms = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     n = max(-(-count // most), -(-terms // most_terms))
+    rows = vectors.select(name, "terms", "weights")
+    if n > 1:
+        rows = rows.repartitionByRange(n, _near(), name).withColumn("list", F.spark_partition_id())
+        rows = Scratch(vectors.sparkSession, "lists").write(rows, "lists")
     for k in range(n):
-        yield vectors.where(F.pmod(F.xxhash64(name), F.lit(n)) == k).select(name, "terms", "weights").collect()
+        mine = rows.where(F.col("list") == k) if n > 1 else rows
+        if found := mine.collect():
+            yield found
+
+
+def _homes(blocks: DataFrame, sent) -> dict:
+    """Of each query (by number) the block that promises most, named by its first document. Reads the blocks' summaries only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, firsts = sent.value, []
+        best, which = np.zeros(len(asked.names)), np.full(len(asked.names), -1)
+        for b in batches:
+            for i in range(b.num_rows):
+                _, bound = asked.bounds(_read({c: b.column(c)[i] for c in ("terms", "most")}))
+                which, best = np.where(bound > best, len(firsts), which), np.maximum(best, bound)
+                firsts.append(b.column("home")[i].as_py())
+        q = np.flatnonzero(which >= 0)
+        rows = [pa.array(q, pa.int64()), pa.array(best[q]), pa.array([firsts[x] for x in which[q].tolist()], arrow.field("home").type)]
+        yield pa.RecordBatch.from_arrays(rows, schema=arrow)
+
+    summary = blocks.select("terms", "most", F.col("docs")[0].alias("home"))
+    shape = blocks.sparkSession.createDataFrame([], "q long, bound double").schema
+    target = StructType([*shape, summary.schema["home"]])
+    arrow = to_arrow_schema(target)
+    best = summary.mapInArrow(run, target).groupBy("q").agg(F.max(F.struct("bound", "home")).alias("x")).select("q", "x.home")
+    return {r.q: r.home for r in best.collect()}
 
 
 def search(blocks: DataFrame, vectors: DataFrame, name: str, k: int, min_score: float, keep) -> DataFrame:
     """name, doc, tie, score: of each query at least its k best documents (equal ones by tie, then doc), by task.
 
-    ``keep`` writes one list's result where there are more lists of queries, so that only one travels at a time.
+    Each query meets the block that promises most first. What its k best there score, the others must reach. ``keep`` writes a
+    result into a scratch table; only one list of queries travels at a time.
     """
     spark = blocks.sparkSession
     ship(spark)
@@ -158,23 +258,47 @@ def search(blocks: DataFrame, vectors: DataFrame, name: str, k: int, min_score:
     score = spark.createDataFrame([], "score double").schema["score"]
     target = StructType([vectors.schema[name], StructField("doc", inner["docs"]), StructField("tie", inner["ties"]), score])
     arrow = to_arrow_schema(target)
-    out, sent = spark.createDataFrame([], target), None
-    for rows in query_blocks(vectors, name):
-        if sent is not None:
-            out = keep(out)
-            sent.unpersist()
-        sent = spark.sparkContext.broadcast(Queries([r[0] for r in rows], [r.terms for r in rows], [r.weights for r in rows], k, min_score))
+    out, kept, held = None, [], []
+
+    def met(sent, homes, least=None) -> DataFrame:
+        """Of all queries and blocks those pairs that are at home (``least`` is None), or all others."""
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked = sent.value
-            asked.begin()
+            asked.begin(least.value if least else None)
             for b in batches:
                 for i in range(b.num_rows):
-                    asked.meet(_read({c: b.column(c)[i] for c in b.schema.names}))
+                    row = {c: b.column(c)[i] for c in b.schema.names}
+                    at_home = homes.value.get(row["docs"].values[0].as_py())
+                    mine = np.zeros(len(asked.names), bool)
+                    if at_home is not None:
+                        mine[at_home] = True
+                    mine = ~mine if least else mine
+                    if mine.any():
+                        asked.meet(_read(row), mine)
             found = [(n, d, t, -s) for n, best in zip(asked.names, asked.best) for s, t, d in best]
             for a in range(0, len(found), 65536):
                 columns = zip(*found[a : a + 65536])
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-        out = out.unionByName(blocks.mapInArrow(run, target))
-    return out
+        return blocks.mapInArrow(run, target)
+
+    for rows in query_blocks(vectors, name):
+        if out is not None:
+            kept.append(keep(out))
+            for x in held:
+                x.unpersist()
+        asked = Queries([r[0] for r in rows], [r.terms for r in rows], [r.weights for r in rows], k, min_score)
+        sent, number, homes = spark.sparkContext.broadcast(asked), {n: q for q, n in enumerate(asked.names)}, {}
+        for q, home in _homes(blocks, sent).items():
+            homes.setdefault(home, []).append(q)
+        homes = spark.sparkContext.broadcast({home: np.array(qs) for home, qs in homes.items()})
+        kept.append(keep(met(sent, homes)))
+        least = np.full(len(asked.names), np.nan)
+        for r in kept[-1].groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).collect():
+            least[number[r[0]]] = r.least
+        held = [sent, homes, spark.sparkContext.broadcast(least)]
+        out = met(*held)
+    if out is None:
+        return spark.createDataFrame([], target)
+    return out.unionByName(spark.read.schema(target).parquet(*(t._scratch_path for t in kept)))
