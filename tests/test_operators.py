@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import catalog
 from threadloom.functions import text as X
 from threadloom.operators import agent, asking, blocks, brands, labels, pairs, profile, quantiles, retrieval, sampling, threads
 from threadloom.operators.typed import typed
@@ -263,6 +264,50 @@ def test_search_adds_common_terms_once(spark, monkeypatch):
     assert asked.scanned == 0
 
 
+@pytest.mark.parametrize("case", ["", "small blocks", "many queries", "large vocabulary", "equal hashes", "bigrams"])
+def test_search_where_texts_lie(spark, monkeypatch, case):
+    """An index that keeps no terms gives the rows of brute force; beyond its bounds the tables serve, with the same rows."""
+    search, tables = blocks.search_texts, []
+    size, ngrams = (7 if case == "small blocks" else 1 << 19), (2 if case == "bigrams" else 1)
+    monkeypatch.setattr(blocks, "search_texts", lambda *a: tables.append(False) or search(*a, size))
+    if case == "many queries":
+        lists = blocks.query_lists
+        monkeypatch.setattr(blocks, "query_lists", lambda v, *a: lists(v, 4))
+    elif case == "large vocabulary":
+        monkeypatch.setattr(retrieval.TfidfIndex, "MOST_WORDS", 12)
+    elif case == "equal hashes":
+        monkeypatch.setattr(retrieval, "_hash", lambda t: F.xxhash64(t) % 10)
+    corpus = _corpus(spark).unionByName(spark.createDataFrame([(900, 1, None), (901, 1, ""), (902, 1, "w3 " * 40), (903, 0, "w3")], "id long, place long, t string"))
+    queries = [(1, "w0 w1 w2"), (2, "w24"), (3, "unknown"), (4, ""), (5, "W3 w3 w4 w5"), *((k, f"w{k % 25} w{k % 7}") for k in range(6, 20))]
+    index = retrieval.TfidfIndex.fit(corpus, "id", "t", tie="place", ngrams=ngrams, keep=False)
+    got = index.search(spark.createDataFrame(queries, "q long, t string"), "q", "t", 6)
+    docs = [r if r.t else type(r)(id=r.id, place=r.place, t="") for r in corpus.collect()]
+    assert sorted((r.q, r.id, r.rank, r.score) for r in got.collect()) == _brute_cosine(docs, queries, 6, ngrams)
+    assert bool(tables) == (case in ("", "small blocks", "bigrams"))
+
+
+def test_search_where_texts_lie_equal_keys(spark):
+    """Rows of the same key count as one document, as in an index with tables; so does the key that is missing. The empty index gives no rows."""
+    rows = [(1, "w1 w2 w3"), (2, "w2 w2"), (2, "w2 w3 w9"), (3, "w3 w9"), (None, "w1 w7"), (None, "w7 w7 w8"), (4, "w8 w7 w5"), (5, "w5")]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    q = spark.createDataFrame([(k, f"w{k} w{k + 1}") for k in range(10)], "q long, t string")
+    fit = lambda d, **more: retrieval.TfidfIndex.fit(d, "id", "t", ngrams=1, **more)
+    found = [sorted(map(repr, fit(docs, **more).search(q, "q", "t").collect())) for more in ({}, {"keep": False})]
+    assert found[0] == found[1] and found[0]
+    assert fit(docs.limit(0), keep=False).search(q, "q", "t").count() == 0
+
+
+def test_document_search_writes_no_postings(spark, monkeypatch):
+    """Only the vocabulary and the queries are written, and between the scan of the documents and the heaps there is no exchange."""
+    written, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name="t": written.append(name) or write(self, df, name))
+    plan = catalog.QUERIES["document_search"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert set(written) == {"repeated", "frequencies", "vocabulary", "queries"}
+    below = plan[plan.index("MapInArrow") :].splitlines()
+    end = next(k for k, line in enumerate(below) if "Relation" in line)
+    assert "doc_id" in below[end] and all("Project" in line for line in below[1:end])
+
+
 def test_grown_index(spark, tmp_path):
     """An index that grew twice, saved and loaded in between, equals one of all documents; a failed save leaves the old version."""
     corpus = _corpus(spark)

@@ -583,7 +583,7 @@ def index_manifest(spark, d):
 
 def _document_index(spark, d):
     docs = _documents(spark, d).select("doc_id", "text")
-    return retrieval.TfidfIndex.fit(docs, "doc_id", "text", ngrams=1)
+    return retrieval.TfidfIndex.fit(docs, "doc_id", "text", ngrams=1, keep=False)
 
 
 @query(

@@ -5,6 +5,8 @@ weight of each, and the postings. A search goes through the blocks of its task o
 query has a bounded heap of its best documents, which lasts from block to block; a block whose terms at their largest
 weights can't lift a document into it is skipped. The block that promises most comes first, in a pass of its own, so that
 in all others a document must beat what was found there. Only the heaps leave the task.
+
+Few queries need no stored blocks: ``search_texts`` makes a block of the next documents of a task, meets it and forgets it.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from ..plans.staging import Scratch
 DOCS, POSTINGS = 8192, 1 << 18
 #: Queries that travel to the tasks at once, and their terms.
 QUERIES, QUERY_TERMS = 16384, 1 << 20
+#: Tokens of the documents that become a block where they lie, at most (but for a document that alone has more).
+TOKENS = 1 << 19
 #: A term of more of a block's documents is added up for many queries at once.
 RARE = 32
 DIGITS = 9  # scores are compared after rounding, since sums of doubles depend on their order
@@ -91,13 +95,13 @@ def build(vectors: DataFrame, doc: str, tie: str, docs: int = DOCS, postings: in
 
 
 class Queries:
-    """A block of queries against one block of postings after another."""
+    """A block of queries against one block of postings after another. Terms are strings, or hashes as ``kind`` says, like the blocks'."""
 
-    def __init__(self, names: list, terms: list[list[str]], weights: list[list[float]], k: int, min_score: float):
+    def __init__(self, names: list, terms: list[list], weights: list[list[float]], k: int, min_score: float, kind: pa.DataType | None = None):
         self.names, self.k, self.min_score = names, k, min_score
-        numbers: dict[str, int] = {}
+        numbers: dict = {}
         self.flat = np.array([numbers.setdefault(t, len(numbers)) for x in terms for t in x], np.int64)
-        self.vocabulary = pa.array(list(numbers), pa.string())
+        self.vocabulary = pa.array(list(numbers), kind or pa.string())
         self.weights = np.array([w for x in weights for w in x], float)
         self.first = np.concatenate([[0], np.cumsum([len(x) for x in terms])]).astype(np.int64)
 
@@ -155,6 +159,14 @@ class Queries:
                     self.full[q], self.least[q] = True, max(-self.best[q][-1][0], self.least[q])
 
 
+    def found(self, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """name, doc, tie, score of all heaps."""
+        rows = [(n, d, t, -s) for n, best in zip(self.names, self.best) for s, t, d in best]
+        for a in range(0, len(rows), 65536):
+            columns = zip(*rows[a : a + 65536])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+
 class _Sum:
     """The scores that some terms in fixed proportion give a block's documents, and these documents, best first."""
 
@@ -209,10 +221,15 @@ def _near(terms: str = "terms"):
     return F.array_join(F.slice(terms, 1, 8), " ")
 
 
+def query_lists(vectors: DataFrame, most: int = QUERIES, most_terms: int = QUERY_TERMS) -> int:
+    """In how many lists the queries travel."""
+    count, terms = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    return max(-(-count // most), -(-terms // most_terms))
+
+
 def query_blocks(vectors: DataFrame, name: str, most: int = QUERIES, most_terms: int = QUERY_TERMS) -> Iterator[list]:
     """The queries (name, terms, weights) in lists of about ``most``, similar ones together; more queries are more lists, each of bounded size."""
-    count, terms = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-    n = max(-(-count // most), -(-terms // most_terms))
+    n = query_lists(vectors, most, most_terms)
     rows = vectors.select(name, "terms", "weights")
     if n > 1:
         rows = rows.repartitionByRange(n, _near(), name).withColumn("list", F.spark_partition_id())
@@ -276,10 +293,7 @@ def search(blocks: DataFrame, vectors: DataFrame, name: str, k: int, min_score:
                     mine = ~mine if least else mine
                     if mine.any():
                         asked.meet(_read(row), mine)
-            found = [(n, d, t, -s) for n, best in zip(asked.names, asked.best) for s, t, d in best]
-            for a in range(0, len(found), 65536):
-                columns = zip(*found[a : a + 65536])
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            yield from asked.found(arrow)
 
         return blocks.mapInArrow(run, target)
 
@@ -302,3 +316,80 @@ def search(blocks: DataFrame, vectors: DataFrame, name: str, k: int, min_score:
     if out is None:
         return spark.createDataFrame([], target)
     return out.unionByName(spark.read.schema(target).parquet(*(t._scratch_path for t in kept)))
+
+
+class Words:
+    """Hashes of the vocabulary's terms, ascending, with df: what a task weighs its documents by. ``n``: documents in all."""
+
+    def __init__(self, hashes: np.ndarray, df: np.ndarray, n: int):
+        self.hashes, self.df, self.n = hashes, df, n
+
+    def idf(self, hashes: np.ndarray) -> np.ndarray:
+        """0 where a term isn't in the vocabulary."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, np.log((1 + self.n) / (1 + self.df[at].astype(float))) + 1, 0.0)
+
+
+def _weighed(rows: pa.RecordBatch, words: Words) -> dict:
+    """A block, as ``_read`` gives it, of the documents doc, tie, terms (hashes), times (how often each; null: once a place)."""
+    rows = rows.take(pc.sort_indices(rows, [("tie", "ascending"), ("doc", "ascending")]))
+    n, lists, times = rows.num_rows, rows.column("terms"), rows.column("times")
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    hashes = coded.dictionary.to_numpy(zero_copy_only=False)
+    idf, code = words.idf(hashes), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at, known = code * n + np.repeat(np.arange(n), sizes), idf[code] > 0
+    if times.null_count < n:
+        often = np.ones(len(code))
+        often[np.repeat(times.is_valid().to_numpy(zero_copy_only=False), sizes)] = times.flatten().to_numpy(zero_copy_only=False)
+        at, which = np.unique(at[known], return_inverse=True)
+        tf = np.bincount(which, often[known], len(at))
+    else:
+        at, tf = np.unique(at[known], return_counts=True)
+    code, place = np.divmod(at, n)
+    w = (1 + np.log(tf)) * idf[code]
+    w /= np.sqrt(np.bincount(place, w * w, n))[place]
+    here, sizes = np.unique(code, return_counts=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    most = np.maximum.reduceat(w, starts[:-1]) if len(here) else w
+    return {"terms": pa.array(hashes[here], pa.int64()), "most": most, "docs": rows.column("doc"), "ties": rows.column("tie"), "sizes": sizes,
+            "starts": starts.tolist(), "places": place, "weights": w}
+
+
+def _portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``most`` tokens together at most, or one row of more."""
+    for b in batches:
+        ends = np.cumsum(pc.list_value_length(b.column("terms")).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+            yield b.slice(a, z - a)
+            a = z
+
+
+def search_texts(texts: DataFrame, words: Words, vectors: DataFrame, name: str, k: int, min_score: float, tokens: int = TOKENS) -> DataFrame:
+    """name, doc, tie, score, as ``search`` gives them, in one pass over documents doc, tie, terms, times: nothing of them is written or moved.
+
+    Terms are hashes, of documents and queries alike. All queries travel at once: see ``query_lists``.
+    """
+    spark = texts.sparkSession
+    ship(spark)
+    score = spark.createDataFrame([], "score double").schema["score"]
+    target = StructType([vectors.schema[name], texts.schema["doc"], texts.schema["tie"], score])
+    arrow = to_arrow_schema(target)
+    rows = vectors.select(name, "terms", "weights").collect()
+    asked = Queries([r[0] for r in rows], [r.terms for r in rows], [r.weights for r in rows], k, min_score, pa.int64())
+    sent, known = spark.sparkContext.broadcast(asked), spark.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        asked.begin()
+        for b in _portions(batches, tokens):
+            block = _weighed(b, known.value)
+            if len(block["terms"]):
+                asked.meet(block)
+        yield from asked.found(arrow)
+
+    return texts.mapInArrow(run, target)

@@ -75,16 +75,28 @@ def _gram(t, n: int):
     return lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")
 
 
-def terms(df: DataFrame, key: str, text: str, ngrams: int = V.NGRAMS, tie: str | None = None) -> DataFrame:
-    """key, tie (if named), term, tf: words and word n-grams."""
-    keys = [key, tie] if tie and tie != key else [key]
+def _keys(key: str, tie: str | None) -> list[str]:
+    return [key, tie] if tie and tie != key else [key]
+
+
+def _grams(df: DataFrame, keys: list[str], text: str, ngrams: int) -> DataFrame:
+    """keys, t: a document's words and word n-grams, with repeats."""
     t = F.col("t")
     parts = [t]
     for n in range(2, ngrams + 1):
         grams = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), _gram(t, n))
         parts.append(F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>")))
-    tokens = df.select(*keys, X.index_tokens(text).alias("t"))
-    return tokens.select(*keys, F.explode(F.concat(*parts)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return df.select(*keys, X.index_tokens(text).alias("t")).select(*keys, F.concat(*parts).alias("t"))
+
+
+def terms(df: DataFrame, key: str, text: str, ngrams: int = V.NGRAMS, tie: str | None = None) -> DataFrame:
+    """key, tie (if named), term, tf: words and word n-grams."""
+    keys = _keys(key, tie)
+    return _grams(df, keys, text, ngrams).select(*keys, F.explode("t").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _hash(term):
+    return F.xxhash64(term)
 
 
 def _best(scored: DataFrame, key: str, ties: list[str], k: int) -> DataFrame:
@@ -101,25 +113,33 @@ class TfidfIndex:
     """frequencies (term, df), vocabulary (term, df, idf), postings (doc, term, weight), metadata, and the blocks that a search reads.
 
     Documents without a term keep their metadata. ``counted`` (doc, tie, term, tf) has the terms of all segments: of the documents that the
-    index began with, and of those that have been added. Postings and blocks are made when they are first asked for.
+    index began with, and of those that have been added. Postings and blocks are made when they are first asked for; so is
+    ``counted`` of an index that doesn't keep its terms.
     """
 
-    def __init__(self, counted: DataFrame, frequencies: DataFrame, vocabulary: DataFrame, metadata: DataFrame, manifest: dict, blocks_: DataFrame | None = None):
-        self.counted, self.frequencies, self.vocabulary, self.metadata, self.manifest = counted, frequencies, vocabulary, metadata, manifest
+    #: An index that doesn't keep its terms sends its vocabulary to the tasks up to this size: 12 bytes a term.
+    MOST_WORDS = 96 << 20
+
+    def __init__(self, counted: DataFrame | None, frequencies: DataFrame, vocabulary: DataFrame, metadata: DataFrame, manifest: dict, blocks_: DataFrame | None = None):
+        self._counted, self.frequencies, self.vocabulary, self.metadata, self.manifest = counted, frequencies, vocabulary, metadata, manifest
         self._blocks, self._scratch = blocks_, Scratch(metadata.sparkSession, "tfidf")
+        self._parts: tuple = ()
 
     @classmethod
     def fit(
         cls, docs: DataFrame, key: str, text: str, min_df: int = V.MIN_DF, max_df: float = V.MAX_DF, ngrams: int = V.NGRAMS,
-        tie: str | None = None, rules: dict | None = None,
+        tie: str | None = None, rules: dict | None = None, keep: bool = True,
     ) -> "TfidfIndex":
         """Sublinear tf, smoothed idf, L2 norm. ``key`` must be unique; documents of equal score rank by ``tie`` (a column), then key.
 
         Terms are counted once, into a scratch table that the vocabulary and the blocks read. ``rules``: how ``docs``
         came about, for the manifest.
+
+        Without ``keep`` only df is counted, and the vocabulary is all that is written. A search of few queries then reads ``docs`` once more
+        and weighs them where they lie; anything else makes the tables as usual. For few searches in many texts that lie in files.
         """
         manifest = {"min_df": min_df, "max_df": max_df, "ngrams": ngrams, "key": key, "tie": tie or key, "text": text, "rules": rules or {}, "n": 0}
-        return cls._grown(docs, manifest, None)
+        return cls._grown(docs, manifest, None, keep)
 
     def add(self, docs: DataFrame) -> "TfidfIndex":
         """The index with more documents: only their terms are counted; df is merged, and what rests on it is made anew.
@@ -132,10 +152,18 @@ class TfidfIndex:
         return self._grown(docs, self.manifest, self)
 
     @classmethod
-    def _grown(cls, docs: DataFrame, manifest: dict, before: "TfidfIndex | None") -> "TfidfIndex":
+    def _grown(cls, docs: DataFrame, manifest: dict, before: "TfidfIndex | None", keep: bool = True) -> "TfidfIndex":
         scratch = Scratch(docs.sparkSession, "tfidf")
-        counted = scratch.write(terms(docs, manifest["key"], manifest["text"], manifest["ngrams"], manifest["tie"]), "terms")
-        df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        how, keys, counted, parts = (manifest["text"], manifest["ngrams"]), _keys(manifest["key"], manifest["tie"]), None, ()
+        if keep:
+            counted = scratch.write(terms(docs, manifest["key"], *how, manifest["tie"]), "terms")
+            each = counted.select("term")
+        else:
+            lone, again = parts = cls._parted(docs, keys, scratch)
+            each = _grams(lone, keys, *how).select(F.explode(F.array_distinct("t")).alias("term"))
+            if again is not None:
+                each = each.unionByName(terms(again, manifest["key"], *how, manifest["tie"]).select("term"))
+        df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         if before:
             df = df.unionByName(before.frequencies).groupBy("term").agg(F.sum("df").alias("df"))
             counted, metadata = before.counted.unionByName(counted), before.metadata.unionByName(docs.select(before.metadata.columns))
@@ -143,7 +171,49 @@ class TfidfIndex:
         frequencies = scratch.write(df, "frequencies")
         kept = frequencies.where((F.col("df") >= manifest["min_df"]) & (F.col("df") <= manifest["max_df"] * F.lit(n)))
         vocabulary = scratch.write(kept.select("term", "df", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "vocabulary")
-        return cls(counted, frequencies, vocabulary, metadata if before else docs, manifest | {"n": n})
+        out = cls(counted, frequencies, vocabulary, metadata if before else docs, manifest | {"n": n})
+        out._parts = parts
+        return out
+
+    @staticmethod
+    def _parted(docs: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+        """Rows whose key is theirs alone, and the others (None: there are none), whose texts are counted together. Only keys move where none repeats."""
+        twice = scratch.write(docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*(F.col(k).alias(f"_{k}") for k in keys)), "repeated")
+        if twice.isEmpty():
+            return docs, None
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        return docs.join(twice, same, "left_anti"), docs.join(twice, same, "left_semi")
+
+    @property
+    def counted(self) -> DataFrame:
+        if self._counted is None:
+            m = self.manifest
+            self._counted = self._scratch.write(terms(self.metadata, m["key"], m["text"], m["ngrams"], m["tie"]), "terms")
+        return self._counted
+
+    def _words(self) -> blocks.Words | None:
+        """The vocabulary for the tasks. None if it is too large, or if two terms of the documents share a hash (the tables then serve)."""
+        size = self.vocabulary.count()
+        if size * 12 > self.MOST_WORDS:
+            return None
+        if not self.frequencies.groupBy(_hash("term").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return None
+        n = self.manifest["n"]
+        t = self.vocabulary.select(_hash("term").alias("h"), F.col("df").cast("int" if n < 1 << 31 else "long").alias("df")).orderBy("h").toArrow()
+        return blocks.Words(t["h"].to_numpy(), t["df"].to_numpy(), n)
+
+    def _texts(self) -> DataFrame:
+        """doc, tie, terms (hashes, with repeats), times: the documents for a search where they lie."""
+        m, (lone, again) = self.manifest, self._parts
+        names = [F.col(m["key"]).alias("doc"), F.col(m["tie"]).alias("tie")]
+        out = _grams(lone, self._keys(), m["text"], m["ngrams"]).select(
+            *names, F.transform("t", _hash).alias("terms"), F.lit(None).cast("array<long>").alias("times")
+        )
+        if again is not None:  # of equal keys one row, no longer than the different terms
+            t = terms(again, m["key"], m["text"], m["ngrams"], m["tie"])
+            t = t.groupBy(*self._keys()).agg(F.collect_list(F.struct(_hash("term").alias("h"), "tf")).alias("v"))
+            out = out.unionByName(t.select(*names, F.col("v.h").alias("terms"), F.col("v.tf").alias("times")))
+        return out
 
     @staticmethod
     def _vectors(counted: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,8 +224,7 @@ class TfidfIndex:
         return v.select(*keys, F.col("v.term").alias("terms"), F.transform("v.w", lambda x: x / F.col("norm")).alias("weights"))
 
     def _keys(self) -> list[str]:
-        key, tie = self.manifest["key"], self.manifest["tie"]
-        return [key] if key == tie else [key, tie]
+        return _keys(self.manifest["key"], self.manifest["tie"])
 
     @property
     def postings(self) -> DataFrame:
@@ -185,7 +254,12 @@ class TfidfIndex:
         most = top_k + 1 if exclude else top_k
         wanted = self._vectors(counted, self.vocabulary, ["_same"])
         wanted = self._scratch.write(wanted if top_k > 0 else wanted.limit(0), "queries")
-        s = blocks.search(self.blocks, wanted, "_same", max(most, 1), min_score, lambda found: self._scratch.write(found, "found"))
+        here = self._counted is None and self._blocks is None and blocks.query_lists(wanted) <= 1
+        if here and (words := self._words()):
+            asked_for = wanted.withColumn("terms", F.transform("terms", _hash))
+            s = blocks.search_texts(self._texts(), words, asked_for, "_same", max(most, 1), min_score)
+        else:
+            s = blocks.search(self.blocks, wanted, "_same", max(most, 1), min_score, lambda found: self._scratch.write(found, "found"))
         s = s.select("_same", F.col("doc").alias(doc), *([F.col("tie").alias(tie)] if tie != doc else []), "score")
         s = _best(s, "_same", ties, most).join(asked, "_same")
         if exclude:
