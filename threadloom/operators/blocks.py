@@ -376,6 +376,7 @@ def search_texts(texts: DataFrame, words: Words, vectors: DataFrame, name: str,
     """
     spark = texts.sparkSession
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))  # of long texts; more than a portion isn't needed at once
     score = spark.createDataFrame([], "score double").schema["score"]
     target = StructType([vectors.schema[name], texts.schema["doc"], texts.schema["tie"], score])
     arrow = to_arrow_schema(target)
