@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from threadloom import catalog
 from threadloom.functions import text as X
-from threadloom.operators import agent, asking, blocks, brands, labels, pairs, profile, quantiles, retrieval, sampling, threads
+from threadloom.operators import agent, asking, blocks, brands, labels, many, pairs, profile, quantiles, retrieval, sampling, threads
 from threadloom.operators.typed import typed
 from threadloom.plans.filters import marked
 from threadloom.plans.staging import Scratch
@@ -229,6 +229,28 @@ def test_search_in_blocks(spark, monkeypatch, docs, postings, lists):
     assert sorted((r.q, r.id, r.rank, r.score) for r in got.collect()) == _brute_cosine(corpus.collect(), queries, 6)
 
 
+@pytest.mark.parametrize("rare", [3, 8, 10_000])
+def test_search_of_many_queries(spark, monkeypatch, rare):
+    """Every document as a query gives the rows of brute force, with its own row left out; the blocks hold a few documents of each kind only."""
+    kinds = ["my parcel is late", "late parcel my", "charged twice late", "no bread today at all", "bread bread late", "is late"]
+    docs = [(k, k // 4, f"{kinds[k * 7 % 6]}{f' order {k // 5}' if k % 4 else ''}{' again' if k % 50 == 0 else ''}") for k in range(300)]
+    docs += [(300, 0, ""), (301, 0, "nobody else"), (302, 9, "order 12 order 13"), (303, 9, "12 13 14")]
+    corpus = spark.createDataFrame(docs, "id long, place long, t string")
+    monkeypatch.setattr(many, "RARE", rare)
+    sent, search = [], blocks.search
+    monkeypatch.setattr(blocks, "search", lambda b, v, *a: sent.append((b.agg(F.sum(F.size("docs"))).first()[0], v.count())) or search(b, v, *a))
+    index = retrieval.TfidfIndex.fit(corpus, "id", "t", tie="place")
+    got = index.search(corpus.select(F.struct("id").alias("q"), "t", F.col("id").alias("own")), "q", "t", 6, 0.0, "own", ("place", "t"))
+    rows = got.collect()
+    best: dict = {}
+    for q, d, _, score in sorted(_brute_cosine(corpus.collect(), [(k, t) for k, _, t in docs], 7), key=lambda x: (x[0], x[2])):
+        if q != d and len(best.setdefault(q, [])) < 6:
+            best[q].append((q, d, len(best[q]) + 1, score))
+    assert sorted((r.q.id, r.id, r.rank, r.score) for r in rows) == sorted(x for xs in best.values() for x in xs)
+    assert all((r.id, r.place, r.t) == docs[r.id] for r in rows)
+    assert len(sent) == 1 and (rare != 8 or (sent[0][0] < 200 and sent[0][1] < 40))
+
+
 def test_search_moves_no_posting(spark):
     """Between the scan of the blocks and the heaps there is no exchange, and most blocks are skipped for a rare word."""
     index = retrieval.TfidfIndex.fit(_corpus(spark), "id", "t", tie="place")

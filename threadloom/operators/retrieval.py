@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..functions import values as V
 from ..plans.staging import Scratch
 from ..sources.io import exists, generated_at, require
-from . import blocks
+from . import blocks, many
 
 METADATA = ["interaction_id", "conversation_id", "brand_tweet_id", "customer_text", "customer_redacted_text", "customer_normalized_text",
             "brand_text", "brand_redacted_text", "intent"]
@@ -119,6 +119,8 @@ class TfidfIndex:
 
     #: An index that doesn't keep its terms sends its vocabulary to the tasks up to this size: 12 bytes a term.
     MOST_WORDS = 96 << 20
+    #: Queries meet the documents by joins if there are more than one for so many documents.
+    MANY = 4
 
     def __init__(self, counted: DataFrame | None, frequencies: DataFrame, vocabulary: DataFrame, metadata: DataFrame, manifest: dict, blocks_: DataFrame | None = None):
         self._counted, self.frequencies, self.vocabulary, self.metadata, self.manifest = counted, frequencies, vocabulary, metadata, manifest
@@ -217,11 +219,12 @@ class TfidfIndex:
 
     @staticmethod
     def _vectors(counted: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
-        """keys, terms (most frequent first), weights: a row per document."""
+        """keys, terms (most frequent first), weights, often (how many of the terms are not rare): a row per document."""
         w = counted.join(vocabulary, "term").select(*keys, "term", "df", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
         each = F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("often"), "term", "w")))  # a document's terms
         v = w.groupBy(*keys).agg(each.alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return v.select(*keys, F.col("v.term").alias("terms"), F.transform("v.w", lambda x: x / F.col("norm")).alias("weights"))
+        often = F.size(F.filter("v", lambda x: -x.often > many.RARE)).alias("often")
+        return v.select(*keys, F.col("v.term").alias("terms"), F.transform("v.w", lambda x: x / F.col("norm")).alias("weights"), often)
 
     def _keys(self) -> list[str]:
         return _keys(self.manifest["key"], self.manifest["tie"])
@@ -239,10 +242,13 @@ class TfidfIndex:
             self._blocks = self._scratch.write(made, "blocks")
         return self._blocks
 
-    def search(self, queries: DataFrame, key: str, text: str, top_k: int = V.TOP_K, min_score: float = 0.0, exclude: str | None = None) -> DataFrame:
-        """key, doc, rank, score: the best documents of each query by cosine, ties as the index says.
+    def search(
+        self, queries: DataFrame, key: str, text: str, top_k: int = V.TOP_K, min_score: float = 0.0, exclude: str | None = None, show: tuple[str, ...] = ()
+    ) -> DataFrame:
+        """key, doc, rank, score, and the metadata's columns ``show``: the best documents of each query by cosine, ties as the index says.
 
-        Queries travel in lists of bounded size to the blocks, whose postings don't move. A query without a known term gives no rows; so
+        Queries travel in a list of bounded size to the blocks, whose postings don't move; more than one list of queries, or more than a
+        quarter as many as documents, meet them by joins instead. A query without a known term gives no rows; so
         does top_k < 1. Scores are ranked after rounding to nine digits, since sums of doubles depend on their order.
         """
         doc, tie = self.manifest["key"], self.manifest["tie"]
@@ -254,17 +260,40 @@ class TfidfIndex:
         most = top_k + 1 if exclude else top_k
         wanted = self._vectors(counted, self.vocabulary, ["_same"])
         wanted = self._scratch.write(wanted if top_k > 0 else wanted.limit(0), "queries")
-        here = self._counted is None and self._blocks is None and blocks.query_lists(wanted) <= 1
-        if here and (words := self._words()):
+        one_list = blocks.query_lists(wanted) <= 1
+        if one_list and self._counted is None and self._blocks is None and (words := self._words()):
             asked_for = wanted.withColumn("terms", F.transform("terms", _hash))
             s = blocks.search_texts(self._texts(), words, asked_for, "_same", max(most, 1), min_score)
+        elif not one_list or wanted.count() * self.MANY > self.manifest["n"]:
+            return self._search_many(wanted, asked, key, max(most, 1), top_k, min_score, show)
         else:
             s = blocks.search(self.blocks, wanted, "_same", max(most, 1), min_score, lambda found: self._scratch.write(found, "found"))
         s = s.select("_same", F.col("doc").alias(doc), *([F.col("tie").alias(tie)] if tie != doc else []), "score")
         s = _best(s, "_same", ties, most).join(asked, "_same")
         if exclude:
             s = s.where(~F.coalesce(F.col("own") == F.col(doc), F.lit(False)))
-        return _best(s, key, ties, top_k).select(key, doc, "rank", F.round("score", 6).alias("score"))
+        s = _best(s, key, ties, top_k).select(F.col(key), doc, "rank", F.round("score", 6).alias("score"))
+        return self._shown(s, doc, show).select(*s.columns, "_shown.*") if show else s
+
+    def _shown(self, rows: DataFrame, doc: str, show: tuple[str, ...]) -> DataFrame:
+        """With ``_shown``, a struct of the metadata's columns ``show``."""
+        if not show:
+            return rows.withColumn("_shown", F.struct(F.lit(0)))
+        more = self.metadata.select(F.col(self.manifest["key"]).alias("_doc"), F.struct(*show).alias("_shown")).dropDuplicates(["_doc"])
+        return rows.join(more, F.col(doc).eqNullSafe(F.col("_doc"))).drop("_doc")
+
+    def _search_many(self, wanted: DataFrame, asked: DataFrame, key: str, most: int, top_k: int, min_score: float, show: tuple[str, ...]) -> DataFrame:
+        doc, tie = self.manifest["key"], self.manifest["tie"]
+        rows = self._vectors(self.counted, self.vocabulary, self._keys()).select(F.col(doc).alias("doc"), F.col(tie).alias("tie"), "terms", "weights", "often")
+        found = many.search(self._shown(rows, "doc", show).withColumnRenamed("_shown", "shown"), wanted, "_same", most, min_score, self._scratch)
+        best = F.col("best")
+        if "own" in asked.columns:
+            best = F.filter(best, lambda x: ~F.coalesce(x.doc == F.col("own"), F.lit(False)))
+        each = found.join(asked, "_same").select(key, F.posexplode(F.slice(best, 1, top_k)).alias("at", "x"))
+        return each.select(
+            key, F.col("x.doc").alias(doc), (F.col("at") + 1).cast("long").alias("rank"), F.round(-F.col("x.down"), 6).alias("score"),
+            *(F.col(f"x.shown.{c}").alias(c) for c in show),
+        )
 
     def counts(self) -> dict[str, int]:
         """Rows of the index, documents with a term, and the size of the vocabulary."""
@@ -331,14 +360,13 @@ def evaluate(index: TfidfIndex, golden: DataFrame, top_k: int = 10) -> DataFrame
     doc = index.manifest["key"]
     known = index.metadata.select("customer_normalized_text", F.col(doc).alias("own"))
     q = golden.withColumn("customer_normalized_text", X.normalize("customer_text")).where("customer_normalized_text <> ''")
-    q = q.join(known, "customer_normalized_text", "left").select("golden_id", F.col("intent").alias("query_intent"), "customer_text", "own")
-    found = index.search(q, "golden_id", "customer_text", top_k, 0.0, "own").join(index.metadata.select(doc, "intent"), doc)
-    found = found.join(q.select("golden_id", "query_intent"), "golden_id")
-    per = found.groupBy("golden_id").agg(
+    q = q.join(known, "customer_normalized_text", "left").select(F.struct("golden_id", "intent").alias("golden"), "customer_text", "own")
+    found = index.search(q, "golden", "customer_text", top_k, 0.0, "own", ("intent",))
+    per = found.groupBy("golden").agg(
         F.count(F.lit(1)).alias("n_results"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top1_score"),
-        F.min(F.when(F.col("intent") == F.col("query_intent"), F.col("rank"))).alias("first_match_rank"),
+        F.min(F.when(F.col("intent") == F.col("golden.intent"), F.col("rank"))).alias("first_match_rank"),
     )
-    out = q.select("golden_id", F.col("query_intent").alias("intent")).join(per, "golden_id", "left")
+    out = q.select("golden.*").join(per.withColumn("golden_id", F.col("golden.golden_id")).drop("golden"), "golden_id", "left")
     return out.fillna(0, ["n_results"]).fillna(0.0, ["top1_score"])
 
 
