@@ -251,6 +251,16 @@ def test_search_of_many_queries(spark, monkeypatch, rare):
     assert len(sent) == 1 and (rare != 8 or (sent[0][0] < 200 and sent[0][1] < 40))
 
 
+@pytest.mark.parametrize("ngrams", [1, 2, 3])
+def test_terms_tokenise_once(spark, ngrams):
+    """No step of the plan makes a text's words again, least of all for each n-gram."""
+    df = spark.createDataFrame([(1, "a1 b2 a1 b2"), (2, ""), (3, None), (4, "zz")], "id long, t string")
+    t = retrieval.terms(df, "id", "t", ngrams)
+    assert t._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    want = [(1, "a1", 2), (1, "b2", 2), (4, "zz", 1)] + [(1, "a1 b2", 2), (1, "b2 a1", 1)] * (ngrams > 1) + [(1, "a1 b2 a1", 1), (1, "b2 a1 b2", 1)] * (ngrams > 2)
+    assert sorted(map(tuple, t.collect())) == sorted(want)
+
+
 def test_search_moves_no_posting(spark):
     """Between the scan of the blocks and the heaps there is no exchange, and most blocks are skipped for a rare word."""
     index = retrieval.TfidfIndex.fit(_corpus(spark), "id", "t", tie="place")

@@ -89,10 +89,15 @@ def _grams(df: DataFrame, keys: list[str], text: str, ngrams: int) -> DataFrame:
     return df.select(*keys, X.index_tokens(text).alias("t")).select(*keys, F.concat(*parts).alias("t"))
 
 
+def _each(df: DataFrame, keys: list[str], t) -> DataFrame:
+    """keys, term: a row for each of the list ``t``. From a plain explode Spark infers a filter that makes the list anew, and the words for every n-gram."""
+    return df.select(*keys, F.explode_outer(t).alias("term")).where("term is not null")
+
+
 def terms(df: DataFrame, key: str, text: str, ngrams: int = V.NGRAMS, tie: str | None = None) -> DataFrame:
     """key, tie (if named), term, tf: words and word n-grams."""
     keys = _keys(key, tie)
-    return _grams(df, keys, text, ngrams).select(*keys, F.explode("t").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _each(_grams(df, keys, text, ngrams), keys, F.col("t")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _hash(term):
@@ -162,7 +167,7 @@ class TfidfIndex:
             each = counted.select("term")
         else:
             lone, again = parts = cls._parted(docs, keys, scratch)
-            each = _grams(lone, keys, *how).select(F.explode(F.array_distinct("t")).alias("term"))
+            each = _each(_grams(lone, keys, *how), [], F.array_distinct("t"))
             if again is not None:
                 each = each.unionByName(terms(again, manifest["key"], *how, manifest["tie"]).select("term"))
         df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
